@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import OP9_SQL, op9_decontamination
 from .language_id import op1_language_id
 from .quality_rules import OP5_SQL, op5_quality_rules
 from .sentencepiece_codec import op8_sentencepiece
@@ -10,5 +11,6 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_decontamination": op9_decontamination,
 }
-SQL = {"op5_quality_rules": OP5_SQL}
+SQL = {"op5_quality_rules": OP5_SQL, "op9_decontamination": OP9_SQL}
