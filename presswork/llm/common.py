@@ -88,7 +88,7 @@ def slices(texts: pa.Array, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield at, len(sizes) - at
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder that all executors share.
 
     The folder is the session's `spark.checkpoint.dir`; only where that is unset

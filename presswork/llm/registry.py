@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP9_SQL, op9_decontamination
 from .language_id import op1_language_id
+from .ngram_join import OP10_SQL, op10_ngram_jaccard
 from .quality_rules import OP5_SQL, op5_quality_rules
 from .sentencepiece_codec import op8_sentencepiece
 
@@ -12,5 +13,6 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-SQL = {"op5_quality_rules": OP5_SQL, "op9_decontamination": OP9_SQL}
+SQL = {"op10_ngram_jaccard": OP10_SQL, "op5_quality_rules": OP5_SQL, "op9_decontamination": OP9_SQL}
