@@ -504,6 +504,16 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return each.join(named, "sig", "left").select("doc_id", "n", alone.alias("component_id"), "sig")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of the rows whose id names their component; rows without shingles or without an id stay.
+
+    Of rows that share id and text all stay: they cannot be told apart.
+    """
+    found = linked(docs, id_col, text_col)
+    gone = found.where("n > 0 and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(documents(spark, sf_dir)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
