@@ -18,7 +18,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def spans(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
+def spans(text: Column, pattern: str | Column, kind: str, group: int = 0) -> Column:
     """array<struct<kind, start, end, body>> of the leftmost non-overlapping matches, in order.
 
     `body` is the given group. A pattern must not match the empty string.
@@ -26,7 +26,7 @@ def spans(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     raw = F.lit(pattern)
     whole = F.transform(F.regexp_extract_all(text, raw, 0), F.length)
     bodies = F.regexp_extract_all(text, raw, group)
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    gaps = F.transform(F.split(text, raw, -1), F.length)
     each = F.zip_with(F.slice(gaps, 1, F.size(whole)), whole, lambda g, w: F.struct(g.alias("gap"), w.alias("size")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
 

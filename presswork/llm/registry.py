@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .decontamination import OP9_SQL, op9_decontamination
 from .language_id import op1_language_id
+from .license_scan import op3_license_scan
 from .ngram_join import OP10_SQL, op10_ngram_jaccard
+from .pii import op6_pii
 from .quality_rules import OP5_SQL, op5_quality_rules
 from .secret_scan import op4_secret_scan
 from .sentencepiece_codec import op8_sentencepiece
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_license_scan": op3_license_scan,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op6_pii": op6_pii,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
