@@ -10,13 +10,17 @@ from .pii import op6_pii
 from .quality_rules import OP5_SQL, op5_quality_rules
 from .secret_scan import op4_secret_scan
 from .sentencepiece_codec import op8_sentencepiece
+from .substring_dedup import op7_substring_dedup
+from .url_filter import op2_url_filter
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_url_filter": op2_url_filter,
     "op3_license_scan": op3_license_scan,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii": op6_pii,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
