@@ -191,7 +191,8 @@ class Automaton:
         return runs, sorted(names), longest
 
 
-_word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text that is not lower-cased.
+_word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def cut(text: str, runs: list[tuple[int, int]], min_span: int) -> str:
