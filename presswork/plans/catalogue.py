@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import document_queries, event_queries, state_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = {**event_queries.QUERIES, **document_queries.QUERIES, **state_queries.QUERIES}
+SQL = {**event_queries.SQL, **document_queries.SQL, **state_queries.SQL}
