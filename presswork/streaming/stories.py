@@ -10,11 +10,14 @@ from presswork.operators.archive import Archive
 
 
 def read(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A folder of Parquet files as a stream, with the schema that the files have now."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    """A folder of Parquet files, or one file, as a stream, with the schema that it has now."""
+    now = spark.read.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    alone = len(now.inputFiles()) == 1 and now.inputFiles()[0].endswith("/" + name)
+    reader = spark.readStream.schema(now.schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder) if alone else reader.parquet(path)
 
 
 def timed(stream: DataFrame, ts: str) -> DataFrame:
