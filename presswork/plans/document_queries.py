@@ -306,7 +306,8 @@ def grounding_check(spark, d):
 
 
 @query(
-    f"""{DS}, t AS (SELECT id, trim(title) AS t, trim(CASE id % 3 WHEN 0 THEN title WHEN 1 THEN title || '!' ELSE coalesce(substr(description, 1, 120), '') END) AS s FROM ds)
+    # edit distance counts bytes in DuckDB, so both sides see ASCII only
+    rf"""{DS}, t AS (SELECT id, trim(regexp_replace(title, '[^\x00-\x7F]', '_', 'g')) AS t, trim(regexp_replace(CASE id % 3 WHEN 0 THEN title WHEN 1 THEN title || '!' ELSE coalesce(substr(description, 1, 120), '') END, '[^\x00-\x7F]', '_', 'g')) AS s FROM ds)
     SELECT id, CASE WHEN s = '' THEN true WHEN t = '' THEN false
       ELSE lower(s) = lower(t) OR 1 - levenshtein(lower(s), lower(t))::double / greatest(length(s), length(t)) > 0.85 END AS redundant FROM t"""
 )
@@ -314,7 +315,8 @@ def redundant_summary(spark, d):
     ds = document_stories(spark, d)
     s = F.when(F.col("id") % 3 == 0, F.col("title")).when(F.col("id") % 3 == 1, F.concat("title", F.lit("!")))
     s = s.otherwise(F.coalesce(F.substring("description", 1, 120), F.lit("")))
-    return ds.select("id", N.is_redundant(s, F.col("title")).alias("redundant"))
+    ascii_ = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "_")
+    return ds.select("id", N.is_redundant(ascii_(s), ascii_(F.col("title"))).alias("redundant"))
 
 
 # shapes are put together here, so that no credential-like literal is in the repository

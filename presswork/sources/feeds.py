@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from presswork.functions import scalars as N
 
@@ -157,7 +158,8 @@ def parse_json_feed(body: Column) -> Column:
 
 def fetch(requests: DataFrame, url_col: str = "url", timeout: float = 15, max_bytes: int | None = None) -> DataFrame:
     """Each row with `body`, `status`, `error` (timeout, http, network, empty or null) and `millis`; GET only."""
-    schema = requests.schema.add("body", "string").add("status", "int").add("error", "string").add("millis", "long")
+    more = [("body", T.StringType()), ("status", T.IntegerType()), ("error", T.StringType()), ("millis", T.LongType())]
+    schema = T.StructType([*requests.schema.fields, *[T.StructField(n, k) for n, k in more]])
 
     def one(url: str) -> tuple:
         began, status = time.monotonic(), None
