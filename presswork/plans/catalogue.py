@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import document_queries, event_queries, state_queries
+from . import document_queries, event_queries, item_queries, state_queries
 
-QUERIES = {**event_queries.QUERIES, **document_queries.QUERIES, **state_queries.QUERIES}
-SQL = {**event_queries.SQL, **document_queries.SQL, **state_queries.SQL}
+QUERIES = {**event_queries.QUERIES, **document_queries.QUERIES, **state_queries.QUERIES, **item_queries.QUERIES}
+SQL = {**event_queries.SQL, **document_queries.SQL, **state_queries.SQL, **item_queries.SQL}
