@@ -20,8 +20,11 @@ def haystack(*parts: Column) -> Column:
 
 
 def has_token(text: Column, words: Sequence[str]) -> Column:
-    """True if a word stands in the text with no a-z or 0-9 next to it."""
-    return text.rlike(f"{EDGE}(?:{'|'.join(map(re.escape, words))}){STOP}")
+    """True if a word stands in the text with no a-z or 0-9 next to it; the pattern is only tried where a word is a substring."""
+    some = F.lit(False)
+    for w in words:
+        some = some | text.contains(w)
+    return some & text.rlike(f"{EDGE}(?:{'|'.join(map(re.escape, words))}){STOP}")
 
 
 def categorize(text: Column, rules=lex.FIVE_CLASSES) -> Column:
@@ -79,14 +82,17 @@ def entities(text: Column, group: str, names: Sequence[str] | None = None) -> Co
             for n in names
         ]
     )
-    some = has_token(text, names)
 
     def kept(hits: Column) -> Column:
         seen = F.transform(hits, lambda h: h["name"])
         return F.transform(F.filter(hits, lambda h: ~F.arrays_overlap(h["wider"], seen)), lambda h: h["label"])
 
-    found = let(F.filter(table, lambda n: F.rlike(text, n["pattern"])), kept)
-    return F.when(some, found).otherwise(F.array().cast("array<string>"))
+    def found(t: Column) -> Column:
+        # a substring test first: patterns from a list are compiled for each row that they are asked about
+        hits = F.filter(table, lambda n: F.contains(t, n["name"]) & F.rlike(t, n["pattern"]))
+        return let(hits, kept)
+
+    return let(text, found)
 
 
 def capitalised(words: Column) -> Column:
