@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +89,25 @@ def slices(texts: pa.Array, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield at, len(sizes) - at
 
 
+#: Long texts else fill 64 MB a batch and task.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: A query's shuffle files go when it has ended, not when the driver happens to collect its garbage.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Session settings for the queries that are run inside."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def save(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder that all executors share.
 
@@ -100,4 +120,5 @@ def save(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
         )
-    return df.checkpoint(eager=True)
+    with settings(spark, TIDY):
+        return df.checkpoint(eager=True)

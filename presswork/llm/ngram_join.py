@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, col, documents, save, slices
+from .common import SMALL_BATCHES, TIDY, UPPER, col, documents, save, settings, slices
 from .components import components
 
 SHINGLE = 5
@@ -484,6 +484,11 @@ def links(groups: DataFrame, parts: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, component_id, sig) of every row, component_id being the smallest id of its component."""
+    with settings(docs.sparkSession, SMALL_BATCHES | TIDY):
+        return _linked(docs, id_col, text_col)
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     seen = save(profile(docs, id_col, text_col))
     each = seen.where("sig is not null").select("doc_id", "n", "sig", "class_id")
     counters = np.zeros(1 << SKETCH_BITS, np.int64)
