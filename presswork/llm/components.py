@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     key. Every round is cut off by a checkpoint. Null ends and loops are ignored, but a
     node that has only loops keeps itself as root. An empty table gives an empty table.
     """
-    known = edges.where("u is not null and v is not null")
+    known = save(edges.where("u is not null and v is not null"))
     now = save(known.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(now)
     for _ in range(MAX_ROUNDS):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, documents, save, slices
+from .common import SMALL_BATCHES, TIDY, col, documents, save, settings, slices
 from .components import components
 from .ngram_join import FILTER_BITS, Hasher, _batch, bitmap, links, mix, short_id, signature
 
@@ -112,19 +112,14 @@ def banded(docs: DataFrame, text_col: str, min_words: int, bands: int, rows: int
     draw = np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, bands * rows, np.uint64) * _U(2) + _U(1)
 
     def make(got: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
-        keys = np.zeros((len(got), bands), np.uint64)
-        for i, (_, grams) in enumerate(got):
-            low = np.full(len(draw), np.iinfo(np.uint64).max, np.uint64)
-            for lo in range(0, len(grams), 4096):
-                part = grams[lo : lo + 4096]
-                low = np.minimum(low, (part[:, None] * draw[None, :]).min(0))
-            low = low.reshape(bands, rows)
-            key = np.arange(bands).astype(np.uint64)
-            for k in range(rows):
-                key = mix(key * _U(0x9E3779B97F4A7C15) + low[:, k])
-            keys[i] = key
+        flat = np.concatenate([g for _, g in got])
+        starts = np.cumsum([0, *(len(g) for _, g in got[:-1])])
+        low = np.stack([np.minimum.reduceat(flat * d, starts) for d in draw], 1).reshape(len(got), bands, rows)
+        key = np.broadcast_to(np.arange(bands).astype(np.uint64), (len(got), bands))
+        for k in range(rows):
+            key = mix(key * _U(0x9E3779B97F4A7C15) + low[:, :, k])
         who = np.repeat(np.array([short_id(s) for s, _ in got], np.int64), bands)
-        return _batch(key=pa.array(keys.ravel().view(np.int64)), class_id=pa.array(who))
+        return _batch(key=pa.array(key.ravel().view(np.int64)), class_id=pa.array(who))
 
     return distinct_sets(docs, text_col, min_words, lambda sig: True, make, "key long, class_id long")
 
@@ -153,6 +148,11 @@ def duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
     """Every paragraph that has a duplicate: place, the first occurrence of its cluster, and whether it is removed."""
+    with settings(docs.sparkSession, SMALL_BATCHES | TIDY):
+        return _duplicates(docs, id_col, text_col, min_words)
+
+
+def _duplicates(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     seen = save(occurrences(docs, id_col, text_col, min_words))
     classes = save(seen.groupBy("sig", "class_id", "n").agg(F.count("*").alias("times")))
     bands, rows = tune()
