@@ -88,21 +88,26 @@ class Hasher:
             down[0] = 1
             self.powers.append((np.multiply.accumulate(up), np.multiply.accumulate(down)))
 
-    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The distinct shingles of each text, sorted."""
-        data = [(t or "").encode().translate(_FOLD) for t in texts]
-        flat = np.frombuffer(b" ".join([b"", *data, b""]), np.uint8)
+    def words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code, start, end) of the words of some bytes that begin and end with a blank."""
+        flat = np.frombuffer(_FOLD, np.uint8)[raw]
         if len(flat) > self.size:
             self._grow(len(flat) + (len(flat) >> 1))
         word = flat != 32
         edge = np.diff(word.astype(np.int8))
         starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
-        ends_of = np.cumsum([len(d) + 1 for d in data])
         codes = np.zeros(len(starts), np.uint64)
         for table, (up, down) in zip(self.bytes, self.powers):
             total = np.zeros(len(flat) + 1, np.uint64)
             np.cumsum(np.where(word, table[flat] * up[: len(flat)], _U(0)), out=total[1:])
             codes = mix(codes + mix((total[ends] - total[starts]) * down[starts]))
+        return codes, starts, ends
+
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The distinct shingles of each text, sorted."""
+        data = [(t or "").encode() for t in texts]
+        codes, starts, _ = self.words(np.frombuffer(b" ".join([b"", *data, b""]), np.uint8))
+        ends_of = np.cumsum([len(d) + 1 for d in data])
         firsts = np.searchsorted(starts, np.concatenate([[0], ends_of]))
         grams = np.zeros(max(0, len(codes) - SHINGLE + 1), np.uint64)
         for k in range(SHINGLE):

@@ -1,0 +1,252 @@
+"""Repeated passages of `PASSAGE` words or more, wherever lines break.
+
+A window is `PASSAGE` words in a row; upper case A-Z and the kind of white space do
+not count. Its fingerprint is the smallest hash of its runs of `SEED` words, so
+equal windows have equal fingerprints and few runs are one. A first pass counts the
+fingerprints, a second gives the windows whose fingerprint occurs twice (a bitmap of
+fixed size lets a few others through), and windows whose own 64-bit hash occurs twice
+are repeated. The first of each, by (doc_id, word), stays. What windows of a text
+cover is put together again: words of a first window are kept, other words of
+repeated windows can be removed, so every repeated window stays once as a whole.
+"""
+
+from __future__ import annotations
+
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import SMALL_BATCHES, TIDY, col, save, settings, slices
+from .ngram_join import Hasher, _batch, mix
+
+PASSAGE = 50
+SEED = 25
+#: 32 MB, so that 40 million repeated fingerprints fill a seventh of it.
+FILTER_BITS = 28
+_U = np.uint64
+
+
+def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
+    """Minimum (maximum) of every `width` values in a row."""
+    pick, out, size = np.minimum if least else np.maximum, values, 1
+    while 2 * size <= width:
+        out, size = pick(out[: len(out) - size], out[size:]), 2 * size
+    rest = width - size
+    return pick(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+class Windows:
+    """The windows of many texts at once."""
+
+    def __init__(self, texts: list[str | None]):
+        data = [(t or "").encode() for t in texts]
+        self.raw = np.frombuffer(b" ".join([b"", *data, b""]), np.uint8)
+        self.codes, self.starts, self.ends = Hasher.one().words(self.raw)
+        self.text_at = np.cumsum([1, *(len(d) + 1 for d in data)])
+        first = np.searchsorted(self.starts, self.text_at)
+        self.owner = np.repeat(np.arange(len(data)), np.diff(first))
+        self.word_at = first
+        n = max(0, len(self.codes) - PASSAGE + 1)
+        self.valid = self.owner[:n] == self.owner[PASSAGE - 1 :] if n else np.zeros(0, bool)
+        if not n:
+            return
+        up, down = Hasher.one().powers[0]
+        total = np.concatenate([np.zeros(1, _U), np.cumsum(self.codes * up[: len(self.codes)])])
+        run = lambda k: mix((total[k:] - total[:-k]) * down[: len(total) - k])
+        self.seeds, self.hashes = run(SEED), run(PASSAGE)
+        self.prints = _sliding(self.seeds, PASSAGE - SEED + 1, True)
+
+    def chosen(self) -> np.ndarray:
+        """The hash of every place that gives some window its fingerprint."""
+        if not self.valid.any():
+            return np.zeros(0, _U)
+        width = PASSAGE - SEED + 1
+        pad = np.zeros(width - 1, _U)
+        most = _sliding(np.concatenate([pad, np.where(self.valid, self.prints, _U(0)), pad]), width, False)
+        return self.seeds[(most == self.seeds) & (most > 0)]
+
+
+def filter_of(ids: DataFrame) -> np.ndarray:
+    """A bit for the low bits of every id, put together where the ids of a block of bits meet."""
+    low = ids.select(F.col("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("p"))
+    low = low.select(F.expr("p div 32768").alias("k"), F.expr("p % 32768").alias("p")).repartition("k")
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in low.groupBy("k").agg(F.bitmap_construct_agg("p").alias("map")).collect():
+        out[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(r.map, np.uint8)
+    return out
+
+
+def fingerprints(docs: DataFrame, text_col: str) -> DataFrame:
+    """(id, n): fingerprints of the windows and how often they stand in a slice of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, size in slices(batch.column(0)):
+                found, n = np.unique(Windows(batch.column(0).slice(at, size).to_pylist()).chosen(), return_counts=True)
+                if len(found):
+                    yield _batch(id=pa.array(found.view(np.int64)), n=pa.array(n.astype(np.int64)))
+
+    return docs.select(col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long")
+
+
+def _set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    p = values & _U((1 << FILTER_BITS) - 1)
+    return (bits[p >> _U(3)] >> (p & _U(7)).astype(np.uint8)) & 1 == 1
+
+
+def _pair(high: np.ndarray, low: np.ndarray) -> pa.Array:
+    return pa.array(high.astype(np.int64) << 32 | low.astype(np.int64))
+
+
+#: Two numbers below 2^31 a column: first word and line, begin and end.
+WINDOW = "h long, row long, doc_id long, place long, chars long, last_line long"
+
+
+def windows(docs: DataFrame, id_col: str, text_col: str, prints, hashes=None) -> DataFrame:
+    """The windows whose fingerprint is in the filter `prints`, and whose hash is in `hashes` if that is given.
+
+    `row` tells rows apart, also those of one id, within one run of the query.
+    """
+    source = docs.select(
+        F.monotonically_increasing_id().alias("row"), col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, size in slices(batch.column(2)):
+                part = batch.slice(at, size)
+                w = Windows(part.column(2).to_pylist())
+                i = np.flatnonzero(w.valid)
+                if len(i):
+                    i = i[_set(prints.value, w.prints[i])]
+                if len(i) and hashes is not None:
+                    i = i[_set(hashes.value, w.hashes[i])]
+                if not len(i):
+                    continue
+                own, last = w.owner[i], i + PASSAGE - 1
+                chars = np.concatenate([[0], np.cumsum((w.raw & 0xC0) != 0x80)])
+                lines = np.concatenate([[0], np.cumsum(w.raw == 10)])
+                base = w.text_at[own]
+                begin, end = (chars[x] - chars[base] for x in (w.starts[i], w.ends[last]))
+                line, last_line = (lines[x] - lines[base] for x in (w.starts[i], w.ends[last]))
+                took = pa.array(own)
+                yield _batch(
+                    h=pa.array(w.hashes[i].view(np.int64)),
+                    row=part.column(0).take(took),
+                    doc_id=part.column(1).take(took),
+                    place=_pair(i - w.word_at[own], line),
+                    chars=_pair(begin, end),
+                    last_line=pa.array(last_line),
+                )
+
+    return source.mapInArrow(run, WINDOW)
+
+
+def pieces(runs: list[tuple]) -> Iterator[tuple]:
+    """(begin, end, words, line, source, removed) of the stretches that one text's runs of windows cover.
+
+    A run is (first word, word after, begin, end, line, last line, source or None if it is the first one itself).
+    """
+    kept: list[list] = []
+    for a, b, begin, end, line, last_line, source in runs:
+        if source is None:
+            if kept and a <= kept[-1][1]:
+                kept[-1][1], kept[-1][3], kept[-1][5] = b, end, last_line
+            else:
+                kept.append([a, b, begin, end, line, last_line])
+    for a, b, begin, end, line, _ in kept:
+        yield begin, end, b - a, line, None, False
+    ends = [k[1] for k in kept]
+    done = None
+    for a, b, begin, end, line, last_line, source in runs:
+        if source is None:
+            continue
+        at, char, on = a, begin, line
+        if done and done[0] > a:
+            at, char, on = done
+        for k in kept[bisect_right(ends, at) :]:
+            if k[0] >= b or at >= b:
+                break
+            if k[0] > at:
+                yield char, k[2], k[0] - at, on, source, True
+            at, char, on = k[1], k[3], k[5]
+        if at < b:
+            yield char, end, b - at, on, source, True
+        if done is None or b > done[0]:
+            done = b, end, last_line
+
+
+FOUND = "doc_id long, paragraph long, begin long, end long, n_words long, cluster_doc_id long, cluster_paragraph long, removed boolean"
+
+
+def stretches(placed: DataFrame) -> DataFrame:
+    """Rows of `FOUND` from repeated windows with the place of their first one."""
+
+    def close(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        c = {n: t.column(n).to_numpy() for n in ("row", "last_line", "same")}
+        for a, b, both in (("at", "line", "place"), ("begin", "end", "chars"), ("src_at", "src_line", "src_place")):
+            pair = t.column(both).to_numpy()
+            c[a], c[b] = pair >> 32, pair & 0xFFFFFFFF
+        first = c["same"] & (c["at"] == c["src_at"])
+        src = t.column("src_doc").fill_null(0).to_numpy()
+        shift = c["src_at"] - c["at"]
+        joint = (c["row"][1:] == c["row"][:-1]) & (np.diff(c["at"]) == 1) & (src[1:] == src[:-1])
+        joint &= (shift[1:] == shift[:-1]) & (first[1:] == first[:-1])
+        starts = np.flatnonzero(np.concatenate([[True], ~joint]))
+        ends = np.append(starts[1:], t.num_rows) - 1
+        docs, sources = (t.column(n).take(pa.array(starts)).to_pylist() for n in ("doc_id", "src_doc"))
+        head = [c[n][starts].tolist() for n in ("row", "at", "begin", "line", "src_line")]
+        tail = [c[n][ends].tolist() for n in ("at", "end", "last_line")]
+        out: list[tuple] = []
+        runs: list[tuple] = []
+        own = first[starts].tolist()
+        for i in range(len(docs)):
+            row, a, begin, line, src_line = (x[i] for x in head)
+            last, end, last_line = (x[i] for x in tail)
+            runs.append((a, last + PASSAGE, begin, end, line, last_line, None if own[i] else (sources[i], src_line)))
+            if i + 1 == len(docs) or head[0][i + 1] != row:
+                for s, e, n, on, source, removed in pieces(runs):
+                    out.append((docs[i], on, s, e, n, *(source or (docs[i], on)), removed))
+                runs = []
+        names = [f.split()[0] for f in FOUND.split(", ")]
+        kinds = [pa.int64()] * 7 + [pa.bool_()]
+        yield _batch(**{n: pa.array([r[k] for r in out], kinds[k]) for k, n in enumerate(names)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(row, row[-1]))  # the last text may go on in the next batch
+            if held and (cut or held[-1].column(0)[-1].as_py() != row[-1]):
+                yield from close([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield from close([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+        if held:
+            yield from close(held)
+
+    return placed.repartition("row").sortWithinPartitions("row", "place").mapInArrow(run, FOUND)
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every stretch of repeated windows: place, first occurrence, and whether it can be removed."""
+    with settings(docs.sparkSession, SMALL_BATCHES | TIDY):
+        twice = fingerprints(docs, text_col).groupBy("id").agg(F.sum("n").alias("n")).where("n > 1").select("id")
+        share = docs.sparkSession.sparkContext.broadcast
+        prints = share(filter_of(twice))
+        every = windows(docs, id_col, text_col, prints)
+        firsts = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("src"))
+        firsts = firsts.where("n > 1").select("h", F.col("src.doc_id").alias("src_doc"), F.col("src.place").alias("src_place"))
+        firsts = save(firsts)
+        hashes = share(filter_of(firsts.select(F.col("h").alias("id"))))
+        # read again, not saved: the windows take several times the room of their texts
+        placed = windows(docs, id_col, text_col, prints, hashes).join(firsts, "h").drop("h")
+        return save(stretches(placed.withColumn("same", F.col("doc_id").eqNullSafe(F.col("src_doc")))))

@@ -13,6 +13,8 @@ Null and empty texts have no paragraphs. Copies of a text, also under the same i
 are occurrences like any other, but those with the place of a cluster's first one
 are the first one, too, and stay. A null id sorts before the others. Extra columns are not
 read, texts are read whole, no group is capped or sampled.
+
+`repeats` adds the passages of `passages.py`, which do not depend on lines.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import SMALL_BATCHES, TIDY, col, documents, save, settings, slices
 from .components import components
 from .ngram_join import FILTER_BITS, Hasher, _batch, bitmap, links, mix, short_id, signature
+from .passages import repeated
 
 THRESHOLD = 0.75
 RECALL = 0.995
@@ -196,5 +199,14 @@ def _duplicates(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
     )
 
 
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Duplicate paragraphs (unit "line") and repeated passages wherever lines break (unit "passage").
+
+    Rows of the two units may overlap. What a passage that is not removed covers stays, also in a removed line.
+    """
+    lines = duplicates(docs, id_col, text_col).withColumn("unit", F.lit("line"))
+    return lines.unionByName(repeated(docs, id_col, text_col).withColumn("unit", F.lit("passage")))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates(documents(spark, sf_dir))
+    return repeats(documents(spark, sf_dir))
