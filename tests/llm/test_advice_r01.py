@@ -2,7 +2,7 @@
 
 import random
 
-from presswork.llm import substring_dedup
+from presswork.llm import secret_scan, substring_dedup
 
 
 def test_passages_of_any_line_breaks(table):
@@ -35,3 +35,22 @@ def test_passages_of_any_line_breaks(table):
         got[r.removed] += [(r.doc_id, before + j) for j in range(r.n_words)]
     assert kept and gone and len(set(got[True])) == len(got[True])
     assert set(got[False]) == kept and set(got[True]) == gone - kept
+
+
+def token(rnd, n):
+    return "".join(rnd.choice(secret_scan.ALPHABETS["base64"][:62]) for _ in range(n))
+
+
+def test_secrets_behind_an_equals_sign(table):
+    rnd = random.Random(22)
+    names = ["sig", "auth", "export DB_PASS", "a_name_of_more_than_twenty_letters"]
+    rows = [(i, f"{names[i % 4]}={token(rnd, 40)}{'=' * (i % 3)} there") for i in range(120)]
+    found = {r.doc_id: r.spans for r in secret_scan.scan(table(rows)).collect()}
+    starts = {i: t.index("=") + 1 for i, t in rows}
+    assert sum(any(s.kind == "random" and s.start == starts[i] for s in found[i]) for i, _ in rows) >= 90
+
+
+def test_every_token_is_a_candidate(table):
+    texts = ["see QWERTYlkjhgfdsazxcvm there", "see QWERTYlkjhgfdsazxcv1 there", "12345678901234567890", "too=Short1234567890abc"]
+    got = {r.doc_id: [s.body for s in r.c] for r in table(list(enumerate(texts))).select("doc_id", secret_scan.candidates(secret_scan.col("text")).alias("c")).collect()}
+    assert got == {0: [texts[0].split()[1]], 1: [texts[1].split()[1]], 2: [texts[2]], 3: []}
