@@ -15,7 +15,9 @@ p-value. Random tokens have p-values spread evenly over 0 to 1, structured ones
 crowd near 0. For each class of lengths the corpus is counted into 50 bins of p;
 the upper half of the bins tells how many random tokens there are, and the
 threshold is the smallest p above which at most `FALSE_DISCOVERIES` of the tokens
-are in excess of that. The table of thresholds has at most 4 x 50 rows.
+are in excess of that. A class with too few such tokens takes the threshold of all
+classes together, and where those are too few as well tokens with p from
+`FIXED_CUT` / `BINS` on are taken. The table of thresholds has at most 5 x 50 rows.
 
 Null and empty texts have no spans. Repeated rows are judged one by one, equal
 spans of two kinds are both listed; extra columns are not read. Texts are read
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import col, documents, fresh
-from .native_spans import NONE, let, ordered, replaced, said, spans, where_any
+from .native_spans import let, ordered, replaced, said, spans, where_any
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -43,6 +45,11 @@ ASSIGN_CHARS = 8
 LEAST_TOKENS = 20
 FALSE_DISCOVERIES = 0.1
 BINS = 50
+CLASSES = 4
+#: Stands for all classes together.
+POOL = -1
+#: The bin of p = 0.1, below which a tenth of random tokens lie.
+FIXED_CUT = 5
 REPLACEMENT = "[secret]"
 
 ALPHABETS = {
@@ -148,9 +155,10 @@ def length_class(n: Column) -> Column:
 def thresholds(judged: DataFrame) -> DataFrame:
     """(class, cut): the smallest bin from which on tokens of this class of lengths are taken for secrets.
 
-    `judged` has a row for each token: its length class and p.
+    `judged` has a row for each token: its length class and p. `POOL` has its own row; a sparse class has none.
     """
-    bins = judged.select("class", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    each = F.explode(F.array(F.col("class"), F.lit(POOL))).alias("class")
+    bins = judged.select(each, "p").select("class", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     counts = bins.groupBy("class", "bin").agg(F.count("*").alias("n"))
     grid = counts.select("class").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
     full = grid.join(counts, ["class", "bin"], "left").fillna(0, ["n"])
@@ -172,8 +180,9 @@ def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id
     one = df.select(text.alias("t")).select(F.explode(candidates(F.col("t"))).alias("s"))
     judged = one.select(length_class(F.length("s.body")).alias("class"), random_p(F.col("s.body")).alias("p"))
     cuts = thresholds(judged).agg(F.map_from_entries(F.collect_list(F.struct("class", "cut"))).alias("cuts"))
-    # a row of at most four entries
-    known = {int(k): int(v) for k, v in (cuts.first().cuts or {}).items()}
+    # a row of at most five entries
+    told = {int(k): int(v) for k, v in (cuts.first().cuts or {}).items()}
+    known = {k: told.get(k, told.get(POOL, FIXED_CUT)) for k in range(CLASSES)}
     taken = df.select(*[col(k) for k in keep], text.alias(source))
     taken = taken.withColumn(base, base_spans(col(source))).withColumn(marks, candidates(col(source)))
 
@@ -184,8 +193,7 @@ def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id
         return out
 
     secret = F.filter(col(marks), lambda s: F.floor(random_p(s["body"]) * BINS) >= cut(F.length(s["body"])))
-    more = secret if known else F.array().cast(NONE)
-    found = ordered(F.concat(col(base), more), KINDS, False)
+    found = ordered(F.concat(col(base), secret), KINDS, False)
     return taken.select(*[col(k) for k in keep], col(base), F.when(F.size(col(marks)) == 0, col(base)).otherwise(found).alias(every))
 
 

@@ -54,3 +54,13 @@ def test_every_token_is_a_candidate(table):
     texts = ["see QWERTYlkjhgfdsazxcvm there", "see QWERTYlkjhgfdsazxcv1 there", "12345678901234567890", "too=Short1234567890abc"]
     got = {r.doc_id: [s.body for s in r.c] for r in table(list(enumerate(texts))).select("doc_id", secret_scan.candidates(secret_scan.col("text")).alias("c")).collect()}
     assert got == {0: [texts[0].split()[1]], 1: [texts[1].split()[1]], 2: [texts[2]], 3: []}
+
+
+def test_secrets_in_a_tiny_table_and_in_a_sparse_class(table):
+    rnd = random.Random(23)
+    few = [(i, f"see {token(rnd, 90)} there") for i in range(6)]
+    random_ = lambda rows: {r.doc_id for r in secret_scan.scan(table(rows)).collect() if any(s.kind == "random" for s in r.spans)}
+    assert len(random_(few)) >= 4
+    assert random_([(7, f"see {'abcdefgh01' * 4} there")]) == set()
+    many = [(100 + i, f"see {token(rnd, 40)} there") for i in range(60)]
+    assert len(random_(few + many) & set(range(6))) >= 4
