@@ -5,42 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import Scratch
 
 MAX_ROUNDS = 60
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, store: Scratch | None = None) -> DataFrame:
     """`node`, `root` for every node of the edges `u`, `v`; the root is the smallest node of its component.
 
     Each round hangs the larger neighbours of a node on its smallest neighbour, then
     does the same with the smaller ones; only minima and the edges themselves are
     shuffled, so a node with very many edges is pre-aggregated or split like any other
-    key. Every round is cut off by a checkpoint. Null ends and loops are ignored, but a
-    node that has only loops keeps itself as root. An empty table gives an empty table.
+    key. Every round is cut off by a written table, and the tables of the round before
+    are deleted. Null ends and loops are ignored, but a node that has only loops keeps
+    itself as root. An empty table gives an empty table. Without `store` the result stays for good.
     """
-    known = save(edges.where("u is not null and v is not null"))
-    now = save(known.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = _mark(now)
-    for _ in range(MAX_ROUNDS):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = save(large.distinct())
-        least = save(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        was, mark = mark, _mark(now)
-        if was == mark:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    alone = known.where("u = v").select(F.col("u").alias("node")).distinct()
-    tops = now.select(F.col("v").alias("node")).distinct().unionByName(alone).distinct().join(
-        roots.select("node"), "node", "left_anti"
-    )
-    return roots.unionByName(tops.select("node", F.col("node").alias("root")))
+    keep = store.__call__ if store else Scratch(edges.sparkSession).keep
+    with Scratch(edges.sparkSession) as save:
+        known = save(edges.where("u is not null and v is not null"))
+        now = save(known.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        mark = _mark(now)
+        for _ in range(MAX_ROUNDS):
+            if not mark[0]:
+                break
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+            large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = save(large.distinct())
+            save.drop(now, least)
+            least = save(large.groupBy("u").agg(F.min("v").alias("m")))
+            small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            now = save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+            save.drop(large, least)
+            was, mark = mark, _mark(now)
+            if was == mark:
+                break
+        else:
+            raise RuntimeError("components did not settle")
+        roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+        alone = known.where("u = v").select(F.col("u").alias("node")).distinct()
+        tops = now.select(F.col("v").alias("node")).distinct().unionByName(alone).distinct().join(
+            roots.select("node"), "node", "left_anti"
+        )
+        return keep(roots.unionByName(tops.select("node", F.col("node").alias("root"))))
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:

@@ -14,13 +14,20 @@ is settled by counting occurrences in all lists of a small group:
    if it meets as often as both sizes demand. Longer lists only tie their members
    together, and only members that have enough of such lists.
 3. Components of these ties are groups: no link leaves a group. Each class goes once
-   to its group, with all its shingles. Inside a group lists are merged and counted
-   (short ones) or probed (long ones), as DivideSkip does, and what reaches the
-   required overlap is a link. A group above `BLOCK_SHINGLES` shingles is dealt to
-   blocks, and every two blocks of it meet in a task, so that a task's memory has a
-   bound whatever the size of the group.
-4. Components of the links are the result. Within a task only the links of a
-   spanning forest are written, so a group of copies gives as many as it has members.
+   to its group, with all its shingles. Inside a group sets ask for their partners
+   one after another by DivideSkip: a heap merges the query's short inverted lists and
+   skips what can't reach T - L, the L longest ones are probed by binary search. A set
+   that was reached is not looked for again, so a group of near copies costs about one
+   query over its lists, not one for each member. A group of many sets or shingles is
+   dealt to blocks, and every two blocks of it meet in a task, so that a task's memory
+   and work have a bound whatever the size of the group.
+4. Components of the links are the result. A task writes the links of a spanning
+   forest only, so a group of copies gives as many as it has members.
+
+The counters of step 1 and the filters have a fixed size. Where far more shingles than
+counters exist, rare ones share theirs, and only frequent shingles still stand out from
+the rest: that is what the order is for. A full filter lets all classes through to the
+join behind it. Both change the time, never the result.
 
 A null or empty text, or one without words, has no shingles and is linked with
 nothing; its component is its own id. Fewer than five words make one shingle of
@@ -31,21 +38,29 @@ its own component is null if it is alone. Extra columns are not read, texts are
 
 from __future__ import annotations
 
+import math
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCHES, TIDY, UPPER, col, documents, save, settings, slices
+from .common import SMALL_BATCHES, TIDY, UPPER, Marks, Scratch, col, documents, settings, slices
 from .components import components
 
 SHINGLE = 5
 SKETCH_BITS = 18
 SHORT_LIST = 24
+#: A group of more sets or shingles is dealt to several blocks, up to `SPREAD` of them for the sake of its sets alone.
 BLOCK_SHINGLES = 1_500_000
-QUERIES = 256
+BLOCK_SETS = 256
+SPREAD = 8
+#: Weighs the probes of a long list against merging it.
+MU = 0.0085
 
 _U = np.uint64
 #: A-Z become a-z, white space becomes a blank.
@@ -119,7 +134,7 @@ class Hasher:
             elif b > a:
                 short = np.array([b - a], np.uint64)
                 for k in range(b - a):
-                    short = mix(short + codes[a + k] * self.odd[k])
+                    short = mix(short + codes[a + k : a + k + 1] * self.odd[k])
                 out.append(mix(short + _U(1)))
             else:
                 out.append(np.zeros(0, np.uint64))
@@ -290,7 +305,7 @@ def meetings(lists: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long, na long, nb long, met long")
 
 
-def ties(met: DataFrame) -> DataFrame:
+def ties(met: DataFrame, save: Scratch) -> DataFrame:
     """Edges (u, v) between classes that may be linked, from saved meetings."""
     long = met.where("met = 0").select(F.col("a").alias("class_id"), F.col("b").alias("token"), F.col("na").alias("n"))
     per = long.groupBy("class_id").agg(F.count("*").alias("h"), F.min("n").alias("n"))
@@ -315,23 +330,9 @@ def ties(met: DataFrame) -> DataFrame:
     return stars.unionByName(kept.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-FILTER_BITS = 22
-
-
-def bitmap(ids: DataFrame) -> np.ndarray:
-    """Bits by the low bits of `id`: of fixed size, whatever the number of ids."""
-    low = ids.select(F.col("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("p"))
-    made = low.groupBy(F.expr("p div 32768").alias("k")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("map"))
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in made.collect():
-        out[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(r.map, np.uint8)
-    return out
-
-
 def members(docs: DataFrame, text_col: str, groups: DataFrame) -> DataFrame:
     """(class_id, sig, grams) of classes that are in a group; others may be among them."""
-    bits = bitmap(groups.select(F.col("node").alias("id")))
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(Marks.of(groups, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, known, seen = Hasher.one(), shared.value, set()
@@ -340,8 +341,7 @@ def members(docs: DataFrame, text_col: str, groups: DataFrame) -> DataFrame:
                 got = []
                 for grams in hasher.sets(batch.column(0).slice(at, size).to_pylist()):
                     sig = signature(grams)
-                    p = short_id(sig) & ((1 << FILTER_BITS) - 1)
-                    if len(grams) and sig not in seen and known[p >> 3] >> (p & 7) & 1:
+                    if len(grams) and sig not in seen and short_id(sig) in known:
                         seen.add(sig)
                         got.append((short_id(sig), sig, grams))
                 yield _batch(
@@ -355,161 +355,187 @@ def members(docs: DataFrame, text_col: str, groups: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "class_id long, sig binary, n long, grams binary")
 
 
-def search(sets: list[np.ndarray], split: int) -> Iterator[tuple[int, int]]:
-    """Links (i, j) between sets by T-occurrence; with split, only between sets before and from there on.
+def merge_skip(post: array, spans: list[tuple[int, int]], least: int) -> Iterator[tuple[int, int]]:
+    """(id, count) of the ids that stand in at least `least` of the sorted lists post[a:b], ids rising.
 
-    Short lists are merged and counted; what still can reach its threshold with all
-    long lists counted in is probed for in those.
+    A heap holds a cursor for each list. Where the smallest id stands in too few lists, the
+    `least` - 1 smallest cursors can't bring it up, and all skip to the next cursor's id.
     """
-    m = len(sets)
-    size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), size)
-    order = np.lexsort((owner, flat))
-    tokens, owner = flat[order], owner[order]
-    bounds = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    lengths = np.diff(np.append(bounds, len(tokens)))
-    which = np.repeat(np.arange(len(bounds)), lengths)
-    keys = which * m + owner  # sorted: every list is a stretch of it
-    long_from = max(8, m // 32)
-    is_long = lengths > long_from
-    by_owner = np.argsort(owner, kind="stable")
-    mine, ends = which[by_owner], np.cumsum(size)
-    columns = np.full(len(bounds), -1)
-    columns[is_long] = np.arange(int(is_long.sum()))
-    hits = is_long[which]
-    queries = np.arange(split or m)
-    targets = np.arange(split, m) if split else np.arange(m)
-    step = max(1, min(QUERIES, (1 << 24) // max(1, m)))
-    for lo in range(0, len(queries), step):
-        q = queries[lo : lo + step]
-        met = np.zeros((len(q), m), np.int32)
-        lists = [mine[ends[i] - size[i] : ends[i]] for i in q]
-        row = np.repeat(np.arange(len(q)), [len(x) for x in lists])
-        lists = np.concatenate(lists)
-        short = ~is_long[lists] & (lengths[lists] > 1)
-        r, s = row[short], lists[short]
-        if len(s):
-            n = lengths[s]
-            at = np.repeat(bounds[s] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            met += np.bincount(np.repeat(r, n) * m + owner[at], minlength=met.size).reshape(met.shape).astype(np.int32)
-        need = -(-3 * (size[q][:, None] + size[None, :]) // 7)
-        longs = np.bincount(row[is_long[lists]], minlength=len(q))
-        open_ = met + longs[:, None] >= need
-        open_[:, : split or 0] = False
-        if not split:
-            open_ &= np.arange(m)[None, :] > q[:, None]
-        i, j = np.nonzero(open_)
-        if not len(i):
+    heap = [(post[a], a, b) for a, b in spans]
+    heapify(heap)
+    while len(heap) >= least:
+        top, out = heap[0][0], []
+        while heap and heap[0][0] == top:
+            out.append(heappop(heap))
+        if len(out) >= least:
+            yield top, len(out)
+            for _, a, b in out:
+                if a + 1 < b:
+                    heappush(heap, (post[a + 1], a + 1, b))
+            continue
+        while heap and len(out) < least - 1:
+            out.append(heappop(heap))
+        if not heap:
+            return
+        ahead = heap[0][0]
+        for _, a, b in out:
+            a = bisect_left(post, ahead, a, b)
+            if a < b:
+                heappush(heap, (post[a], a, b))
+
+
+class Lists:
+    """The inverted lists of some sets, sets numbered by size."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)
+        order = np.argsort(flat, kind="stable")
+        tokens, self.owner = flat[order], owner[order]
+        new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+        self.token = np.cumsum(new) - 1
+        self.n = int(new.sum())
+        self.of = np.empty(len(flat), np.int64)
+        self.of[order] = self.token
+        self.ends = np.cumsum(self.size)
+        shared = np.bincount(self.token, minlength=self.n)[self.token] > 1  # a list of one tells nothing
+        self.owner, self.token = self.owner[shared], self.token[shared]
+        self.open = np.ones(len(sets), bool)
+        self.left = self.indexed = len(sets)
+        self._index()
+
+    def _index(self) -> None:
+        """Lists of the sets that are still looked for."""
+        some = self.open[self.owner]
+        self.owner, self.token = self.owner[some], self.token[some]
+        self.post = array("i", self.owner.tobytes())
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(self.token, minlength=self.n))])
+        self.indexed = self.left
+
+    def close(self, one: int) -> None:
+        self.open[one] = False
+        self.left -= 1
+
+    def partners(self, q: int) -> Iterator[int]:
+        """Sets still looked for that are linked with set q."""
+        if 2 * self.left < self.indexed:
+            self._index()
+        n, post = int(self.size[q]), self.post
+        least = -(-3 * n // 4)
+        mine = self.of[self.ends[q] - n : self.ends[q]]
+        mine = mine[self.at[mine + 1] > self.at[mine]]
+        if len(mine) < least:
+            return
+        lo = int(np.searchsorted(self.size, least))
+        hi = int(np.searchsorted(self.size, 4 * n // 3, "right"))
+        spans = []
+        for a, b in zip(self.at[mine].tolist(), self.at[mine + 1].tolist()):
+            a = bisect_left(post, lo, a, b) if lo else a
+            b = bisect_left(post, hi, a, b) if hi < len(self.size) else b
+            if a < b:
+                spans.append((a, b))
+        if len(spans) < least:
+            return
+        spans.sort(key=lambda x: x[1] - x[0])
+        longest = spans[-1][1] - spans[-1][0]
+        long = min(least - 1, int(least / (MU * math.log2(longest + 1) + 1)))
+        short, probed = spans[: len(spans) - long], spans[len(spans) - long :]
+        for one, met in merge_skip(post, short, least - long):
+            if not self.open[one]:
+                continue
+            missing = -(-3 * (n + int(self.size[one])) // 7) - met
+            rest = long
+            for a, b in probed:
+                if missing <= 0 or missing > rest:
+                    break
+                a = bisect_left(post, one, a, b)
+                missing -= a < b and post[a] == one
+                rest -= 1
+            if missing <= 0:
+                yield one
+
+
+def forest(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links (i, j) that span the components of some sets of distinct numbers, none of them empty."""
+    if len(sets) < 2:
+        return
+    rank = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    lists = Lists([sets[i] for i in rank])
+    for start in range(len(sets)):
+        if not lists.open[start]:
             continue
-        if len(i) * max(1, longs.max()) < 4_000_000:
-            ll = [x[is_long[x]] for x in (mine[ends[k] - size[k] : ends[k]] for k in q)]
-            n = longs[i]
-            probe = np.concatenate([ll[k] for k in i]) if n.sum() else np.zeros(0, np.int64)
-            want = probe * m + np.repeat(j, n)
-            found = keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want
-            total = met[i, j] + np.bincount(np.repeat(np.arange(len(i)), n)[found], minlength=len(i))
-        else:
-            total = met[i, j].astype(np.int64)
-            used = np.unique(columns[lists[is_long[lists]]])
-            for c in range(0, len(used), 2048):  # many probes at once: rows of the lists as bits
-                place = np.full(int(is_long.sum()) + 1, -1)
-                place[used[c : c + 2048]] = np.arange(len(used[c : c + 2048]))
-                bits = np.zeros((m, len(used[c : c + 2048])), np.float32)
-                at = np.flatnonzero(hits)
-                to = place[columns[which[at]]]
-                bits[owner[at][to >= 0], to[to >= 0]] = 1
-                total += np.rint(bits[q] @ bits.T).astype(np.int64)[i, j]
-        ok = total >= need[i, j]
-        yield from zip(q[i[ok]].tolist(), j[ok].tolist())
+        lists.close(start)
+        asking = [start]
+        while asking and lists.left:
+            q = asking.pop()
+            for one in list(lists.partners(q)):
+                lists.close(one)
+                asking.append(one)
+                yield rank[q], rank[one]
 
 
 def links(groups: DataFrame, parts: DataFrame) -> DataFrame:
     """Links (u, v) of signatures: a spanning forest of what each task finds."""
-    spread = groups.groupBy("root").agg(F.sum("n").alias("n"))
-    wide = spread.where(F.col("n") > BLOCK_SHINGLES).select(
-        "root", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("long").alias("blocks")
-    )
-    placed = parts.join(groups.select(F.col("node").alias("class_id"), "root"), "class_id")
-    placed = placed.join(save(wide), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select(
-        F.hash("root", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
-        "root",
-        F.least("block", "other").alias("lo"),
-        F.greatest("block", "other").alias("hi"),
-        "block",
-        "sig",
-        "grams",
-    )
+    spread = groups.groupBy("root").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+    by_sets = F.least(F.ceil(F.col("m") / BLOCK_SETS), F.lit(SPREAD))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SHINGLES), by_sets).cast("long")
+    wide = spread.select("root", blocks.alias("blocks")).where("blocks > 1")
+    dealt = groups.select(F.col("node").alias("class_id"), "root").join(wide, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = parts.join(dealt, "class_id").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+    # every two blocks meet; a group of one block meets itself
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: (o != F.col("block")) | (F.col("blocks") == 1))
+    placed = placed.withColumn("other", F.explode(others))
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    placed = placed.select(F.hash("root", lo, hi).alias("task"), "root", lo.alias("lo"), hi.alias("hi"), "sig", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, {}
 
         def done() -> Iterator[pa.RecordBatch]:
-            if len(rows) < 2:
-                return
-            first = key[1]
-            order = sorted(rows, key=lambda s: (rows[s][0] != first, s))
-            sets = [np.frombuffer(rows[s][1], np.uint64) for s in order]
-            split = sum(rows[s][0] == first for s in order) if key[1] != key[2] else 0
-            if key[1] != key[2] and split in (0, len(order)):
-                return
-            top = list(range(len(order)))
-
-            def root(x: int) -> int:
-                while top[x] != x:
-                    top[x] = top[top[x]]
-                    x = top[x]
-                return x
-
-            u, v = [], []
-            for i, j in search(sets, split):
-                a, b = root(i), root(j)
-                if a != b:
-                    top[max(a, b)] = min(a, b)
-                    u.append(order[i])
-                    v.append(order[j])
-            if u:
+            order = sorted(rows)
+            got = list(forest([np.frombuffer(rows[s], np.uint64) for s in order]))
+            if got:
+                u, v = ([order[x[k]] for x in got] for k in range(2))
                 yield _batch(u=pa.array(u, pa.binary()), v=pa.array(v, pa.binary()))
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(1, 7)]
-            for root_, lo, hi, block, sig, grams in zip(*cols):
-                if (root_, lo, hi) != key:
+            cols = [batch.column(i).to_pylist() for i in range(1, 6)]
+            for root, lo, hi, sig, grams in zip(*cols):
+                if (root, lo, hi) != key:
                     yield from done()
-                    key, rows = (root_, lo, hi), {}
-                rows[sig] = (block, grams)
+                    key, rows = (root, lo, hi), {}
+                rows[sig] = grams
         yield from done()
 
-    dealt = placed.repartition("task").sortWithinPartitions("root", "lo", "hi").select("task", "root", "lo", "hi", "block", "sig", "grams")
-    return dealt.mapInArrow(run, "u binary, v binary")
+    tasks = placed.repartition("task").sortWithinPartitions("root", "lo", "hi")
+    return tasks.mapInArrow(run, "u binary, v binary")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, component_id, sig) of every row, component_id being the smallest id of its component."""
-    with settings(docs.sparkSession, SMALL_BATCHES | TIDY):
-        return _linked(docs, id_col, text_col)
+    with settings(docs.sparkSession, SMALL_BATCHES | TIDY), Scratch(docs.sparkSession) as save:
+        return save.keep(_linked(docs, id_col, text_col, save))
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _linked(docs: DataFrame, id_col: str, text_col: str, save: Scratch) -> DataFrame:
     seen = save(profile(docs, id_col, text_col))
     each = seen.where("sig is not null").select("doc_id", "n", "sig", "class_id")
     counters = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in seen.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).collect():
         counters[r.bucket] = r.hits
     met = save(meetings(postings(docs, text_col, counters)))
-    groups = components(ties(met))
+    groups = components(ties(met, save), save)
+    save.drop(met)
     # sizes of the classes, to deal large groups out
     classes = save(each.where("n > 0").groupBy("sig", "class_id", "n").agg(F.min("doc_id").alias("first")))
     sizes = classes.groupBy(F.col("class_id").alias("node")).agg(F.max("n").alias("n"))
     groups = save(groups.join(sizes, "node"))
-    found = components(links(groups, members(docs, text_col, groups)))
-    found = save(found.select(F.col("node").alias("sig"), "root"))
+    found = components(links(groups, members(docs, text_col, groups)), save)
+    found = found.select(F.col("node").alias("sig"), "root")
     rooted = save(classes.join(found, "sig", "left").withColumn("root", F.coalesce("root", "sig")))
-    least = save(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = save(rooted.join(least, "root").select("sig", "component_id"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(least, "root").select("sig", "component_id")
     alone = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return each.join(named, "sig", "left").select("doc_id", "n", alone.alias("component_id"), "sig")
 

@@ -1,20 +1,31 @@
-"""Substring deduplication: paragraphs by MinHash banding, verified exactly.
-
-A paragraph is a line of at least `MIN_WORDS` words; its set is that of its
-distinct 5-word shingles. `tune` picks rows and bands so that two paragraphs of
-Jaccard similarity 0.75 share a band with a probability of at least `RECALL`.
-Paragraphs with equal sets are one class and need no band. Those of one band are
-tied to the first of them, ties give groups, and inside each group every pair is
-compared exactly (in bounded blocks), so that a tie never stands for a link.
-Components of the links are clusters; the occurrence with the smallest
-(doc_id, paragraph) of each stays, the others can be removed.
+"""Substring deduplication: content-defined paragraphs by MinHash banding, verified exactly.
+
+Texts are cut into fine and coarse paragraphs (`paragraphs.py`), which do not depend on
+lines. A first pass hashes every text once. It writes, for each coarse paragraph, the
+hashes of its MinHash bands over 5-word shingles; `tune` picks rows and bands so that
+two paragraphs of Jaccard similarity 0.75 share a band with a probability of at least
+`RECALL`. A fine paragraph has a dozen shingles or less, so that two similar ones are
+equal but for a word at an end; it has one band, the hash of all its words. Rows of
+one band meet: coarse paragraphs are tied to the first one, fine ones are counted.
+A second pass gives the places of the fine paragraphs that repeat, and the sets of the
+tied coarse ones. Two results come of it, told apart by `unit`:
+
+- `equal`: stretches of `SHORTEST` words or more that stand word for word elsewhere. Fine
+  paragraphs in a row that repeat another row of them are one run; a run is extended word by
+  word over the paragraphs at its ends, as far as its source agrees. The first
+  occurrence (by doc_id, then place) of each fine paragraph stays, the others can be removed.
+- `near`: coarse paragraphs of `SHORTEST` words or more in clusters. Inside a group of ties the
+  pairs are compared exactly, by T-occurrence, so that a tie never stands for a link; components
+  of the links are clusters. The first occurrence of a cluster stays.
+
+Rows of the two units may overlap; what a row that is not removed covers stays, also in
+a removed one. So a passage always stays somewhere, as a whole or similar to it.
 
 Null and empty texts have no paragraphs. Copies of a text, also under the same id,
-are occurrences like any other, but those with the place of a cluster's first one
-are the first one, too, and stay. A null id sorts before the others. Extra columns are not
-read, texts are read whole, no group is capped or sampled.
-
-`repeats` adds the passages of `passages.py`, which do not depend on lines.
+are occurrences like any other. A null id sorts before the others. Extra columns are
+not read, texts are read whole, no group is capped or sampled. Words are compared by
+64-bit hashes, those at the ends of a run by 32 bits of them. A passage shorter than
+50 words may lie between two cuts of its surroundings and is then not found.
 """
 
 from __future__ import annotations
@@ -26,15 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCHES, TIDY, col, documents, save, settings, slices
+from .common import SMALL_BATCHES, TIDY, Marks, Scratch, col, documents, settings, slices
 from .components import components
-from .ngram_join import FILTER_BITS, Hasher, _batch, bitmap, links, mix, short_id, signature
-from .passages import repeated
+from .ngram_join import SHINGLE, _batch, links, mix
+from .paragraphs import Cuts, Recent, binaries, ranges
 
 THRESHOLD = 0.75
-RECALL = 0.995
-PERMUTATIONS = 100
-MIN_WORDS = 20
+RECALL = 0.99
+PERMUTATIONS = 27
+SHORTEST = 30
+#: Words that a run may be extended by; few fine paragraphs are longer.
+CONTEXT = 64
 _U = np.uint64
 
 
@@ -48,164 +61,307 @@ def tune(threshold: float = THRESHOLD, recall: float = RECALL, permutations: int
     return best
 
 
-def paragraphs(text: str | None, min_words: int) -> list[tuple[int, int, int, str]]:
-    """(line number, start, words, line) of the lines with enough words; white space is \\x20 and \\x09-\\x0D."""
-    out, at = [], 0
-    for i, line in enumerate((text or "").split("\n")):
-        n = len(line.encode().split())
-        if n >= min_words:
-            out.append((i, at, n, line))
-        at += len(line) + 1
-    return out
-
+def banded(docs: DataFrame, text_col: str, bands: int, rows: int, seed: int = 7) -> DataFrame:
+    """(key, class_id, n): the bands of the paragraphs that a task meets; n counts a fine one, 0 is a coarse one."""
+    draw = np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, bands * rows, np.uint64) * _U(2) + _U(1)
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc_id, paragraph, begin, end, n_words, n, sig, class_id) of every paragraph."""
-    source = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    def of_coarse(cuts: Cuts, recent: Recent) -> tuple[np.ndarray, np.ndarray]:
+        begin, end = cuts.coarse
+        long = end - begin >= SHINGLE  # fewer words are one shingle: equal or not similar at all
+        begin, end = begin[long], end[long]
+        who, _ = cuts.hashes((begin, end))
+        new = recent.new(who)
+        who, size = who[new], (end - begin)[new] - SHINGLE + 1
+        if not len(who):
+            return np.zeros(0, _U), np.zeros(0, _U)
+        flat = cuts.shingles()[ranges(begin[new], size)]
+        starts = np.cumsum(size) - size
+        key = np.broadcast_to(np.arange(1, bands + 1).astype(_U), (len(who), bands)).copy()
+        for k, d in enumerate(draw):
+            band = k % bands
+            key[:, band] = mix(key[:, band] * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(flat * d, starts))
+        return key.ravel(), np.repeat(who, bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher.one()
+        recent = Recent()
         for batch in batches:
-            for at, size in slices(batch.column(1)):
-                part = batch.slice(at, size)
-                rows = [
-                    (d, *p)
-                    for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())
-                    for p in paragraphs(t, min_words)
-                ]
-                sets = hasher.sets([r[4] for r in rows])
-                sigs = [signature(s) for s in sets]
+            for at, size in slices(batch.column(0)):
+                cuts = Cuts(batch.column(0).slice(at, size).to_pylist())
+                fine, n = np.unique(cuts.hashes(cuts.fine)[0], return_counts=True)
+                key, who = of_coarse(cuts, recent)
                 yield _batch(
-                    doc_id=pa.array([r[0] for r in rows], pa.int64()),
-                    paragraph=pa.array([r[1] for r in rows], pa.int64()),
-                    begin=pa.array([r[2] for r in rows], pa.int64()),
-                    end=pa.array([r[2] + len(r[4]) for r in rows], pa.int64()),
-                    n_words=pa.array([r[3] for r in rows], pa.int64()),
-                    n=pa.array([len(s) for s in sets], pa.int64()),
-                    sig=pa.array(sigs, pa.binary()),
-                    class_id=pa.array([short_id(s) for s in sigs], pa.int64()),
+                    key=pa.array(np.concatenate([mix(fine), key]).view(np.int64)),
+                    class_id=pa.array(np.concatenate([fine, who]).view(np.int64)),
+                    n=pa.array(np.concatenate([n, np.zeros(len(who), n.dtype)]).astype(np.int32)),
                 )
 
-    schema = "doc_id long, paragraph long, begin long, end long, n_words long, n long, sig binary, class_id long"
-    return source.mapInArrow(run, schema)
+    return docs.select(col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, class_id long, n int")
 
 
-def distinct_sets(docs: DataFrame, text_col: str, min_words: int, wanted, make, schema: str) -> DataFrame:
-    """A pass over the paragraphs; `make` turns each task's new (sig, shingles) into a batch."""
+def met(bands: DataFrame) -> DataFrame:
+    """(u, v): ties of coarse paragraphs to the smallest of their band, and (u, null) for fine ones that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = Hasher.one(), set()
-        for batch in batches:
-            for at, size in slices(batch.column(0)):
-                lines = [p[3] for t in batch.column(0).slice(at, size).to_pylist() for p in paragraphs(t, min_words)]
-                got = []
-                for grams in hasher.sets(lines):
-                    sig = signature(grams)
-                    if sig not in seen and wanted(sig):
-                        seen.add(sig)
-                        got.append((sig, grams))
-                if got:
-                    yield make(got)
-
-    return docs.select(col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
-
-
-def banded(docs: DataFrame, text_col: str, min_words: int, bands: int, rows: int, seed: int = 7) -> DataFrame:
-    """(key, class_id): the band hashes of every class, from each task that meets it."""
-    draw = np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, bands * rows, np.uint64) * _U(2) + _U(1)
-
-    def make(got: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
-        flat = np.concatenate([g for _, g in got])
-        starts = np.cumsum([0, *(len(g) for _, g in got[:-1])])
-        low = np.stack([np.minimum.reduceat(flat * d, starts) for d in draw], 1).reshape(len(got), bands, rows)
-        key = np.broadcast_to(np.arange(bands).astype(np.uint64), (len(got), bands))
-        for k in range(rows):
-            key = mix(key * _U(0x9E3779B97F4A7C15) + low[:, :, k])
-        who = np.repeat(np.array([short_id(s) for s, _ in got], np.int64), bands)
-        return _batch(key=pa.array(key.ravel().view(np.int64)), class_id=pa.array(who))
-
-    return distinct_sets(docs, text_col, min_words, lambda sig: True, make, "key long, class_id long")
-
+        key = lead = None
+        count = 0  # of the key that may go on
 
-def ties(bands: DataFrame) -> DataFrame:
-    """Edges (u, v) from each class of a band to the smallest of it, streamed from sorted partitions."""
+        def one(u: np.ndarray, v: np.ndarray | None) -> pa.RecordBatch:
+            return _batch(u=pa.array(u, pa.int64()), v=pa.nulls(len(u), pa.int64()) if v is None else pa.array(v, pa.int64()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = lead = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            k, c, n = (batch.column(i).to_numpy() for i in range(3))
             new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
+            if new[0] and count > 1:
+                yield one(np.array([lead]), None)
             starts = np.flatnonzero(new)
-            leads = np.concatenate([[0 if lead is None else lead], c[starts]])[np.cumsum(new)]
-            apart = leads != c
-            pairs = np.unique(np.stack([c[apart], leads[apart]], 1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
-            key, lead = k[-1], leads[-1]
-            yield _batch(u=pa.array(pairs[:, 0]), v=pa.array(pairs[:, 1]))
+            lead_of = np.concatenate([[0 if lead is None else lead], c[starts]])[np.cumsum(new)]
+            bounds = starts if new[0] else np.concatenate([[0], starts])
+            totals = np.add.reduceat(n.astype(np.int64), bounds)
+            totals[0] += 0 if new[0] else count
+            again = totals[:-1] > 1
+            if again.any():
+                yield one(lead_of[bounds[:-1][again]], None)
+            apart = (lead_of != c) & (n == 0)
+            if apart.any():
+                pairs = np.unique(np.stack([c[apart], lead_of[apart]], 1), axis=0)
+                yield one(pairs[:, 0], pairs[:, 1])
+            key, lead, count = k[-1], lead_of[-1], int(totals[-1])
+        if count > 1:
+            yield one(np.array([lead]), None)
+
+    return bands.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(run, "u long, v long")
+
+
+PLACES = (
+    "kind int, h1 long, h2 long, row long, doc_id long, at int, n int, begin int, end int, open int, "
+    "left binary, right binary, left_at binary, right_at binary, sig binary, size long, grams binary"
+)
+
+
+def places(docs: DataFrame, id_col: str, text_col: str, repeated: Marks, tied: Marks) -> DataFrame:
+    """Rows of `PLACES`: fine paragraphs that repeat (kind 0) and coarse ones with a tie (1).
+
+    `at` and `n` are words, `begin` and `end` code points. left and right hold hashes of the words of the
+    neighbours; `open` says on which sides (1 left, 2 right) there is one that does not repeat, and
+    left_at and right_at hold where those words begin and end. The filters let a few others through.
+    """
+    source = docs.select(
+        F.monotonically_increasing_id().alias("row"), col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")
+    )
+    share = docs.sparkSession.sparkContext.broadcast
+    repeated_, tied_ = share(repeated), share(tied)
+    names = [f.split()[0] for f in PLACES.split(", ")]
+
+    def ints(x: np.ndarray) -> pa.Array:
+        return pa.array(x.astype(np.int32))
+
+    def common(part: pa.RecordBatch, cuts: Cuts, chars: np.ndarray, begin: np.ndarray, end: np.ndarray) -> dict:
+        own = cuts.owner[begin]
+        base, took = chars[cuts.byte_at[own]], pa.array(own)
+        return dict(
+            row=part.column(0).take(took), doc_id=part.column(1).take(took), at=ints(begin - cuts.word_at[own]), n=ints(end - begin),
+            begin=ints(chars[cuts.starts[begin]] - base), end=ints(chars[cuts.ends[end - 1]] - base),
+        )
 
-    return bands.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(run, "u long, v long").distinct()
+    def full(columns: dict, n: int) -> pa.RecordBatch:
+        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+        return _batch(**{f.split()[0]: columns.get(f.split()[0], pa.nulls(n, kinds[f.split()[1]])) for f in PLACES.split(", ")})
+
+    def of_fine(part: pa.RecordBatch, cuts: Cuts, chars: np.ndarray) -> pa.RecordBatch | None:
+        begin, end = cuts.fine
+        h1, h2 = cuts.hashes(cuts.fine)
+        again = repeated_.value.has(h1)
+        i = np.flatnonzero(again)
+        if not len(i):
+            return None
+        own = cuts.owner[begin]
+        joined = np.concatenate([[False], own[1:] == own[:-1], [False]])  # to the one before
+        before, behind = joined[i], joined[i + 1]
+        prev, next_ = np.maximum(i - 1, 0), np.minimum(i + 1, len(begin) - 1)
+        lo = np.where(before, np.maximum(begin[prev], begin[i] - CONTEXT), begin[i])
+        hi = np.where(behind, np.minimum(end[next_], end[i] + CONTEXT), end[i])
+        open_left, open_right = before & ~again[prev], behind & ~again[next_]
+        short = (cuts.codes >> _U(32)).astype(np.uint32)
+        n_left, n_right = begin[i] - lo, hi - end[i]
+        shown = (begin[i], end[i])
+        base = chars[cuts.byte_at[own[i]]]
+        lefts, rights = ranges(lo[open_left], n_left[open_left]), ranges(shown[1][open_right], n_right[open_right])
+        left_at = chars[cuts.starts[lefts]] - np.repeat(base[open_left], n_left[open_left])
+        right_at = chars[cuts.ends[rights]] - np.repeat(base[open_right], n_right[open_right])
+        return full(
+            dict(
+                kind=ints(np.zeros(len(i))), h1=pa.array(h1[i].view(np.int64)), h2=pa.array(h2[i].view(np.int64)),
+                **common(part, cuts, chars, *shown), open=ints(open_left + 2 * open_right),
+                left=binaries(short[ranges(lo, n_left)], n_left), right=binaries(short[ranges(end[i], n_right)], n_right),
+                left_at=binaries(left_at.astype(np.int32), np.where(open_left, n_left, 0)),
+                right_at=binaries(right_at.astype(np.int32), np.where(open_right, n_right, 0)),
+            ),
+            len(i),
+        )
+
+    def of_coarse(part: pa.RecordBatch, cuts: Cuts, chars: np.ndarray, recent: Recent) -> pa.RecordBatch | None:
+        begin, end = cuts.coarse
+        h1, h2 = cuts.hashes(cuts.coarse)
+        i = np.flatnonzero(tied_.value.has(h1) & (end - begin >= SHINGLE))
+        if not len(i):
+            return None
+        begin, end, h1, h2 = begin[i], end[i], h1[i], h2[i]
+        grams = cuts.shingles()
+        sets: list = [None] * len(i)
+        sizes: list = [None] * len(i)
+        for k in recent.new(h1).tolist():
+            one = np.unique(grams[begin[k] : end[k] - SHINGLE + 1])
+            sets[k], sizes[k] = one.tobytes(), len(one)
+        sig = np.stack([h1, h2], 1).ravel()
+        return full(
+            dict(
+                kind=ints(np.ones(len(i))), h1=pa.array(h1.view(np.int64)), h2=pa.array(h2.view(np.int64)), **common(part, cuts, chars, begin, end),
+                sig=binaries(sig, np.full(len(i), 2)), size=pa.array(sizes, pa.int64()), grams=pa.array(sets, pa.binary()),
+            ),
+            len(i),
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = Recent()
+        for batch in batches:
+            for at, size in slices(batch.column(2)):
+                part = batch.slice(at, size)
+                cuts = Cuts(part.column(2).to_pylist())
+                chars = cuts.chars()
+                for made in (of_fine(part, cuts, chars), of_coarse(part, cuts, chars, recent)):
+                    if made is not None:
+                        yield made
+
+    assert names[0] == "kind"
+    return source.mapInArrow(run, PLACES)
 
 
-def duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
-) -> DataFrame:
-    """Every paragraph that has a duplicate: place, the first occurrence of its cluster, and whether it is removed."""
-    with settings(docs.sparkSession, SMALL_BATCHES | TIDY):
-        return _duplicates(docs, id_col, text_col, min_words)
+RUNS = "row long, doc_id long, at int, n int, begin int, end int, src_row long, src_doc long, src_at int, removed boolean"
 
 
-def _duplicates(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    seen = save(occurrences(docs, id_col, text_col, min_words))
-    classes = save(seen.groupBy("sig", "class_id", "n").agg(F.count("*").alias("times")))
-    bands, rows = tune()
-    groups = components(ties(banded(docs, text_col, min_words, bands, rows)))
-    sizes = classes.groupBy(F.col("class_id").alias("node")).agg(F.max("n").alias("n"))
-    groups = save(groups.join(sizes, "node"))
-    known = docs.sparkSession.sparkContext.broadcast(bitmap(groups.select(F.col("node").alias("id"))))
+def alike(mine: bytes, theirs: bytes, from_end: bool) -> int:
+    """How many words two contexts have in common, from their ends or their starts on."""
+    a, b = (np.frombuffer(x or b"", np.uint32) for x in (mine, theirs))
+    n = min(len(a), len(b))
+    if not n:
+        return 0
+    same = (a[len(a) - n :] == b[len(b) - n :])[::-1] if from_end else a[:n] == b[:n]
+    return n if same.all() else int(np.argmin(same))
 
-    def wanted(sig: bytes) -> bool:
-        p = short_id(sig) & ((1 << FILTER_BITS) - 1)
-        return bool(known.value[p >> 3] >> (p & 7) & 1)
 
-    def make(got: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
+def runs(placed: DataFrame) -> DataFrame:
+    """Rows of `RUNS` from places of fine paragraphs with their sources: paragraphs in a row with sources in a row are one.
+
+    A run that can be removed is extended at its open ends; two runs that meet in one paragraph share its words.
+    """
+    ints = ("row", "at", "n", "begin", "end", "open", "src_row", "src_at")
+
+    def close(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        c = {k: t.column(k).to_numpy().astype(np.int64) for k in ints}
+        first = (c["row"] == c["src_row"]) & (c["at"] == c["src_at"])
+        shift = c["src_at"] - c["at"]
+        joint = (c["row"][1:] == c["row"][:-1]) & (c["at"][1:] == (c["at"] + c["n"])[:-1])
+        joint &= (c["src_row"][1:] == c["src_row"][:-1]) & (shift[1:] == shift[:-1]) & (first[1:] == first[:-1])
+        head = np.flatnonzero(np.concatenate([[True], ~joint]))
+        tail = np.append(head[1:], t.num_rows) - 1
+        row, at, begin, src_at = (c[k][head] for k in ("row", "at", "begin", "src_at"))
+        stop, end = (c["at"] + c["n"])[tail], c["end"][tail].copy()
+        removed = ~first[head]
+        blobs = {k: t.column(k) for k in ("left", "src_left", "left_at", "right", "src_right", "right_at")}
+        pick = lambda k, i: blobs[k][int(i)].as_py()
+        for r in np.flatnonzero(removed).tolist():
+            h, e = head[r], tail[r]
+            if c["open"][h] & 1 and (more := alike(pick("left", h), pick("src_left", h), True)):
+                if r and row[r - 1] == row[r]:  # the run before may have taken some of them
+                    more = min(more, at[r] - stop[r - 1])
+                if more:
+                    where = np.frombuffer(pick("left_at", h), np.int32)
+                    at[r], src_at[r], begin[r] = at[r] - more, src_at[r] - more, where[len(where) - more]
+            if c["open"][e] & 2 and (more := alike(pick("right", e), pick("src_right", e), False)):
+                stop[r], end[r] = stop[r] + more, np.frombuffer(pick("right_at", e), np.int32)[more - 1]
+        took = pa.array(head)
         return _batch(
-            class_id=pa.array([short_id(s) for s, _ in got], pa.int64()),
-            sig=pa.array([s for s, _ in got], pa.binary()),
-            n=pa.array([len(g) for _, g in got], pa.int64()),
-            grams=pa.array([g.tobytes() for _, g in got], pa.binary()),
+            row=pa.array(row), doc_id=t.column("doc_id").take(took).combine_chunks(), at=pa.array(at.astype(np.int32)),
+            n=pa.array((stop - at).astype(np.int32)), begin=pa.array(begin.astype(np.int32)), end=pa.array(end.astype(np.int32)),
+            src_row=pa.array(c["src_row"][head]), src_doc=t.column("src_doc").take(took).combine_chunks(),
+            src_at=pa.array(src_at.astype(np.int32)), removed=pa.array(removed),
         )
 
-    parts = distinct_sets(docs, text_col, min_words, wanted, make, "class_id long, sig binary, n long, grams binary")
-    found = components(links(groups, parts))
-    found = save(found.select(F.col("node").alias("sig"), "root"))
-    # classes without a link still are clusters if their set occurs twice
-    again = classes.join(found, "sig", "left_anti").where("times > 1").select("sig", F.col("sig").alias("root"))
-    clusters = save(found.unionByName(again))
-    placed = save(seen.join(clusters, "sig").select("doc_id", "paragraph", "begin", "end", "n_words", "sig", "root"))
-    one = F.struct("doc_id", "paragraph")
-    first = save(placed.groupBy("root").agg(F.min(one).alias("first"), F.count("*").alias("size")))
-    out = placed.join(first, "root").where("size > 1")
-    removed = ~F.struct("doc_id", "paragraph").eqNullSafe(F.col("first"))
-    return out.select(
-        "doc_id",
-        "paragraph",
-        "begin",
-        "end",
-        "n_words",
-        F.col("first.doc_id").alias("cluster_doc_id"),
-        F.col("first.paragraph").alias("cluster_paragraph"),
-        removed.alias("removed"),
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(row, row[-1]))  # the last text may go on in the next batch
+            if held and (cut or held[-1].column(0)[-1].as_py() != row[-1]):
+                yield close([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield close([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+        if held:
+            yield close(held)
+
+    return placed.repartition("row").sortWithinPartitions("row", "at").mapInArrow(run, RUNS)
+
+
+FOUND = ("unit", "doc_id", "first_word", "n_words", "begin", "end", "cluster_doc_id", "cluster_word", "removed")
+
+
+def equal(found: DataFrame, save: Scratch) -> DataFrame:
+    """Rows of `FOUND` of the unit `equal`, from saved places."""
+    fine = found.where("kind = 0")
+    src = F.struct("doc_id", "row", "at", "left", "right")
+    firsts = fine.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(src).alias("src")).where("times > 1")
+    side = lambda bit, c: F.when(F.col("open").bitwiseAND(F.lit(bit)) > 0, F.col(c)).alias(c.replace(".", "_"))
+    placed = fine.join(firsts, ["h1", "h2"]).select(
+        "row", "doc_id", "at", "n", "begin", "end", "open", F.col("src.row").alias("src_row"), F.col("src.doc_id").alias("src_doc"),
+        F.col("src.at").alias("src_at"), side(1, "left"), side(1, "src.left"), "left_at", side(2, "right"), side(2, "src.right"), "right_at",
+    )
+    every = save(runs(placed))
+    gone = every.where(F.col("removed") & (F.col("n") >= SHORTEST))
+    # what stays is told where a removed run rests on it
+    wanted = gone.select("src_row", F.col("src_at").alias("src_from"), (F.col("src_at") + F.col("n")).alias("src_to")).distinct()
+    wanted = wanted.withColumnRenamed("src_row", "wanted_row")
+    meets = (F.col("row") == F.col("wanted_row")) & (F.col("src_from") < F.col("at") + F.col("n")) & (F.col("src_to") > F.col("at"))
+    stays = every.where(~F.col("removed")).join(wanted, meets, "left_semi")
+    both = gone.unionByName(stays)
+    return both.select(
+        F.lit("equal").alias("unit"), "doc_id", F.col("at").alias("first_word"), F.col("n").alias("n_words"), "begin", "end",
+        F.col("src_doc").alias("cluster_doc_id"), F.col("src_at").alias("cluster_word"), "removed",
     )
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Duplicate paragraphs (unit "line") and repeated passages wherever lines break (unit "passage").
+def near(found: DataFrame, groups: DataFrame, save: Scratch) -> DataFrame:
+    """Rows of `FOUND` of the unit `near`, from saved places and the groups of ties."""
+    coarse = found.where("kind = 1")
+    sizes = coarse.groupBy(F.col("h1").alias("node")).agg(F.max("size").alias("n"))
+    parts = coarse.where("grams is not null").select(F.col("h1").alias("class_id"), "sig", "grams")
+    linked = components(links(save(groups.join(sizes, "node")), parts), save)
+    placed = coarse.join(linked.withColumnRenamed("node", "sig"), "sig").select("root", "row", "doc_id", "at", "n", "begin", "end")
+    placed = save(placed)
+    firsts = placed.groupBy("root").agg(F.min(F.struct("doc_id", "row", "at")).alias("first"))
+    removed = (F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at"))
+    return placed.join(firsts, "root").where(F.col("n") >= SHORTEST).select(
+        F.lit("near").alias("unit"), "doc_id", F.col("at").alias("first_word"), F.col("n").alias("n_words"), "begin", "end",
+        F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.at").alias("cluster_word"), removed.alias("removed"),
+    )
 
-    Rows of the two units may overlap. What a passage that is not removed covers stays, also in a removed line.
-    """
-    lines = duplicates(docs, id_col, text_col).withColumn("unit", F.lit("line"))
-    return lines.unionByName(repeated(docs, id_col, text_col).withColumn("unit", F.lit("passage")))
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of `FOUND`: every repeated stretch and every similar paragraph, its first occurrence, and whether it can be removed."""
+    spark = docs.sparkSession
+    with settings(spark, SMALL_BATCHES | TIDY), Scratch(spark) as save:
+        pairs = save(met(banded(docs, text_col, *tune())))
+        groups = components(pairs.where("v is not null"), save)
+        repeated, tied = Marks.of(pairs.where("v is null"), "u"), Marks.of(groups, "node")
+        save.drop(pairs)
+        found = save(places(docs, id_col, text_col, repeated, tied))
+        return save.keep(equal(found, save).unionByName(near(found, groups, save)))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,9 +71,9 @@ def test_license(odd, empty):
 
 
 def test_substrings(odd, empty):
-    rows = substring_dedup.duplicates(odd).collect()
-    assert rows == []
-    assert substring_dedup.duplicates(empty).count() == 0
+    found = substring_dedup.repeats(odd)
+    assert found.columns == list(substring_dedup.FOUND) and found.collect() == []
+    assert substring_dedup.repeats(empty).count() == 0
 
 
 def test_sentencepiece(odd, empty):

@@ -12,6 +12,7 @@ import pytest
 from presswork.llm import decontamination, language_id, license_scan, ngram_join, pii, quality_rules, secret_scan, sentencepiece_codec
 from presswork.llm import substring_dedup, url_filter
 from presswork.llm.components import components
+from presswork.llm.paragraphs import REACH, Cuts
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -53,32 +54,76 @@ def test_join_finds_every_component(table, prose):
     assert len(set(want)) < len(want)
 
 
-def test_join_with_long_lists_and_blocks(table, monkeypatch):
-    """A group larger than a short list, dealt to several blocks."""
-    rnd = random.Random(3)
-    base = [f"w{i}" for i in range(90)]
+def near_copies(rnd, n, words=90, edits=6):
+    base = [f"w{i}" for i in range(words)]
     rows = []
-    for k in range(70):
+    for k in range(n):
         w = list(base)
-        for _ in range(k % 6):
-            w[rnd.randrange(90)] = f"x{rnd.randrange(10_000)}"
+        for _ in range(k % edits):
+            w[rnd.randrange(words)] = f"x{rnd.randrange(10_000)}"
         rows.append((k, " ".join(w)))
-    rows.append((70, " ".join(f"y{i}" for i in range(90))))
-    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 1500)
+    return rows
+
+
+@pytest.mark.parametrize("blocks", [{"BLOCK_SHINGLES": 1500}, {"BLOCK_SETS": 16}, {}])
+def test_join_with_long_lists_and_blocks(table, monkeypatch, blocks):
+    """A group larger than a short list, dealt to several blocks by its shingles or its sets, or to none."""
+    rows = [*near_copies(random.Random(3), 70), (70, " ".join(f"y{i}" for i in range(90)))]
+    for name, value in blocks.items():
+        monkeypatch.setattr(ngram_join, name, value)
     sets = [shingles(t) for _, t in rows]
     want = roots(len(sets), linked_by_hand(sets))
     got = {r.doc_id: r.component_id for r in ngram_join.linked(table(rows)).collect()}
     assert [got[i] for i in range(len(rows))] == want
 
 
-def test_search_is_exact():
-    rnd = np.random.default_rng(1)
+def test_ties_in_similarity_are_links(table):
+    """Sets of 40 and 30 shingles, 30 in common, are at exactly 0.75; one less is none."""
+    words_ = [f"w{i}" for i in range(44)]
+    rows = [(5, " ".join(words_)), (3, " ".join(words_[:34])), (4, " ".join(words_[:33]) + " z"), (9, " ".join(words_)), (9, " ".join(words_))]
+    got = [(r.doc_id, r.n, r.component_id) for r in ngram_join.linked(table(rows)).collect()]
+    assert sorted(got) == [(3, 30, 3), (4, 30, 3), (5, 40, 3), (9, 40, 3), (9, 40, 3)]
+
+
+def random_sets(seed):
+    rnd = np.random.default_rng(seed)
     sets = [np.unique(rnd.integers(0, 60, rnd.integers(5, 50)).astype(np.uint64)) for _ in range(80)]
     sets += [np.unique(np.append(s[1:], np.uint64(1000 + i))) for i, s in enumerate(sets[:30])]
-    plain = [set(s.tolist()) for s in sets]
-    want = {(j, i) for i, j in linked_by_hand(plain)}
-    assert set(ngram_join.search(sets, 0)) == want
-    assert set(ngram_join.search(sets, 50)) == {(a, b) for a, b in want if a < 50 <= b}
+    return sets + [np.array([1], np.uint64), np.array([1, 2], np.uint64)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_search_is_exact(seed):
+    sets = random_sets(seed)
+    edges = linked_by_hand([set(s.tolist()) for s in sets])
+    found = list(ngram_join.forest(sets))
+    assert roots(len(sets), found) == roots(len(sets), edges) and len(found) < len(sets)
+    assert {(max(p), min(p)) for p in found} <= set(edges)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_merge_skip_counts_as_brute_force_does(seed):
+    rnd = random.Random(seed)
+    lists = [sorted(rnd.sample(range(60), rnd.randint(1, 40))) for _ in range(12)]
+    post, spans = [], []
+    for x in lists:
+        spans.append((len(post), len(post) + len(x)))
+        post += x
+    for least in range(1, 13):
+        want = [(i, n) for i in range(60) if (n := sum(i in x for x in lists)) >= least]
+        assert list(ngram_join.merge_skip(ngram_join.array("i", post), spans, least)) == want
+
+
+def test_group_of_near_copies_costs_few_lists(monkeypatch):
+    rows = near_copies(random.Random(4), 400, edits=3)
+    hashed = [np.unique(np.array([hash(g) & (2**63 - 1) for g in shingles(t)], np.uint64)) for _, t in rows]
+    distinct = [np.frombuffer(b, np.uint64) for b in {s.tobytes() for s in hashed}]
+    asked = []
+    skip = ngram_join.merge_skip
+    monkeypatch.setattr(ngram_join, "merge_skip", lambda post, spans, n: asked.append(sum(b - a for a, b in spans)) or skip(post, spans, n))
+    found = list(ngram_join.forest(distinct))
+    assert 10 * sum(asked) < len(distinct) * sum(map(len, distinct))  # a third of all lists for each member, else
+    assert roots(len(distinct), found) == roots(len(distinct), linked_by_hand([set(s.tolist()) for s in distinct]))
 
 
 def test_components(spark):
@@ -267,19 +312,89 @@ def test_terms_that_reveal_an_entity(table):
     assert "words" not in got[0]
 
 
-def test_paragraphs(table, prose):
-    docs = [(i, t) for i, t in prose]
-    paras = [(i, p, line) for i, t in docs for p, line in enumerate(t.split("\n")) if len(line.split()) >= 20]
-    sets = [shingles(line) for _, _, line in paras]
-    want = roots(len(paras), linked_by_hand(sets))
-    size = {r: want.count(r) for r in want}
-    by_hand = {(paras[k][0], paras[k][1]): (paras[r][0], paras[r][1]) for k, r in enumerate(want) if size[r] > 1}
-    rows = substring_dedup.duplicates(table(docs)).collect()
-    got = {(r.doc_id, r.paragraph): (r.cluster_doc_id, r.cluster_paragraph) for r in rows}
-    assert len(by_hand) > 30 and len(set(got) & set(by_hand)) >= 0.99 * len(by_hand) and set(got) <= set(by_hand)
-    assert all(r.removed == ((r.doc_id, r.paragraph) != (r.cluster_doc_id, r.cluster_paragraph)) for r in rows)
-    text = dict(docs)
-    assert all(len(text[r.doc_id][r.begin : r.end].split()) == r.n_words for r in rows)
+def test_cuts_depend_on_the_words_near_them_only():
+    rnd = random.Random(12)
+    some = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    missed = 0
+    for _ in range(200):
+        passage, found = some(60), []
+        for _ in range(2):
+            ahead = some(rnd.randint(0, 40))
+            text = " ".join(ahead + passage + some(rnd.randint(0, 40))).replace(" ", "\n", rnd.randint(0, 9))
+            cuts = Cuts([" ".join(some(20)), text, None, "", "z"])
+            begin, end = cuts.fine
+            mine = cuts.owner[begin] == 1
+            at = cuts.word_at[1] + len(ahead)
+            found.append({(int(b - at), int(e - at)) for b, e in zip(begin[mine], end[mine]) if b >= at and e <= at + 60})
+            assert all(e - b > REACH for b, e in zip(begin[mine], end[mine])) and (begin[1:] >= end[:-1]).all()
+        missed += not found[0] & found[1]
+    assert missed <= 6
+
+
+def stands(words_, part):
+    return any(words_[k : k + len(part)] == part for k in range(len(words_) - len(part) + 1))
+
+
+def test_repeated_passages_wherever_lines_break(table):
+    """Passages of 50 words or more, in the middle of lines and across them, against all windows by brute force."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghé") for _ in range(rnd.randint(3, 7)))
+    some = lambda n: [word() for _ in range(n)]
+    shared = [some(n) for n in (51, 60, 70, 120)] * 6
+    rows = []
+    for i, passage in enumerate(shared):
+        w = some(rnd.randint(0, 90)) + passage + some(rnd.randint(0, 90))
+        if i % 6 == 0:
+            w += shared[(i + 1) % 4][3:] + passage
+        rows.append((i, "".join(x.upper() + ("\n" if i % 2 and k % 9 == 8 else " ") for k, x in enumerate(w))))
+    rows += [(100, " ".join(shared[0][:29])), (102, "Z " + rows[0][1]), (103, None), (104, ""), (105, " ".join(some(200))), (1, rows[1][1])]
+    words_ = {i: (t or "").lower().split() for i, t in rows}
+    where = {}
+    for i, w in words_.items():
+        for k in range(len(w) - 49):
+            where.setdefault(tuple(w[k : k + 50]), set()).add((i, k))
+    truth = {(i, j) for at in where.values() if len(at) > 1 for i, k in at for j in range(k, k + 50)}
+    got, covered = substring_dedup.repeats(table(rows)).where("unit = 'equal'").collect(), set()
+    for r in got:
+        part = dict(rows)[r.doc_id][r.begin : r.end].lower().split()
+        assert part == words_[r.doc_id][r.first_word : r.first_word + r.n_words]
+        covered.update((r.doc_id, r.first_word + k) for k in range(r.n_words))
+        if r.removed:
+            assert r.n_words >= substring_dedup.SHORTEST
+            assert part == words_[r.cluster_doc_id][r.cluster_word : r.cluster_word + r.n_words]
+            assert (r.cluster_doc_id, r.cluster_word) < (r.doc_id, r.first_word) or r.doc_id == r.cluster_doc_id
+        else:
+            assert (r.doc_id, r.first_word) == (r.cluster_doc_id, r.cluster_word)
+    docs = {i for i, _ in truth}
+    assert len({i for i, _ in covered} & docs) >= 0.95 * len(docs) and len(covered & truth) >= 0.9 * len(truth)
+    assert not {i for i, _ in covered} & {100, 103, 104, 105}
+    gone = {(r.doc_id, r.first_word + k) for r in got if r.removed for k in range(r.n_words)}
+    assert sum(r.doc_id == 1 for r in got) > 1  # both rows of one id, one of which stays
+    for passage in shared[:4]:  # one copy stays as a whole
+        left = [[x for k, x in enumerate(w) if i == 1 or (i, k) not in gone] for i, w in words_.items()]
+        assert any(stands(w, passage) for w in left)
+
+
+def test_similar_paragraphs_by_hand(table, prose):
+    where, sets = {}, {}
+    for i, t in prose:
+        cuts = Cuts([t])
+        w = t.translate(FOLD).split()
+        for a, b in zip(*cuts.coarse):
+            where.setdefault(tuple(w[a:b]), []).append((i, int(a)))
+    classes = [c for c in where if len(c) >= 5]
+    sets = [{c[k : k + 5] for k in range(len(c) - 4)} for c in classes]
+    top = roots(len(classes), linked_by_hand(sets))
+    by_hand = {}
+    for k, c in enumerate(classes):
+        if top.count(top[k]) > 1:
+            first = min(p for j, d in enumerate(classes) if top[j] == top[k] for p in where[d])
+            by_hand.update({p: first for p in where[c] if len(c) >= substring_dedup.SHORTEST})
+    rows = substring_dedup.repeats(table(prose)).where("unit = 'near'").collect()
+    got = {(r.doc_id, r.first_word): (r.cluster_doc_id, r.cluster_word) for r in rows}
+    assert len(by_hand) > 10 and len([p for p in got if by_hand.get(p) == got[p]]) >= 0.95 * len(by_hand) and set(got) <= set(by_hand)
+    assert all(r.removed == ((r.doc_id, r.first_word) != (r.cluster_doc_id, r.cluster_word)) for r in rows)
+    assert all(len(dict(prose)[r.doc_id][r.begin : r.end].split()) == r.n_words for r in rows)
 
 
 def test_banding_meets_its_recall():
