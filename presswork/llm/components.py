@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -23,21 +23,21 @@ def components(edges: DataFrame, store: Scratch | None = None) -> DataFrame:
     keep = store.__call__ if store else Scratch(edges.sparkSession).keep
     with Scratch(edges.sparkSession) as save:
         known = save(edges.where("u is not null and v is not null"))
-        now = save(known.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        mark = _mark(now)
+        apart = known.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        now, mark = _marked(apart.distinct(), save)
         for _ in range(MAX_ROUNDS):
             if not mark[0]:
                 break
             both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
             large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             large = save(large.distinct())
-            save.drop(now, least)
-            least = save(large.groupBy("u").agg(F.min("v").alias("m")))
-            small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            now = save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-            save.drop(large, least)
-            was, mark = mark, _mark(now)
+            save.drop(now)
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+            was = mark
+            now, mark = _marked(small.distinct(), save)
+            save.drop(large)
             if was == mark:
                 break
         else:
@@ -50,6 +50,9 @@ def components(edges: DataFrame, store: Scratch | None = None) -> DataFrame:
         return keep(roots.unionByName(tops.select("node", F.col("node").alias("root"))))
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row.n, row.x or 0
+def _marked(edges: DataFrame, save: Scratch) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges as a table, with their number and a hash of them all, taken while they are written."""
+    seen = Observation()
+    counted = edges.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x"))
+    table = save(counted)
+    return table, (seen.get["n"], seen.get["x"])

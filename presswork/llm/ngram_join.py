@@ -39,8 +39,7 @@ its own component is null if it is alone. Extra columns are not read, texts are
 from __future__ import annotations
 
 import math
-from array import array
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -56,7 +55,7 @@ SHINGLE = 5
 SKETCH_BITS = 18
 SHORT_LIST = 24
 #: A group of more sets or shingles is dealt to several blocks, up to `SPREAD` of them for the sake of its sets alone.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 500_000
 BLOCK_SETS = 256
 SPREAD = 8
 #: Weighs the probes of a long list against merging it.
@@ -103,8 +102,8 @@ class Hasher:
             down[0] = 1
             self.powers.append((np.multiply.accumulate(up), np.multiply.accumulate(down)))
 
-    def words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(code, start, end) of the words of some bytes that begin and end with a blank."""
+    def words(self, raw: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code, start, end) of the words of some bytes that begin and end with a blank; a code mixes hashes of that many bases."""
         flat = np.frombuffer(_FOLD, np.uint8)[raw]
         if len(flat) > self.size:
             self._grow(len(flat) + (len(flat) >> 1))
@@ -112,7 +111,7 @@ class Hasher:
         edge = np.diff(word.astype(np.int8))
         starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
         codes = np.zeros(len(starts), np.uint64)
-        for table, (up, down) in zip(self.bytes, self.powers):
+        for table, (up, down) in zip(self.bytes[:rounds], self.powers):
             total = np.zeros(len(flat) + 1, np.uint64)
             np.cumsum(np.where(word, table[flat] * up[: len(flat)], _U(0)), out=total[1:])
             codes = mix(codes + mix((total[ends] - total[starts]) * down[starts]))
@@ -355,13 +354,13 @@ def members(docs: DataFrame, text_col: str, groups: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "class_id long, sig binary, n long, grams binary")
 
 
-def merge_skip(post: array, spans: list[tuple[int, int]], least: int) -> Iterator[tuple[int, int]]:
-    """(id, count) of the ids that stand in at least `least` of the sorted lists post[a:b], ids rising.
+def merge_skip(lists: list[tuple[list[int], int, int]], least: int) -> Iterator[tuple[int, int]]:
+    """(id, count) of the ids that stand in at least `least` of the sorted lists, each from one place up to another; ids rising.
 
     A heap holds a cursor for each list. Where the smallest id stands in too few lists, the
     `least` - 1 smallest cursors can't bring it up, and all skip to the next cursor's id.
     """
-    heap = [(post[a], a, b) for a, b in spans]
+    heap = [(ids[a], k, a) for k, (ids, a, _) in enumerate(lists)]
     heapify(heap)
     while len(heap) >= least:
         top, out = heap[0][0], []
@@ -369,88 +368,82 @@ def merge_skip(post: array, spans: list[tuple[int, int]], least: int) -> Iterato
             out.append(heappop(heap))
         if len(out) >= least:
             yield top, len(out)
-            for _, a, b in out:
+            for _, k, a in out:
+                ids, _, b = lists[k]
                 if a + 1 < b:
-                    heappush(heap, (post[a + 1], a + 1, b))
+                    heappush(heap, (ids[a + 1], k, a + 1))
             continue
         while heap and len(out) < least - 1:
             out.append(heappop(heap))
         if not heap:
             return
         ahead = heap[0][0]
-        for _, a, b in out:
-            a = bisect_left(post, ahead, a, b)
+        for _, k, a in out:
+            ids, _, b = lists[k]
+            a = bisect_left(ids, ahead, a, b)
             if a < b:
-                heappush(heap, (post[a], a, b))
+                heappush(heap, (ids[a], k, a))
 
 
 class Lists:
-    """The inverted lists of some sets, sets numbered by size."""
+    """The inverted lists of some sets, sets numbered by size. Lists of one set tell nothing and are left out."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.size = np.array([len(s) for s in sets])
-        flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)
-        order = np.argsort(flat, kind="stable")
-        tokens, self.owner = flat[order], owner[order]
-        new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-        self.token = np.cumsum(new) - 1
-        self.n = int(new.sum())
-        self.of = np.empty(len(flat), np.int64)
-        self.of[order] = self.token
-        self.ends = np.cumsum(self.size)
-        shared = np.bincount(self.token, minlength=self.n)[self.token] > 1  # a list of one tells nothing
-        self.owner, self.token = self.owner[shared], self.token[shared]
-        self.open = np.ones(len(sets), bool)
+        self.size = [len(s) for s in sets]
+        _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = often > 1
+        number, ends = np.cumsum(shared) - 1, np.cumsum(self.size).tolist()
+        self.lists: list[list[int]] = [[] for _ in range(int(shared.sum()))]
+        self.of: list[list[list[int]]] = []
+        for i, end in enumerate(ends):
+            mine = token[end - self.size[i] : end]
+            mine = [self.lists[t] for t in number[mine[shared[mine]]].tolist()]
+            for ids in mine:
+                ids.append(i)
+            self.of.append(mine)
+        self.open = [True] * len(sets)
         self.left = self.indexed = len(sets)
-        self._index()
-
-    def _index(self) -> None:
-        """Lists of the sets that are still looked for."""
-        some = self.open[self.owner]
-        self.owner, self.token = self.owner[some], self.token[some]
-        self.post = array("i", self.owner.tobytes())
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(self.token, minlength=self.n))])
-        self.indexed = self.left
 
     def close(self, one: int) -> None:
+        """Look for a set no more; the lists lose such sets whenever half of them are gone."""
         self.open[one] = False
         self.left -= 1
 
+    def _shorten(self) -> None:
+        self.indexed, still = self.left, self.open
+        for ids in self.lists:
+            ids[:] = [i for i in ids if still[i]]
+
     def partners(self, q: int) -> Iterator[int]:
         """Sets still looked for that are linked with set q."""
         if 2 * self.left < self.indexed:
-            self._index()
-        n, post = int(self.size[q]), self.post
+            self._shorten()
+        n = self.size[q]
         least = -(-3 * n // 4)
-        mine = self.of[self.ends[q] - n : self.ends[q]]
-        mine = mine[self.at[mine + 1] > self.at[mine]]
-        if len(mine) < least:
+        if len(self.of[q]) < least:
             return
-        lo = int(np.searchsorted(self.size, least))
-        hi = int(np.searchsorted(self.size, 4 * n // 3, "right"))
-        spans = []
-        for a, b in zip(self.at[mine].tolist(), self.at[mine + 1].tolist()):
-            a = bisect_left(post, lo, a, b) if lo else a
-            b = bisect_left(post, hi, a, b) if hi < len(self.size) else b
+        lo, hi = bisect_left(self.size, least), bisect_right(self.size, 4 * n // 3)
+        lists = []
+        for ids in self.of[q]:
+            a, b = bisect_left(ids, lo), bisect_left(ids, hi)
             if a < b:
-                spans.append((a, b))
-        if len(spans) < least:
+                lists.append((ids, a, b))
+        if len(lists) < least:
             return
-        spans.sort(key=lambda x: x[1] - x[0])
-        longest = spans[-1][1] - spans[-1][0]
+        lists.sort(key=lambda x: x[2] - x[1])
+        longest = lists[-1][2] - lists[-1][1]
         long = min(least - 1, int(least / (MU * math.log2(longest + 1) + 1)))
-        short, probed = spans[: len(spans) - long], spans[len(spans) - long :]
-        for one, met in merge_skip(post, short, least - long):
+        short, probed = lists[: len(lists) - long], lists[len(lists) - long :]
+        for one, met in merge_skip(short, least - long):
             if not self.open[one]:
                 continue
-            missing = -(-3 * (n + int(self.size[one])) // 7) - met
+            missing = -(-3 * (n + self.size[one]) // 7) - met
             rest = long
-            for a, b in probed:
+            for ids, a, b in probed:
                 if missing <= 0 or missing > rest:
                     break
-                a = bisect_left(post, one, a, b)
-                missing -= a < b and post[a] == one
+                a = bisect_left(ids, one, a, b)
+                missing -= a < b and ids[a] == one
                 rest -= 1
             if missing <= 0:
                 yield one
@@ -460,6 +453,11 @@ def forest(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     """Links (i, j) that span the components of some sets of distinct numbers, none of them empty."""
     if len(sets) < 2:
         return
+    if len(sets) == 2:  # one merge
+        both = np.sort(np.concatenate(sets))
+        if 7 * np.count_nonzero(both[1:] == both[:-1]) >= 3 * len(both):
+            yield 0, 1
+        return
     rank = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     lists = Lists([sets[i] for i in rank])
     for start in range(len(sets)):

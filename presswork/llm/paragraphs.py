@@ -50,7 +50,7 @@ class Cuts:
     def __init__(self, texts: list[str | None]):
         data = [(t or "").encode() for t in texts]
         self.raw = np.frombuffer(b" ".join([b"", *data, b""]), np.uint8)
-        self.codes, self.starts, self.ends = Hasher.one().words(self.raw)
+        self.codes, self.starts, self.ends = Hasher.one().words(self.raw, 1)
         n = len(self.codes)
         #: place of the first byte of each text, and its first word; the last ones are those of the end
         self.byte_at = np.cumsum([1, *(len(d) + 1 for d in data)])
@@ -107,6 +107,10 @@ class Recent:
     def __init__(self, bits: int = 20):
         self.slots, self.shift = np.zeros(1 << bits, _U), _U(64 - bits)
 
+    def told(self, numbers: np.ndarray) -> np.ndarray:
+        """Which numbers are remembered."""
+        return self.slots[numbers >> self.shift] == numbers
+
     def new(self, numbers: np.ndarray) -> np.ndarray:
         """Places of distinct numbers that are not remembered."""
         each, at = np.unique(numbers, return_index=True)

@@ -43,8 +43,8 @@ from .ngram_join import SHINGLE, _batch, links, mix
 from .paragraphs import Cuts, Recent, binaries, ranges
 
 THRESHOLD = 0.75
-RECALL = 0.99
-PERMUTATIONS = 27
+RECALL = 0.985
+PERMUTATIONS = 24
 SHORTEST = 30
 #: Words that a run may be extended by; few fine paragraphs are longer.
 CONTEXT = 64
@@ -83,11 +83,16 @@ def banded(docs: DataFrame, text_col: str, bands: int, rows: int, seed: int = 7)
         return key.ravel(), np.repeat(who, bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent = Recent()
+        recent, once, twice = Recent(), Recent(), Recent()
         for batch in batches:
             for at, size in slices(batch.column(0)):
                 cuts = Cuts(batch.column(0).slice(at, size).to_pylist())
                 fine, n = np.unique(cuts.hashes(cuts.fine)[0], return_counts=True)
+                n[once.told(fine)] = 2  # what is remembered from before has been counted
+                again = twice.told(fine)
+                once.new(fine)
+                twice.new(fine[n > 1])
+                fine, n = fine[~again], n[~again]  # and what was told to repeat need not be told again
                 key, who = of_coarse(cuts, recent)
                 yield _batch(
                     key=pa.array(np.concatenate([mix(fine), key]).view(np.int64)),

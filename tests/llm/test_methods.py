@@ -105,13 +105,10 @@ def test_search_is_exact(seed):
 def test_merge_skip_counts_as_brute_force_does(seed):
     rnd = random.Random(seed)
     lists = [sorted(rnd.sample(range(60), rnd.randint(1, 40))) for _ in range(12)]
-    post, spans = [], []
-    for x in lists:
-        spans.append((len(post), len(post) + len(x)))
-        post += x
+    spans = [(x, 0, len(x)) for x in lists]
     for least in range(1, 13):
         want = [(i, n) for i in range(60) if (n := sum(i in x for x in lists)) >= least]
-        assert list(ngram_join.merge_skip(ngram_join.array("i", post), spans, least)) == want
+        assert list(ngram_join.merge_skip(spans, least)) == want
 
 
 def test_group_of_near_copies_costs_few_lists(monkeypatch):
@@ -120,7 +117,7 @@ def test_group_of_near_copies_costs_few_lists(monkeypatch):
     distinct = [np.frombuffer(b, np.uint64) for b in {s.tobytes() for s in hashed}]
     asked = []
     skip = ngram_join.merge_skip
-    monkeypatch.setattr(ngram_join, "merge_skip", lambda post, spans, n: asked.append(sum(b - a for a, b in spans)) or skip(post, spans, n))
+    monkeypatch.setattr(ngram_join, "merge_skip", lambda lists, n: asked.append(sum(b - a for _, a, b in lists)) or skip(lists, n))
     found = list(ngram_join.forest(distinct))
     assert 10 * sum(asked) < len(distinct) * sum(map(len, distinct))  # a third of all lists for each member, else
     assert roots(len(distinct), found) == roots(len(distinct), linked_by_hand([set(s.tolist()) for s in distinct]))
