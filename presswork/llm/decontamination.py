@@ -7,9 +7,12 @@ item ends here; items shorter than that count as one window. Runs of hit words
 are removed if they are long enough, and a text with too large a share of hit
 words goes as a whole.
 
-Items are built into automata of at most `BLOCK_CHARS` characters, so what is
-broadcast has a bound; more items make more blocks, and the texts pass each of
-them in turn without a shuffle.
+An automaton takes some 135 bytes for each character of its items, on the driver and in
+every Python worker. So items are dealt to blocks of about `BLOCK_CHARS` characters, which are built
+and broadcast one at a time. With one block the texts pass once. With more, a first pass finds
+the texts that may hold a window at all, by a filter of fixed size over the hashes of the items' windows;
+only those pass the blocks, and what the blocks find is put together before anything is cut or
+judged: results are the same for any number of blocks. A single item longer than a block is a block of its own.
 
 A null text or one without words has no hit. Items with a null id or text, or
 without words, are left out; items with one id count once. Repeated rows are
@@ -18,19 +21,24 @@ kept; extra columns of either table are not read. Texts are read whole.
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_TABLE, col, documents, fresh, map_text
+from .common import ALNUM_TABLE, SMALL_BATCHES, TIDY, Marks, Scratch, col, documents, fresh, map_text, settings, slices
+from .native_spans import non_overlapping
+from .ngram_join import Hasher, mix
 
 WINDOW = 10
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 1_000_000
 #: Of the removing operator: runs of at least so many hit words are cut out, texts with this share of hit words go.
 MIN_SPAN = 3
 MAX_COVERAGE = 0.8
@@ -208,17 +216,17 @@ def cut(text: str, runs: list[tuple[int, int]], min_span: int) -> str:
     return " ".join([*out, text[at:]])
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> list[Automaton]:
-    """Automata of all items; one holds about `BLOCK_CHARS` characters at most, unless a single item is longer."""
+def dealt(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(item, body, part) of the items that have an id and a text, and the number of parts."""
     used = items.select(col(id_col).cast("string").alias("item"), col(text_col).cast("string").alias("body")).dropna()
     chars = used.agg(F.sum(F.length("body")).alias("n")).first().n or 0
-    count = 1 + 2 * chars // BLOCK_CHARS  # half full on average, as a hash deals them out unevenly
-    part = used if count == 1 else used.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(count)))
-    out = []
-    for k in range(count):
-        rows = (part if count == 1 else part.where(F.col("part") == k)).select("item", "body").collect()
-        out.append(Automaton.of([(r.item, r.body) for r in rows], window))
-    return out
+    count = 1 if chars <= BLOCK_CHARS else math.ceil(2 * chars / BLOCK_CHARS)  # half full on average, as a hash deals them out unevenly
+    return used.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(count))), count
+
+
+def automaton_of(parts: DataFrame, part: int, window: int) -> Automaton:
+    """The automaton of one part, whose items come to the driver."""
+    return Automaton.of([(r.item, r.body) for r in parts.where(F.col("part") == part).select("item", "body").collect()], window)
 
 
 def scan(
@@ -253,6 +261,106 @@ def hit_words(runs: Column) -> Column:
     return F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
 
 
+class Windows:
+    """The hashes of all runs of some lengths of words, of many texts at once."""
+
+    def __init__(self, texts: list[str | None]):
+        data = [(t or "").encode().translate(ALNUM_TABLE) for t in texts]
+        raw = np.frombuffer(b" ".join([b"", *data, b""]), np.uint8)
+        self.codes, starts, _ = Hasher.one().words(raw, 1)
+        self.first = np.searchsorted(starts, np.cumsum([1, *(len(d) + 1 for d in data)]))
+        self.n_words = np.diff(self.first)
+        self.owner = np.repeat(np.arange(len(data)), self.n_words)
+        self.up, self.down = (x[: len(self.codes)] for x in Hasher.one().powers[0])
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.codes * self.up)])
+
+    def of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, text) of the runs of `size` words."""
+        n = max(0, len(self.codes) - size + 1)
+        inside = self.owner[:n] == self.owner[size - 1 : size - 1 + n]
+        made = mix((self.total[size : size + n] - self.total[:n]) * self.down[:n] + np.uint64(size))
+        return made[inside], self.owner[:n][inside]
+
+
+def window_marks(parts: DataFrame, window: int, save: Scratch) -> tuple[Marks, list[int]]:
+    """A filter of the hashes of the items' windows, and the numbers of words that these have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, size in slices(batch.column(0)):
+                w = Windows(batch.column(0).slice(at, size).to_pylist())
+                for words_ in range(1, window + 1):
+                    fits = w.n_words >= window if words_ == window else w.n_words == words_
+                    h, owner = w.of(words_)
+                    h = np.unique(h[fits[owner]])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), words_, np.int32))], names=["h", "words"])
+
+    found = save(parts.select("body").mapInArrow(run, "h long, words int").distinct())
+    return Marks.of(found, "h"), sorted(r.words for r in found.select("words").distinct().collect())
+
+
+def by_blocks(
+    df: DataFrame, parts: DataFrame, count: int, text_col: str, keep: tuple[str, ...], out: str, clean_from: int | None, window: int, save: Scratch
+) -> DataFrame:
+    """As `scan` of one automaton with all items, block by block."""
+    names = {n: fresh(n, (*keep, out)) for n in ("row_number", "body_in", "first_look")}
+    row, body, look = names.values()
+    marks, sizes = window_marks(parts, window, save)
+    shared = df.sparkSession.sparkContext.broadcast(marks)
+    fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("may", T.BooleanType())])
+
+    def first(texts: list[str | None]) -> dict[str, list]:
+        w = Windows(texts)
+        may = np.zeros(len(texts), bool)
+        for size in sizes:
+            h, owner = w.of(size)
+            may[owner[shared.value.has(h)]] = True
+        return {"n_words": w.n_words.tolist(), "may": may.tolist()}
+
+    now = df.select(*[col(k) for k in keep], col(text_col).cast("string").alias(body), F.monotonically_increasing_id().alias(row))
+    every = save(map_text(now, body, first, fields, (*keep, body, row), look))
+    some = every.where(col(look)["may"]).select(col(row).alias("row"), col(body).alias("body"))
+    found = []
+    for part in range(count):
+        automaton = automaton_of(parts, part, window)
+        hits = scan(some, automaton, "body", ("row",), "o").where(F.size("o.runs") > 0).select("row", "o.longest", "o.runs", "o.items")
+        found.append(save(hits))
+    joined = found[0]
+    for more in found[1:]:
+        joined = joined.unionByName(more)
+    joined = joined.groupBy("row").agg(
+        F.max("longest").alias("longest"), F.flatten(F.collect_list("runs")).alias("runs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    runs = non_overlapping(F.transform("runs", lambda r: F.struct(r["begin"].cast("int").alias("start"), r["end"].cast("int").alias("end"))))
+    runs = F.transform(runs, lambda r: F.struct(r["start"].cast("long").alias("begin"), r["end"].cast("long").alias("end")))
+    joined = joined.withColumn("runs", runs)
+    clean = F.lit(None).cast("string")
+    if clean_from is not None:
+        clean = F.pandas_udf(lambda t, r: t.combine(r, lambda x, y: cut(x, [(z["begin"], z["end"]) for z in y], clean_from)), "string")("body", "runs")
+    joined = save(joined.join(some, "row").select("row", "longest", "runs", "items", clean.alias("clean")))
+    hit = fresh("hit", (*keep, out))
+    back = joined.select(F.col("row").alias(row), F.struct("longest", "runs", "items", "clean").alias(hit))
+    h, none = col(hit), F.array()
+    made = F.struct(
+        col(look)["n_words"].alias("n_words"), F.coalesce(h["longest"], F.lit(0)).alias("longest"),
+        F.coalesce(h["runs"], none.cast("array<struct<begin:bigint,end:bigint>>")).alias("runs"),
+        F.coalesce(h["items"], none.cast("array<string>")).alias("items"), h["clean"].alias("clean"),
+    )
+    return every.join(back, row, "left").select(*[col(k) for k in keep], made.alias(out))
+
+
+def scan_all(
+    df: DataFrame, items: DataFrame, text_col: str, keep: tuple[str, ...], out: str, id_col: str, item_text: str, window: int, clean_from: int | None
+) -> DataFrame:
+    """`keep` columns and a struct `out` of `FIELDS` over all items."""
+    parts, count = dealt(items, id_col, item_text)
+    if count == 1:
+        return scan(df, automaton_of(parts, 0, window), text_col, keep, out, clean_from)
+    with settings(df.sparkSession, SMALL_BATCHES | TIDY), Scratch(df.sparkSession) as save:
+        return save.keep(by_blocks(df, parts, count, text_col, keep, out, clean_from, window, save))
+
+
 def find_overlaps(
     df: DataFrame,
     items: DataFrame,
@@ -263,23 +371,11 @@ def find_overlaps(
     window: int = WINDOW,
     out: str = "overlap",
 ) -> DataFrame:
-    """`keep` columns and a struct: n_words, n_hit, longest, items (ids as strings, sorted)."""
-    source = fresh("scanned_text", keep)
-    now = df.select(*[col(k) for k in keep], col(text_col).alias(source))
-    names = []
-    for automaton in blocks(items, id_col, item_text, window):
-        carried = (*keep, source, *names)
-        names.append(fresh(f"{out}_{len(names)}", carried))
-        now = scan(now, automaton, source, carried, names[-1])
-    each = [col(n) for n in names]
-    if len(each) == 1:
-        n_hit, found = hit_words(each[0]["runs"]), each[0]["items"]
-    else:
-        every = F.flatten(F.array(*[F.transform(x["runs"], lambda r: F.sequence(r["begin"], r["end"] - 1)) for x in each]))
-        n_hit = F.size(F.array_distinct(F.flatten(every))).cast("long")
-        found = F.array_sort(F.array_distinct(F.flatten(F.array(*[x["items"] for x in each]))))
-    longest = F.array_max(F.array(*[x["longest"] for x in each]))
-    made = F.struct(each[0]["n_words"].alias("n_words"), n_hit.alias("n_hit"), longest.alias("longest"), found.alias("items"))
+    """`keep` columns and a struct `out`: n_words, n_hit, longest, items (ids as strings, sorted); renamed on a clash."""
+    out = fresh(out, keep)
+    now = scan_all(df, items, text_col, keep, out, id_col, item_text, window, None)
+    o = col(out)
+    made = F.struct(o["n_words"].alias("n_words"), hit_words(o["runs"]).alias("n_hit"), o["longest"].alias("longest"), o["items"].alias("items"))
     return now.select(*[col(k) for k in keep], made.alias(out))
 
 
@@ -295,18 +391,14 @@ def decontaminate(
 ) -> DataFrame:
     """All columns of `df`, its texts without hit runs of `min_span` words or more.
 
-    Rows whose share of hit words is at least `max_coverage` go. With several
-    blocks of items each block cuts what the one before it left.
+    Rows whose share of hit words, by all items together, is at least `max_coverage` go.
     """
-    now = df
-    for automaton in blocks(items, id_col, item_text, window):
-        out = fresh("overlap", now.columns)
-        now = scan(now, automaton, text_col, tuple(now.columns), out, clean_from=min_span)
-        o = col(out)
-        now = now.where(hit_words(o["runs"]) < F.greatest(o["n_words"], F.lit(1)) * F.lit(max_coverage))
-        text = F.coalesce(o["clean"], col(text_col)).alias(text_col)
-        now = now.select(*[text if c == text_col else col(c) for c in df.columns])
-    return now
+    out = fresh("overlap", df.columns)
+    now = scan_all(df, items, text_col, tuple(df.columns), out, id_col, item_text, window, min_span)
+    o = col(out)
+    now = now.where(hit_words(o["runs"]) < F.greatest(o["n_words"], F.lit(1)) * F.lit(max_coverage))
+    text = F.coalesce(o["clean"], col(text_col)).alias(text_col)
+    return now.select(*[text if c == text_col else col(c) for c in df.columns])
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

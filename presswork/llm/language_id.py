@@ -15,7 +15,9 @@ dimensions numbers reach the driver, and `MAX_LANGUAGES` bounds them.
 Letters are lower-cased; each run of anything else is one blank. A null text, or
 one without a letter, is `und` with score 0; so is every text when there is
 nothing to learn from. Ties go to the first language by name. Repeated rows are
-kept, extra columns are not read, and long texts are read whole, in slices.
+kept, extra columns are not read. Long texts are read whole: what is counted at once
+is a slice of the symbols, and each slice begins with the last two of the one before,
+so that no trigram is lost or added at a cut.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, documents, map_text, slices
+from .common import col, documents, fresh, map_text, slices
 
 DIMENSIONS = 1024
 SEED = 20_011
@@ -84,14 +86,13 @@ class Encoder:
         out = np.zeros((len(texts), self.d), np.float64)
         rows, parts = [], []
         for i, text in enumerate(texts):
-            for at in range(0, len(text), SLICE):  # each slice counts as a text, and their vectors add up
-                got = self.symbols(text[at : at + SLICE])
-                if len(got):
-                    rows.append(i)
-                    parts.append(got)
-            if sum(map(len, parts)) > SLICE:
-                self._add(out, rows, parts)
-                rows, parts = [], []
+            whole = self.symbols(text)
+            for at in range(0, max(len(whole) - 2, 0), SLICE):
+                rows.append(i)
+                parts.append(whole[at : at + SLICE + 2])
+                if sum(map(len, parts)) > SLICE:
+                    self._add(out, rows, parts)
+                    rows, parts = [], []
         if parts:
             self._add(out, rows, parts)
         return out
@@ -172,14 +173,15 @@ def prototypes(
         .groupBy("lang", "dim")
         .agg(F.sum("value").alias("value"))
     )
-    rows = summed.limit(MAX_LANGUAGES * dimensions + 1).collect()
-    if len(rows) > MAX_LANGUAGES * dimensions:
+    rows = summed.limit(MAX_LANGUAGES * dimensions + 1).toArrow()  # 20 bytes a number or so, 80 MB at most
+    if rows.num_rows > MAX_LANGUAGES * dimensions:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; this method keeps a prototype of each in memory")
-    names = sorted({r.lang for r in rows})
-    place = {n: i for i, n in enumerate(names)}
+    coded = rows.column("lang").combine_chunks().dictionary_encode()
+    names = sorted(coded.dictionary.to_pylist())
+    place = np.array([names.index(n) for n in coded.dictionary.to_pylist()], np.int64)
     out = np.zeros((len(names), dimensions))
-    for r in rows:
-        out[place[r.lang], r.dim] = r.value
+    if names:
+        out[place[coded.indices.to_numpy()], rows.column("dim").to_numpy()] = rows.column("value").to_numpy()
     return names, unit(out)
 
 
@@ -191,8 +193,9 @@ def predict(
     out: str = "language",
     seed: int = SEED,
 ) -> DataFrame:
-    """`keep` columns and a struct of the predicted language and its cosine (0 if negative)."""
+    """`keep` columns and a struct `out` of the predicted language and its cosine (0 if negative); renamed on a clash."""
     names, protos = model
+    out = fresh(out, keep)
     dimensions = protos.shape[1]
 
     def run(texts: list[str | None]) -> dict[str, list]:

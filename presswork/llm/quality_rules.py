@@ -162,7 +162,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = ledger(documents(spark, sf_dir))
     q = F.col("quality")
     shown = [q[m].alias(m) for m in MEASURES[:5]]
-    return led.select("doc_id", *shown, (~passes(BASE)).alias("base_failed"), passes(PRODUCTION).alias("kept"))
+    policy = F.lit(f"{PRODUCTION.name}-{PRODUCTION.version}").alias("policy")
+    return led.select("doc_id", *shown, (~passes(BASE)).alias("base_failed"), passes(PRODUCTION).alias("kept"), "failed", policy)
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy removes, and what it alone removes."""
+    return ablation(ledger(documents(spark, sf_dir)), PRODUCTION)
 
 
 OP5_SQL = r"""
@@ -187,11 +193,21 @@ WITH t AS (
          (len(l) - len(list_distinct(l)))::bigint AS n_dup_lines, len(l)::bigint AS n_lines,
          coalesce(n, 0)::bigint AS n_repeat_words
   FROM (SELECT row_number() OVER () AS row_id, * FROM t) t LEFT JOIN n_repeats USING (row_id)
+), f AS (
+  SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 8 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > 3 * n_words THEN 16 ELSE 0 END
+    + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END)::bigint AS failed
+  FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR word_chars < 2 * n_words
-            OR word_chars > 25 * n_words OR 10 * n_symbols > 3 * n_words
-            OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)) AS kept
-FROM m
+"""
+ABLATION_SQL = OP5_SQL + """
+SELECT rule, count(*) FILTER (failed & bit <> 0)::bigint AS n_failed, count(*) FILTER (failed = bit)::bigint AS n_only
+FROM f, (VALUES ('few_words', 1), ('repeated_words', 2), ('short_words', 4), ('long_words', 8), ('symbols', 16), ('duplicate_lines', 32)) AS r(rule, bit)
+GROUP BY rule
+"""
+OP5_SQL += """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept,
+       failed, 'production-1' AS policy
+FROM f
 """

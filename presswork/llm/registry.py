@@ -7,7 +7,7 @@ from .language_id import op1_language_id
 from .license_scan import op3_license_scan
 from .ngram_join import OP10_SQL, op10_ngram_jaccard
 from .pii import op6_pii
-from .quality_rules import OP5_SQL, op5_quality_rules
+from .quality_rules import ABLATION_SQL, OP5_SQL, op5_quality_rules, quality_ablation
 from .secret_scan import op4_secret_scan
 from .sentencepiece_codec import op8_sentencepiece
 from .substring_dedup import op7_substring_dedup
@@ -24,5 +24,6 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "quality_ablation": quality_ablation,
 }
-SQL = {"op10_ngram_jaccard": OP10_SQL, "op5_quality_rules": OP5_SQL, "op9_decontamination": OP9_SQL}
+SQL = {"quality_ablation": ABLATION_SQL, "op10_ngram_jaccard": OP10_SQL, "op5_quality_rules": OP5_SQL, "op9_decontamination": OP9_SQL}

@@ -10,14 +10,15 @@ whether such a token could be random in its encoding:
 - runs: does it cross the middle of the alphabet as often as a random string,
 - serial correlation: is a symbol's rank independent of the one before.
 
-Their z values become one chi-squared value with three degrees of freedom and a
-p-value. Random tokens have p-values spread evenly over 0 to 1, structured ones
-crowd near 0. For each class of lengths the corpus is counted into 50 bins of p;
-the upper half of the bins tells how many random tokens there are, and the
-threshold is the smallest p above which at most `FALSE_DISCOVERIES` of the tokens
-are in excess of that. A class with too few such tokens takes the threshold of all
-classes together, and where those are too few as well tokens with p from
-`FIXED_CUT` / `BINS` on are taken. The table of thresholds has at most 5 x 50 rows.
+Their z values are squared and summed as if independent, which they nearly are, to one
+chi-squared value with three degrees of freedom and a p-value; frequencies that are more equal than
+chance would have them do not count against a token. Random tokens have p-values spread evenly over
+0 to 1, structured ones crowd near 0. For each class of lengths the corpus is counted into 50 bins
+of p. As long as a class has few tokens, what is known of them is little, so `PRIOR` tokens more
+are counted in, spread as those of the other classes are; and `PRIOR` tokens are counted into these in turn, half
+of them random and half with p below 0.1. The upper half of the bins tells how many random tokens there are,
+and the threshold is the smallest p above which at most `FALSE_DISCOVERIES` of the tokens are in excess of
+that, by more than `CHANCE` standard deviations of their number: so much may be due to chance where tokens are few. One rule holds for any number of tokens. The table of thresholds has four rows.
 
 Null and empty texts have no spans. Repeated rows are judged one by one, equal
 spans of two kinds are both listed; extra columns are not read. Texts are read
@@ -41,15 +42,13 @@ HEX = r"[0-9a-f]{32,}"
 # An equals sign before a token is none of it (name=value), behind it it is padding or stands before a value.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])"
 ASSIGN_CHARS = 8
-#: Fewest tokens of a class of lengths from which a share can be told.
-LEAST_TOKENS = 20
 FALSE_DISCOVERIES = 0.1
 BINS = 50
 CLASSES = 4
-#: Stands for all classes together.
-POOL = -1
-#: The bin of p = 0.1, below which a tenth of random tokens lie.
-FIXED_CUT = 5
+#: Tokens that stand for what is known before any is seen, and the bins of p below 0.1 that half of them are in.
+PRIOR = 20.0
+LOW_BINS = 5
+CHANCE = 1.645
 REPLACEMENT = "[secret]"
 
 ALPHABETS = {
@@ -153,23 +152,26 @@ def length_class(n: Column) -> Column:
 
 
 def thresholds(judged: DataFrame) -> DataFrame:
-    """(class, cut): the smallest bin from which on tokens of this class of lengths are taken for secrets.
+    """(class, cut): the smallest bin from which on tokens of a class of lengths are taken for secrets.
 
-    `judged` has a row for each token: its length class and p. `POOL` has its own row; a sparse class has none.
+    `judged` has a row for each token: its length class and p. A class without a threshold has no row.
     """
-    each = F.explode(F.array(F.col("class"), F.lit(POOL))).alias("class")
-    bins = judged.select(each, "p").select("class", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    bins = judged.select("class", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     counts = bins.groupBy("class", "bin").agg(F.count("*").alias("n"))
-    grid = counts.select("class").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
+    places = F.explode(F.sequence(F.lit(0), F.lit(CLASSES * BINS - 1))).alias("i")
+    grid = judged.sparkSession.range(1).select(places).select(F.expr(f"i div {BINS}").cast("int").alias("class"), (F.col("i") % BINS).alias("bin"))
     full = grid.join(counts, ["class", "bin"], "left").fillna(0, ["n"])
+    before = F.when(F.col("bin") < LOW_BINS, 0.5 / LOW_BINS).otherwise(0.0) + 0.5 / BINS
+    others = F.sum("n").over(Window.partitionBy("bin")) - F.col("n") + PRIOR * before
+    total = F.sum("n").over(Window.partitionBy()) - F.sum("n").over(Window.partitionBy("class")) + PRIOR
+    known = full.withColumn("known", F.col("n") + PRIOR * others / total)
     per = Window.partitionBy("class")
-    above = F.sum("n").over(per.orderBy(F.desc("bin"))).cast("double")
-    half = F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(per) * 2.0
-    told = full.select("class", "bin", above.alias("found"), half.alias("random"), F.sum("n").over(per).alias("all"))
-    expected = F.col("random") * (BINS - F.col("bin")) / BINS
-    false = 1 - expected / F.greatest(F.col("found"), F.lit(1.0))
-    good = told.where((F.col("bin") > 0) & (F.col("random") >= LEAST_TOKENS) & (false <= FALSE_DISCOVERIES))
-    return good.groupBy("class").agg(F.min("bin").alias("cut"))
+    above = per.orderBy(F.desc("bin"))
+    random = F.sum(F.when(F.col("bin") >= BINS // 2, F.col("known")).otherwise(0.0)).over(per) * 2.0
+    told = known.select("class", "bin", F.sum("known").over(above).alias("found"), F.sum("n").over(above).alias("seen"), random.alias("random"))
+    excess = F.col("found") - F.col("random") * (BINS - F.col("bin")) / BINS - CHANCE * F.sqrt("seen")
+    false = excess / F.col("found")
+    return told.where((F.col("bin") > 0) & (false <= FALSE_DISCOVERIES + 1e-9)).groupBy("class").agg(F.min("bin").alias("cut"))
 
 
 def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -180,9 +182,8 @@ def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id
     one = df.select(text.alias("t")).select(F.explode(candidates(F.col("t"))).alias("s"))
     judged = one.select(length_class(F.length("s.body")).alias("class"), random_p(F.col("s.body")).alias("p"))
     cuts = thresholds(judged).agg(F.map_from_entries(F.collect_list(F.struct("class", "cut"))).alias("cuts"))
-    # a row of at most five entries
-    told = {int(k): int(v) for k, v in (cuts.first().cuts or {}).items()}
-    known = {k: told.get(k, told.get(POOL, FIXED_CUT)) for k in range(CLASSES)}
+    # a row of at most four entries
+    known = {int(k): int(v) for k, v in (cuts.first().cuts or {}).items()}
     taken = df.select(*[col(k) for k in keep], text.alias(source))
     taken = taken.withColumn(base, base_spans(col(source))).withColumn(marks, candidates(col(source)))
 

@@ -22,6 +22,7 @@ are not read. Texts of any length are encoded whole.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 from itertools import islice
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, documents, map_text
+from .common import col, documents, fresh, map_text
 
 MARK = "▁"
 CACHE_ENTRIES = 400_000
@@ -53,6 +54,7 @@ DIGEST = T.StructType(
         T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType()),
         T.StructField("n_bytes_spanned", T.LongType()),
+        T.StructField("spans_sha256", T.StringType()),
     ]
 )
 
@@ -197,10 +199,11 @@ class Codec:
         self.cache: dict[str, str] = {}
 
     @classmethod
-    def of(cls, path: str) -> Codec:
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+    def of(cls, model: str) -> Codec:
+        """The codec of a model: a path that this worker can open, a file given to all workers, or the name of a public tokenizer."""
+        if model not in cls._open:
+            cls._open[model] = cls(located(model))
+        return cls._open[model]
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], list[np.ndarray]]:
         """Ids without the end id, the same in decimal, and the alignments of the texts."""
@@ -217,8 +220,10 @@ class Codec:
         room = CACHE_ENTRIES - len(known)
         known.update((c, once[c]) for c in islice((c for c in once if len(c) <= CACHED_CHARS), max(0, room)))
         once[""] = ""
-        for one in chunks:
-            parts = [known[c] if c in known else once[c] for c in one]
+        for text, one in zip(texts, chunks):
+            parts = [known[c] if c in known else once.get(c) for c in one]
+            if None in parts:  # a chunk that can't be told from its neighbours
+                parts = list(map(str, self.sp.encode(text)))
             said.append(" ".join(parts).rstrip())
         return [np.fromstring(x, np.int64, sep=" ") for x in said], said, aligned
 
@@ -250,19 +255,21 @@ class Codec:
             stops = np.cumsum(self.widths[np.asarray(ids, np.int64)])
             ends = np.cumsum([len(c.encode()) for c in group])
             at = np.searchsorted(stops, ends)
-            if not np.array_equal(stops[at], ends):
-                raise ValueError("a piece crosses a chunk end")
+            if at[-1] == len(stops) or not np.array_equal(stops[at], ends):
+                continue  # a piece crosses a chunk end: texts with these chunks are encoded whole
             words, start = list(map(str, ids)), 0
             for c, stop in zip(group, (at + 1).tolist()):
                 once[c] = " ".join(words[start:stop])
                 start = stop
         return once
 
-    def spans(self, ids: np.ndarray, aligned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Original byte spans of the pieces."""
+    def spans(self, ids: np.ndarray, aligned: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Original byte spans of the pieces; the library's own ones if the pieces do not cover what this normaliser made."""
         stops = np.cumsum(self.widths[ids])
         if len(stops) and stops[-1] != len(aligned) - 1:
-            raise ValueError("pieces do not cover the normalised text")
+            bytes_before = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
+            pieces = self.sp.encode(text, out_type="immutable_proto").pieces
+            return bytes_before[[x.begin for x in pieces]], bytes_before[[x.end for x in pieces]]
         starts = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
         return aligned[starts], aligned[stops]
 
@@ -270,15 +277,16 @@ class Codec:
 def sp_encode(
     df: DataFrame, model: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "coded"
 ) -> DataFrame:
-    """`keep` columns and a struct of ids (end id last), byte spans of the ids, and the decoded text.
+    """`keep` columns and a struct `out` of ids (end id last), byte spans of the ids, and the decoded text; renamed on a clash.
 
     The end id has the empty span at the end of the text.
     """
+    out = fresh(out, keep)
 
     def run(texts: list[str | None]) -> dict[str, list]:
         codec, texts = Codec.of(model), [t or "" for t in texts]
         ids, _, aligned = codec.encode(texts)
-        spans = [codec.spans(i, a) for i, a in zip(ids, aligned)]
+        spans = [codec.spans(*x) for x in zip(ids, aligned, texts)]
         full = [[*i.tolist(), codec.end] for i in ids]
         ends = [len(t.encode()) for t in texts]
         return {
@@ -294,15 +302,20 @@ def sp_encode(
 def sp_digest(
     df: DataFrame, model: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "coded"
 ) -> DataFrame:
-    """As `sp_encode`, but digests in place of the arrays, so that they never leave the worker."""
+    """As `sp_encode`, but digests in place of the arrays, so that they never leave the worker.
+
+    `spans_sha256` is that of begin and end of every piece, as little-endian 64-bit numbers.
+    """
+    out = fresh(out, keep)
 
     def run(texts: list[str | None]) -> dict[str, list]:
         codec, texts = Codec.of(model), [t or "" for t in texts]
         ids, said, aligned = codec.encode(texts)
-        covered = []
-        for i, a in zip(ids, aligned):
-            begins, ends = codec.spans(i, a)
+        covered, placed = [], []
+        for x in zip(ids, aligned, texts):
+            begins, ends = codec.spans(*x)
             covered.append(int((ends - begins).sum()))
+            placed.append(hashlib.sha256(np.stack([begins, ends], 1).astype("<i8").tobytes()).hexdigest())
         ids = [[*i.tolist(), codec.end] for i in ids]
         decoded = codec.sp.decode(ids, num_threads=1) if ids else []
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -311,16 +324,35 @@ def sp_digest(
             "ids_sha256": [sha(f"{s} {codec.end}" if s else str(codec.end)) for s in said],
             "decoded_sha256": [sha(d) for d in decoded],
             "n_bytes_spanned": covered,
+            "spans_sha256": placed,
         }
 
     return map_text(df, text_col, run, DIGEST, keep, out)
 
 
-def default_model() -> str:
-    """The place of the public 32k piece model on this machine."""
+MODEL = "piece_bpe_32k.model"
+
+
+def located(model: str) -> str:
+    """Where this machine has a model: at its path, among the files given to all workers, or with the public tokenizers."""
+    if os.path.exists(model):
+        return model
+    from pyspark import SparkFiles
+
+    try:
+        given = SparkFiles.get(os.path.basename(model))
+    except Exception:  # outside a job nothing was given
+        given = ""
+    if os.path.exists(given):
+        return given
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(model)
+
+
+def default_model() -> str:
+    """The public 32k piece model; each worker finds its own copy."""
+    return MODEL
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,16 @@ def test_sentencepiece(odd, empty):
     assert sentencepiece_codec.sp_digest(empty, model).count() == 0
 
 
+def test_output_names_that_clash(spark, table):
+    rows = table([(1, "one two three")]).selectExpr("*", "'a' as language", "'b' as coded", "'c' as overlap", "'d' as license")
+    model = language_id.prototypes(rows)
+    assert language_id.predict(rows, model, keep=("doc_id", "language")).columns == ["doc_id", "language", "_language"]
+    assert sentencepiece_codec.sp_digest(rows, sentencepiece_codec.default_model(), keep=("coded",)).columns == ["coded", "_coded"]
+    found = decontamination.find_overlaps(rows, items(spark, [(1, "two three")]), keep=("overlap",))
+    assert found.columns == ["overlap", "_overlap"] and found.first()._overlap.n_hit == 2
+    assert license_scan.scan(rows, keep=("license",)).columns == ["license", "_license"]
+
+
 def test_urls(spark):
     pages = spark.createDataFrame(
         [(1, None, "k"), (2, "no scheme", "k"), (3, "HTTP://WWW.Example.COM/en/x?q#f", "k"), (3, "HTTP://WWW.Example.COM/en/x?q#f", "k"), (4, "http://", "k")],

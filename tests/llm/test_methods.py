@@ -169,6 +169,14 @@ def test_language_vectors_are_sums_of_bound_letters():
     assert (e.vectors(["AB!!  Ç"])[0] == want).all() and (e.vectors([text, "zz"])[0] == want).all()
 
 
+def test_language_vector_of_a_text_longer_than_a_slice(monkeypatch):
+    rnd = random.Random(14)
+    text = "".join(rnd.choice("abcdefgh é!  ßÇ") for _ in range(1_500_000))
+    sliced = language_id.Encoder(32, 1).vectors([text, "ab", "", "a"])
+    monkeypatch.setattr(language_id, "SLICE", 1 << 24)
+    assert (language_id.Encoder(32, 1).vectors([text, "ab", "", "a"]) == sliced).all()
+
+
 def overlap_by_hand(text, bench, window=10):
     w = WORD.findall(text.translate(FOLD))
     hit, names = set(), set()
@@ -183,7 +191,7 @@ def overlap_by_hand(text, bench, window=10):
     return len(w), len(hit), tuple(sorted(names))
 
 
-@pytest.mark.parametrize("block", [32_000_000, 200])
+@pytest.mark.parametrize("block", [1_000_000, 200, 40])
 def test_decontamination_by_hand(spark, table, monkeypatch, block):
     rnd = random.Random(4)
     words = "The cat SAT on a mat; 1 2 é".split()
@@ -205,6 +213,32 @@ def test_cut_removes_the_passage_and_leaves_the_rest(spark, table):
     assert got == {1: f"{around},  . {around}", 2: around}
 
 
+@pytest.mark.parametrize("block", [1_000_000, 150, 30])
+def test_what_is_cut_does_not_depend_on_blocks(spark, table, monkeypatch, block):
+    """Items that overlap in a text, and items that only together cover it."""
+    w = [f"w{i}" for i in range(60)]
+    bench = [(1, " ".join(w[:20])), (2, " ".join(w[12:34])), (3, " ".join(w[40:52])), (4, "zz yy xx")]
+    out = [f"o{i}" for i in range(12)]
+    rows = [(1, " ".join([*out, *w[:34], "mid", *out, "zz yy, XX end"])), (2, " ".join([*w[:14], *out[:2], *w[40:52]])), (3, " ".join(out)), (4, None), (5, "")]
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", block)
+    got = {r.doc_id: r.text for r in decontamination.decontaminate(table(rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert set(got) == {1, 3, 4, 5} and got[1].split() == [*out, "mid", *out, "end"]
+    assert (got[3], got[4], got[5]) == (" ".join(out), None, "")
+
+
+def test_memory_of_one_block():
+    import tracemalloc
+
+    rnd = random.Random(13)
+    words_ = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(30_000)]
+    items = [(str(i), " ".join(rnd.choice(words_) for _ in range(700))) for i in range(decontamination.BLOCK_CHARS // 4_900 // 4)]
+    tracemalloc.start()
+    made = decontamination.Automaton.of(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.length and 4 * peak < 400_000_000  # a quarter of a block
+
+
 def test_license_by_hand(table):
     rnd = random.Random(6)
     vocab = "under the mit license apache version 2 cc by nc software word granted permission".split()
@@ -404,7 +438,7 @@ def test_encoding_is_that_of_the_library(table, prose):
     import sentencepiece
 
     model = sentencepiece_codec.default_model()
-    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.located(model))
     rnd = random.Random(10)
     odd = ["".join(rnd.choice([" ", "▁", "a", "the", "é", "日", "\n", "😀", "\t", "0", ".", "”", "\0", "<s>"]) for _ in range(rnd.randint(0, 25))) for _ in range(300)]
     rows = prose + [(1000 + i, t) for i, t in enumerate(odd)]

@@ -41,5 +41,5 @@ def test_stages(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in QUERIES if q.startswith("op")] == [f"op{n}" for n in range(1, 11)]
     assert set(SQL) <= set(QUERIES)
