@@ -2,9 +2,13 @@
 
 Fixed rules come first; the longest that fits decides. For other urls Spark's
 FP-growth mines which combinations of url tokens go with a bad label (quality 0 or
-toxic). A rule needs `MIN_CONFIDENCE`, and its tokens together with the label need
-`MIN_SUPPORT` of the labelled urls. A rule of more tokens that is no more
-confident than a rule it contains says nothing new and goes. What is left is
+toxic). Labels tell of the document with an id; the page with that number is taken to be where the
+document came from, so `labels.doc_id` is joined with `pages.page_id`. A rule needs `MIN_ROWS`
+labelled urls, and `MIN_SUPPORT` of them all, that have its tokens and the label; it needs
+`MIN_CONFIDENCE`, and the lower end of the interval that the share of bad urls is in (Wilson, one-sided 95 %)
+must lie above the share among all labelled urls, so that a few rows by chance make no rule. A rule
+of more tokens that is no more confident than a rule it contains says nothing new and goes. Antecedents
+of any length are kept. What is left is
 kept in an inverted index under each rule's rarest token: a url looks up its own
 tokens there and is held against the rest of the rule. A url is blocked if a
 rule matches it.
@@ -33,10 +37,12 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
+#: Labelled urls behind a rule, at least: so many, and this share of all.
+MIN_ROWS = 10
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.75
-#: Longest combinations that are mined.
-MAX_TOKENS = 4
+#: Of the one-sided 95 % interval.
+Z = 1.645
 BAD = "label=bad"
 
 
@@ -71,34 +77,40 @@ def tokens(url: Column) -> Column:
         F.filter(F.split(F.regexp_extract(rest, r"\?([^#]*)", 1), "&"), lambda x: x != ""),
         lambda x: F.concat(F.lit("q="), F.regexp_extract(x, "^([^=]*)", 1)),
     )
-    every = F.array_distinct(F.concat(host, path, query))
+    scheme = F.array(F.concat(F.lit("s="), F.regexp_extract(lowered, "^(.*?)://", 1)))
+    every = F.array_distinct(F.concat(scheme, host, path, query))
     return F.when(F.instr(url, "://") > 0, F.filter(every, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(rule_id, items, confidence) from rows of distinct `items`, some with the bad label among them."""
-    empty = "rule_id string, items array<string>, confidence double"
-    if labelled.isEmpty():
-        return labelled.sparkSession.createDataFrame([], empty)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(labelled)
-    bad = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("antecedent") <= MAX_TOKENS))
-    rules = save(bad.select(F.array_sort("antecedent").alias("items"), "confidence"))
-    # subsets of up to three tokens less, found by their own key
-    part = rules.select(
-        F.col("items").alias("whole"), F.col("confidence").alias("c"), F.explode(_without_one("items")).alias("items")
-    )
-    for _ in range(MAX_TOKENS - 2):
-        part = part.unionByName(part.select("whole", "c", F.explode(_without_one("items")).alias("items"))).distinct()
-    plain = part.join(rules, "items").where("confidence >= c").select(F.col("whole").alias("items")).distinct()
-    kept = rules.join(plain, "items", "left_anti")
-    return kept.select(F.array_join("items", " ").alias("rule_id"), "items", "confidence")
+def lower_end(share: Column, n: Column, z: float = Z) -> Column:
+    """The lower end of the Wilson interval of a share among n."""
+    spread = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return (share + z * z / (2 * n) - spread) / (1 + z * z / n)
 
 
-def _without_one(items: str) -> Column:
-    """All arrays that lack one item; none for an array of one."""
-    c = F.col(items)
-    short = F.transform(c, lambda x: F.array_remove(c, x))
-    return F.filter(short, lambda a: F.size(a) > 0)
+def mine(
+    labelled: DataFrame, min_rows: int = MIN_ROWS, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
+) -> DataFrame:
+    """(rule_id, items, confidence) from rows of distinct `items`, some with the bad label among them."""
+    bad = F.array_contains("items", BAD)
+    told = labelled.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad")).first()
+    if told.bad < min_rows:
+        return labelled.sparkSession.createDataFrame([], "rule_id string, items array<string>, confidence double")
+    share = max(min_support, min_rows / told.n)
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(labelled)
+    # support is that of antecedent and consequent together
+    seen = F.round(F.col("support") * told.n / F.col("confidence"))
+    sure = model.associationRules.where(F.array_contains("consequent", BAD) & (lower_end(F.col("confidence"), seen) > told.bad / told.n))
+    rules = save(sure.select(F.array_sort("antecedent").alias("items"), "confidence"))
+    one = rules.select("items", "confidence", F.explode("items").alias("token"))
+    often = one.groupBy("token").agg(F.count("*").alias("often"))
+    # a rule is looked up under its rarest token among the rules
+    rare = one.join(often, "token").groupBy("items", "confidence").agg(F.min(F.struct("often", "token")).alias("rare"))
+    plain = rare.select(F.col("items").alias("part"), F.col("confidence").alias("c"), F.col("rare.token").alias("token"))
+    inside = (F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0) & (F.col("c") >= F.col("confidence"))
+    idle = one.join(plain, "token").where(inside).select("items").distinct()
+    kept = rules.join(idle, "items", "left_anti")
+    return kept.select(F.array_join("items", " ").alias("rule_id"), "items", "confidence")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -133,7 +145,7 @@ def judge(
     told = pages.select(col(id_col).alias("label_id"), tokens(col(url_col)).alias("items")).join(bad, "label_id")
     told = told.where(F.size("items") > 0)
     marked = told.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
-    rules = save(mine(save(marked)))
+    rules = save(mine(save(marked)))  # few rows: what the supports allow
     urls = pages.select(tokens(col(url_col)).alias("items")).where(F.size("items") > 0)
     hit = save(matched(urls, rules)).select(F.col("items").alias(items), F.col("confidence").alias(confidence))
     now = pages.select(*[col(k) for k in keep], col(url_col).alias(url)).withColumn(items, tokens(col(url)))

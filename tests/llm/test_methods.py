@@ -529,3 +529,38 @@ def test_urls_by_hand(spark):
         assert rule is None or got[i].verdict == verdict
     assert all(got[1000 + i].verdict == "block" for i in range(60))
     assert all(got[2000 + i].verdict == "allow" for i in range(60))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mined_rules_by_hand(spark, seed):
+    """All itemsets by brute force: supports, confidence, the interval, and rules that add nothing."""
+    from itertools import combinations
+
+    rnd = random.Random(seed)
+    rows = []
+    for _ in range(300):
+        items = [t for t, p in zip("abcdefg", (0.9, 0.5, 0.4, 0.3, 0.3, 0.2, 0.1)) if rnd.random() < p]
+        chance = 0.9 if {"c", "d"} <= set(items) else 0.85 if "g" in items else 0.1
+        rows.append(items + [url_filter.BAD] * (rnd.random() < chance))
+    rows = [r for r in rows if r]
+    n, bad = len(rows), sum(url_filter.BAD in r for r in rows)
+    want = {}
+    for k in range(1, 8):
+        for c in combinations("abcdefg", k):
+            have = [r for r in rows if set(c) <= set(r)]
+            hit = sum(url_filter.BAD in r for r in have)
+            if hit >= url_filter.MIN_ROWS and hit / len(have) >= url_filter.MIN_CONFIDENCE:
+                p, z, m = hit / len(have), url_filter.Z, len(have)
+                low = (p + z * z / (2 * m) - z * (p * (1 - p) / m + z * z / (4 * m * m)) ** 0.5) / (1 + z * z / m)
+                if low > bad / n:
+                    want[c] = p
+    want = {c: p for c, p in want.items() if not any(set(d) < set(c) and q >= p for d, q in want.items())}
+    got = {tuple(r["items"]): r.confidence for r in url_filter.mine(spark.createDataFrame([(r,) for r in rows], "items array<string>")).collect()}
+    assert got == pytest.approx(want) and len(want) >= 2
+
+
+def test_few_labels_make_no_rule(spark):
+    pages = spark.createDataFrame([(i, f"https://a{i % 3}.org/p/{i}") for i in range(40)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(27)], "doc_id long, quality int, toxic int")
+    assert {r.judged.verdict for r in url_filter.judge(pages, labels).collect()} == {"allow"}
+    assert url_filter.judge(pages.limit(0), labels).count() == 0
