@@ -1,19 +1,24 @@
 """License scan: exact set-similarity join of text blocks with license templates, in SQL functions only.
 
 Base: places where the words of a phrase stand one after another. The method
-takes every line of a text as a block, and finds all (block, template) pairs
-where the block holds at least `CONTAINMENT` of the template's distinct words, in
-any order and with anything between. Words that no template has can't count, so a
-block is its template words, in the order of their document frequency in the
-corpus, the rarest first. A pair must pass, before it is counted out:
-
-- length: the block has as many template words as the overlap asks for;
-- prefix: the first words of both, all but (overlap - 1), have one in common;
-- position: with what follows that word in both, the overlap can still be met.
-
-All three drop only pairs that can't reach the threshold. Frequencies come from a
-count over all documents, aggregated before it is shuffled, with a row for each
-template word. The templates are fixed and small, so they stand in the plan.
+compares blocks of a text with templates, the words of license notices. A block is any
+stretch of `STRETCH` times as many words in a row as the template has, wherever lines break. Found is
+every template of which some block holds at least `CONTAINMENT` of the distinct words, in any
+order and with anything between. All words are ranked by their document frequency in the corpus,
+the rarest first, and the join goes from words to templates:
+
+- prefix: a block that holds the overlap asked for holds one of a template's rarest words, all but
+  (overlap - 1). An inverted index has the templates of each such word. Where one stands in a text,
+  its templates are candidates there; a text without any is not looked at again, and
+  words that no document has are not in the index.
+- length: around that place there must be as many words of the template as the overlap asks for.
+- position: a block whose rarest word has rank r in the template can hold the words from r on only,
+  so r must leave as many as the overlap asks for.
+
+All three drop only what can't reach the threshold; then the words of each block around
+the place are counted. Frequencies come from a count over all documents, aggregated before it is
+shuffled, with a row for each template word. The templates are a small fixed table, so it stands in the
+plan with its index; some hundred notices would do as well.
 
 A null or empty text has no words, no places (nulls) and empty labels. Repeated
 rows are scanned one by one, extra columns are not read, texts are read whole.
@@ -31,6 +36,8 @@ from .common import col, documents, fresh
 from .native_spans import let
 
 CONTAINMENT = 0.8
+#: Words of a block for each word of the template.
+STRETCH = 1.25
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[0-9a-zA-Z\x{80}-\x{10FFFF}]"
 _GAP = r"[^0-9a-zA-Z\x{80}-\x{10FFFF}]+"
@@ -41,20 +48,78 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# The method's templates, words of well-known license notices.
+# The method's templates, well-known license notices and short forms of them.
 TEMPLATES = (
     ("mit", "under the mit license"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        "files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
+        "shall be included in all copies or substantial portions of the Software.",
+    ),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    (
+        "warranty-disclaimer",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     ("apache-2", "apache license version 2"),
     ("apache-2", "licensed under the apache license version 2 0"),
+    (
+        "apache-2",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed "
+        "to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY "
+        "KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
     ("cc-by-nc", "cc by nc"),
     ("cc-by-nc", "creative commons attribution noncommercial"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License."),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
     ("gpl", "gnu general public license"),
+    (
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This "
+        "program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
     ("mpl-2", "mozilla public license version 2 0"),
+    (
+        "mpl-2",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means.",
+    ),
 )
 
 
+def plain_words(template: str) -> list[str]:
+    return [w for w in re.split(SEPARATOR, template.lower()) if w]
+
+
 def base_places(text: Column) -> Column:
     """struct(n, first, last, labels) of the phrases in a text."""
     padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), SEPARATOR, " ")), F.lit(" "))
@@ -89,75 +154,88 @@ def base_places(text: Column) -> Column:
 
 
 def vocabulary() -> list[str]:
-    return sorted({w for _, t in TEMPLATES for w in t.split()})
+    return sorted({w for _, t in TEMPLATES for w in plain_words(t)})
 
 
 def words(text: Column) -> Column:
     return F.split(F.lower(text), SEPARATOR)
 
 
-def frequency_order(df: DataFrame, text_col: str) -> list[str]:
-    """Template words by the number of documents that have them, rarest first; ties by the word."""
+def frequencies(df: DataFrame, text_col: str) -> dict[str, int]:
+    """Of each template word, the number of documents that have it; words that none has are left out."""
     known = F.array(*map(F.lit, vocabulary()))
     each = df.select(F.explode(F.array_intersect(words(col(text_col).cast("string")), known)).alias("word"))
-    found = {r.word: r.n for r in each.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    return sorted(vocabulary(), key=lambda w: (found.get(w, 0), w))
+    return {r.word: r.n for r in each.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def matches(text: Column, order: list[str], containment: float = CONTAINMENT) -> Column:
-    """array<struct<label, share>> of the (block, template) pairs of a text that reach the threshold."""
-    rank = {w: i for i, w in enumerate(order)}
-    table, heads = [], set()
-    for label, template in TEMPLATES:
-        own = sorted({rank[w] for w in template.split()})
+def matches(text: Column, often: dict[str, int], containment: float = CONTAINMENT) -> Column:
+    """array<struct<label, share>> of the templates that some block of a text reaches, with the best block's share."""
+    none = F.array().cast("array<struct<label:string,share:double>>")
+    rank = {w: i for i, w in enumerate(sorted(vocabulary(), key=lambda w: (often.get(w, 0), w)))}
+    table, index = [], {}
+    for i, (label, template) in enumerate(TEMPLATES):
+        every = plain_words(template)
+        own = sorted(set(every), key=rank.__getitem__)
         overlap = math.ceil(containment * len(own) - 1e-9)
-        heads |= {order[r] for r in own[: len(own) - overlap + 1]}
+        for w in own[: len(own) - overlap + 1]:
+            if w in often:
+                index.setdefault(w, []).append(i)
         table.append(
             F.struct(
                 F.lit(label).alias("label"),
-                F.array(*map(F.lit, own)).alias("ranks"),
+                F.array(*map(F.lit, own)).alias("words"),
                 F.lit(len(own)).alias("m"),
                 F.lit(overlap).alias("o"),
+                F.lit(math.ceil(STRETCH * len(every))).alias("span"),
             )
         )
-    templates = F.array(*table)
-    known = F.array(*map(F.lit, order))
-
-    def of_block(line: Column) -> Column:
-        mine = F.array_intersect(words(line), known)
-        ranks = F.array_sort(F.transform(mine, lambda w: F.array_position(known, w).cast("int") - 1))
-
-        def met(b: Column) -> Column:
-            def may(t: Column) -> Column:
-                ours, theirs = F.slice(b, 1, F.size(b) - t["o"] + 1), F.slice(t["ranks"], 1, t["m"] - t["o"] + 1)
-                shared = F.array_min(F.array_intersect(ours, theirs))  # the first in both, as ranks rise in both
-                after = F.least(F.size(b) - F.array_position(b, shared), t["m"] - F.array_position(t["ranks"], shared))
-                return F.when(F.size(b) < t["o"], False).otherwise(
-                    shared.isNotNull() & (1 + after >= t["o"]) & (F.size(F.array_intersect(b, t["ranks"])) >= t["o"])
-                )
-
-            share = lambda t: (F.size(F.array_intersect(b, t["ranks"])) / t["m"]).cast("double")
-            return F.transform(F.filter(templates, may), lambda t: F.struct(t["label"].alias("label"), share(t).alias("share")))
-
-        return let(ranks, met)
-
-    found = F.flatten(F.transform(F.split(text, "\n"), of_block))
-    any_ = "|".join(map(re.escape, sorted(heads)))
-    # some block must hold a word of some template's prefix
-    return F.when(text.rlike(f"(?i)(?<!{_WORD})(?:{any_})(?!{_WORD})"), found).otherwise(
-        F.array().cast("array<struct<label:string,share:double>>")
-    )
+    if not index:
+        return none
+    heads = sorted(index)
+    templates, known = F.array(*table), F.array(*map(F.lit, heads))
+    lists = F.array(*[F.array(*map(F.lit, index[w])) for w in heads])
+
+    def of_text(all_words: Column) -> Column:
+        marked = F.transform(all_words, lambda w, p: F.struct(F.array_position(known, w).cast("int").alias("h"), p.alias("p")))
+        hits = F.filter(marked, lambda x: x["h"] > 0)
+        places = F.flatten(F.transform(hits, lambda x: F.transform(F.get(lists, x["h"] - 1), lambda t: F.struct(t.alias("t"), x["p"].alias("p")))))
+
+        def judged(place: Column) -> Column:
+            def against(t: Column) -> Column:
+                start = F.greatest(place["p"] - t["span"] + 1, F.lit(0))
+                around = F.slice(all_words, start + 1, place["p"] - start + t["span"])
+                ranked = F.transform(around, lambda w, j: F.struct(F.array_position(t["words"], w).cast("int").alias("r"), j.alias("j")))
+
+                def counted(mine: Column) -> Column:
+                    def block(q: Column) -> Column:
+                        inside = F.filter(mine, lambda y: (y["j"] >= q["j"]) & (y["j"] < q["j"] + t["span"]))
+                        own = F.array_distinct(F.transform(inside, lambda y: y["r"]))
+                        return let(own, lambda r: F.when(F.array_min(r) <= t["m"] - t["o"] + 1, F.size(r)).otherwise(0))
+
+                    first = F.filter(mine, lambda q: q["j"] <= place["p"] - start)
+                    enough = F.size(F.array_distinct(F.transform(mine, lambda y: y["r"]))) >= t["o"]
+                    return F.when(enough, F.array_max(F.transform(first, block))).otherwise(0)
+
+                best = let(F.filter(ranked, lambda y: y["r"] > 0), counted)
+                return let(best, lambda n: F.struct(t["label"].alias("label"), F.when(n >= t["o"], n / t["m"]).alias("share")))
+
+            return let(F.get(templates, place["t"]), against)
+
+        return F.filter(F.transform(places, judged), lambda x: x["share"].isNotNull())
+
+    any_ = "|".join(map(re.escape, heads))
+    return F.when(text.rlike(f"(?i)(?<!{_WORD})(?:{any_})(?!{_WORD})"), let(words(text), of_text)).otherwise(none)
 
 
 def scan(
     df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), containment: float = CONTAINMENT
 ) -> DataFrame:
-    """`keep` columns, and `license`: n_words, places of base phrases, base_labels, labels, score."""
+    """`keep` columns, and `license` (renamed on a clash): n_words, places of base phrases, base_labels, labels, score."""
     source, base, more, out = (fresh(n, keep) for n in ("scanned", "base", "more", "license"))
-    order = frequency_order(df, text_col)
+    often = frequencies(df, text_col)
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     now = df.select(*[col(k) for k in keep], text.alias(source))
-    now = now.withColumns({base: base_places(col(source)), more: matches(col(source), order, containment)})
+    now = now.withColumns({base: base_places(col(source)), more: matches(col(source), often, containment)})
     b, m = col(base), col(more)
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     best = F.coalesce(F.array_max(F.transform(m, lambda x: x["share"])), F.lit(0.0))

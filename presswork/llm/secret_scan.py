@@ -202,7 +202,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of `df`, each stretch of secrets in the text replaced; a null text stays null."""
     every = fresh("spans", df.columns)
     found = scan(df, text_col, tuple(df.columns))
-    text = F.when(F.size(col(every)) == 0, col(text_col)).otherwise(replaced(col(text_col), col(every), REPLACEMENT))
+    text = F.when(F.size(col(every)) == 0, col(text_col)).otherwise(replaced(col(text_col), col(every), lambda s: F.lit(REPLACEMENT)))
     return found.select(*[text.alias(text_col) if c == text_col else col(c) for c in df.columns])
 
 

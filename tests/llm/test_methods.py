@@ -4,14 +4,17 @@ import hashlib
 import random
 import re
 import struct
+import textwrap
 from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from presswork.llm import decontamination, language_id, license_scan, ngram_join, pii, quality_rules, secret_scan, sentencepiece_codec
 from presswork.llm import substring_dedup, url_filter
 from presswork.llm.components import components
+from presswork.llm.native_spans import spans
 from presswork.llm.paragraphs import REACH, Cuts
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -244,6 +247,13 @@ def test_license_by_hand(table):
     vocab = "under the mit license apache version 2 cc by nc software word granted permission".split()
     rows = [(i, "".join(rnd.choice(vocab) + rnd.choice([" ", " ", ", ", "\n", "-"]) for _ in range(rnd.randint(0, 60)))) for i in range(80)]
     rows += [(200, "Released UNDER the MIT  License.\nunder the mit license under the mit license"), (201, "CC BY-NC 4.0")]
+    filler = lambda n: " ".join(rnd.choice("lorem ipsum dolor the of and to in") for _ in range(n))
+    notices = [t for _, t in license_scan.TEMPLATES]
+    for i, notice in enumerate(notices):  # wrapped at 60 to 72 columns, some words lost
+        kept = [x for x in notice.split() if rnd.random() > 0.06]
+        rows.append((300 + i, filler(9) + "\n" + "\n".join(textwrap.wrap(" ".join(kept), rnd.randint(60, 72))) + "\n" + filler(9)))
+    spread = [x for x in license_scan.plain_words(notices[1]) for x in (x, *filler(6).split())]
+    rows += [(400, " ".join(spread)), (401, notices[1] + " " + notices[3])]  # too thin for a block, and two notices in a row
     got = {r.doc_id: tuple(r)[1:] for r in license_scan.scan(table(rows)).select("doc_id", "license.*").collect()}
     for i, text in rows:
         w = WORD.findall(text.translate(FOLD))
@@ -254,15 +264,17 @@ def test_license_by_hand(table):
             places += at
             labels |= {label} if at else set()
         every, best = set(labels), 0.0
-        for line in text.split("\n"):
-            have = set(WORD.findall(line.translate(FOLD)))
-            for label, template in license_scan.TEMPLATES:
-                t = set(template.split())
-                if len(have & t) / len(t) >= 0.8 - 1e-9:
-                    every.add(label)
-                    best = max(best, len(have & t) / len(t))
+        for label, template in license_scan.TEMPLATES:
+            t = license_scan.plain_words(template)
+            span = -int(-license_scan.STRETCH * len(t) // 1)
+            share = max((len(set(w[k : k + span]) & set(t)) / len(set(t)) for k in range(len(w))), default=0.0)
+            if share >= 0.8 - 1e-9:
+                every.add(label)
+                best = max(best, share)
         want = (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(every)), 1.0 if places else best)
-        assert got[i] == want, text
+        assert got[i] == pytest.approx(want), text
+    assert all(label in got[300 + i][5] for i, (label, t) in enumerate(license_scan.TEMPLATES) if len(t) > 60)
+    assert got[400][5] == "" and got[401][5] == "mit,warranty-disclaimer"
 
 
 ASSIGN = re.compile(secret_scan.ASSIGN.replace("(?i)", ""), re.I | re.A)
@@ -335,12 +347,55 @@ def test_pii_by_hand(table):
 
 
 def test_terms_that_reveal_an_entity(table):
-    rows = [(i, f"filler{i} Quillon writes from quillon@mail.example about topic{i} words") for i in range(6)]
+    rows = [(i, f"filler{i} Quillon Bo writes from quillon@mail.example about topic{i} words, as is said far away from it: zork9") for i in range(6)]
     rows += [(100 + i, f"other{i} text about words and more words with someone{i}@mail.example here") for i in range(30)]
-    rows.append((200, "Quillon is not named with an address, but quillon@mail.example is, and far away"))
-    got = {r.doc_id: [rows_text[s.start : s.end] for s in r.spans if s.kind == "term"] for r in pii.scan(table(rows)).collect() for rows_text in [dict(rows)[r.doc_id]]}
-    assert all("Quillon" in got[i] for i in range(6)) and all(got[100 + i] == [] for i in range(30))
-    assert "words" not in got[0]
+    rows.append((200, "Quillon is named with quillon@mail.example again"))
+    rows += [(300, "zork9 stands alone"), (301, None)]
+    text = dict(rows)
+    got = {r.doc_id: {text[r.doc_id][s.start : s.end]: s.body for s in r.spans if s.kind == "term"} for r in pii.scan(table(rows)).collect()}
+    assert all(got[i]["Quillon"] == got[i]["Bo"] == "" and got[i]["zork9"] == "[number]" for i in range(6)) and all(got[100 + i] == {} for i in range(30))
+    assert "words" not in got[0] and got[300] == {}
+    clean = {r.doc_id: r.text for r in pii.sanitise(table(rows)).collect()}
+    assert clean[200].split() == ["named", "with", "[email]", "again"] and clean[301] is None  # "is" stands with this address only and "mail.example" not in " ".join(t for t in clean.values() if t)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_disclosure_shares_by_hand(spark, seed):
+    import math
+
+    from presswork.llm.common import Scratch
+
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(80):
+        people = [k for k in range(5) if rnd.random() < 0.25]
+        said = [f"p{k}@x.example" for k in people] + [f"nick{k}" for k in people if rnd.random() < 0.9] + [f"w{rnd.randrange(12)}" for _ in range(6)]
+        rnd.shuffle(said)
+        rows.append(" ".join(said))
+    rows += rows[:7]
+    n, texts, copies = len(rows), sorted(set(rows)), {t: rows.count(t) for t in set(rows)}
+    inside = {t: ({w for w in t.split() if "@" in w}, {w for w in t.split() if "@" not in w}) for t in texts}
+    want = {}
+    for e in {e for t in texts for e in inside[t][0]}:
+        holds = [t for t in texts if e in inside[t][0]]
+        for w in {w for t in holds for w in inside[t][1]}:
+            both = [t for t in holds if w in inside[t][1]]
+            if len(both) >= pii.SUPPORT and len(holds) >= pii.SUPPORT:
+                ne, nt, nb = (sum(copies[t] for t in some) for some in (holds, [t for t in texts if w in inside[t][1]], both))
+                share = math.log(nb * n / (ne * nt)) / max(math.log(n / ne), 1e-9)
+                if share >= pii.GENERALISE:
+                    want["email:" + e, w] = share
+    df = spark.createDataFrame([(t,) for t in rows], "text string")
+    held = df.withColumn("spans", pii.base_spans(pii.F.col("text"))).where("size(spans) > 0")
+    with Scratch(spark) as save:
+        got = {(r.entity, r.term): r.share for r in pii.disclosures(df, held, save).collect()}
+    assert got == pytest.approx(want) and want
+
+
+def test_spans_of_many_matches(table):
+    text = " ".join(f"a{i}é" if i % 3 else f"word{i}" for i in range(30_000))
+    got = table([(1, text)]).select(spans(F.col("text"), "[a-zé0-9]+", "x").alias("s")).first().s
+    assert [(s.start, s.end, s.body) for s in got] == [(m.start(), m.end(), m[0]) for m in re.finditer("[a-zé0-9]+", text)]
 
 
 def test_cuts_depend_on_the_words_near_them_only():
