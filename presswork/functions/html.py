@@ -15,22 +15,30 @@ from pyspark.sql import functions as F
 
 MIN_WORDS = 30
 # Elements without article text, elements without an end, names of boilerplate, hosts and suffixes without articles.
-BANNED = set("script style noscript nav header footer form head title meta link iframe embed object svg aside".split())
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+BANNED = frozenset((
+    "script", "style", "noscript", "nav", "header", "footer", "form", "head", "title", "meta", "link", "iframe", "embed", "object", "svg",
+    "aside",
+))
+VOID = frozenset((
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+))
 BOILERPLATE = (
-    "ad ads advert adverts advertisement advertising adzone adslot bannerad sponsored sponsor cookie cookies cookiebanner consent gdpr "
-    "privacynotice related recommended recommendations readmore morefrom youmayalso youmightalso popular trending mostread mustread "
-    "outbrain taboola widget comment comments disqus commentcount social share sharing addthis sharethis sharebar sharebuttons "
-    "sharelinks socialshare socialsharing sociallinks twitterwidget facebookwidget sidebar sidebox newsletter signup subscribe promo "
-    "breadcrumb pagination authorbio skip"
-).split()
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adzone", "adslot", "bannerad", "sponsored", "sponsor", "cookie",
+    "cookies", "cookiebanner", "consent", "gdpr", "privacynotice", "related", "recommended", "recommendations", "readmore", "morefrom",
+    "youmayalso", "youmightalso", "popular", "trending", "mostread", "mustread", "outbrain", "taboola", "widget", "comment", "comments",
+    "disqus", "commentcount", "social", "share", "sharing", "addthis", "sharethis", "sharebar", "sharebuttons", "sharelinks",
+    "socialshare", "socialsharing", "sociallinks", "twitterwidget", "facebookwidget", "sidebar", "sidebox", "newsletter", "signup",
+    "subscribe", "promo", "breadcrumb", "pagination", "authorbio", "skip",
+)
 SKIPPED_HOSTS = (
-    "youtube.com youtu.be music.youtube.com twitter.com x.com t.co facebook.com instagram.com threads.net reddit.com tiktok.com "
-    "snapchat.com pinterest.com linkedin.com twitch.tv vimeo.com dailymotion.com vk.com ok.ru tumblr.com mastodon.social"
-).split()
+    "youtube.com", "youtu.be", "music.youtube.com", "twitter.com", "x.com", "t.co", "facebook.com", "instagram.com", "threads.net",
+    "reddit.com", "tiktok.com", "snapchat.com", "pinterest.com", "linkedin.com", "twitch.tv", "vimeo.com", "dailymotion.com", "vk.com",
+    "ok.ru", "tumblr.com", "mastodon.social",
+)
 SKIPPED_SUFFIXES = (
-    "pdf mp3 mp4 m4a m4v mov avi zip tar gz rar 7z png jpg jpeg gif webp avif svg ico css js json xml rss"
-).split()
+    "pdf", "mp3", "mp4", "m4a", "m4v", "mov", "avi", "zip", "tar", "gz", "rar", "7z", "png", "jpg", "jpeg", "gif", "webp", "avif", "svg",
+    "ico", "css", "js", "json", "xml", "rss",
+)
 ENTITIES = (
     ("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("hellip", "…"), ("mdash", "—"), ("ndash", "–"),
     ("copy", "©"), ("reg", "®"), ("trade", "™"), ("rsquo", "’"), ("lsquo", "‘"), ("ldquo", "“"), ("rdquo", "”"),
@@ -39,7 +47,6 @@ ENTITIES = (
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _attr = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _plain = set(BOILERPLATE)
-_compound = re.compile(f"(?:{'|'.join(sorted(BOILERPLATE, key=len, reverse=True))})(?:[-_]|(?=[A-Z]))")
 
 
 def is_boilerplate(token: str) -> bool:

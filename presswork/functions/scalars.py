@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\s   -     　﻿]"
 # Query parameters that only track clicks; so does every utm_ one.
 TRACKING = (
-    "fbclid gclid msclkid yclid dclid gbraid wbraid mc_cid mc_eid igshid vero_id _hsenc _hsmi ref_src ref_url campaign ocid"
-).split()
+    "fbclid", "gclid", "msclkid", "yclid", "dclid", "gbraid", "wbraid", "mc_cid", "mc_eid", "igshid", "vero_id", "_hsenc", "_hsmi",
+    "ref_src", "ref_url", "campaign", "ocid",
+)
+# Fixed value: the site whose links only wrap those of others.
 AGGREGATOR_HOST = "news.google.com"
 
 
@@ -102,16 +104,36 @@ def story_id(title: Column, url: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-cased host, no tracking parameters, "/" for an empty path; null unless http or https."""
-    trimmed = F.trim(url)
-    head = F.lower(F.regexp_extract(trimmed, r"^(https?://[^/?#]+)", 1))
-    path = F.regexp_extract(trimmed, r"^https?://[^/?#]+([^?#]*)", 1)
-    query = F.regexp_extract(trimmed, r"^[^?#]*\?([^#]*)", 1)
-    fragment = F.regexp_extract(trimmed, r"(#.*)$", 1)
-    noise = "^(?i)(utm_[^=]*|" + "|".join(TRACKING) + ")(=|$)"
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(noise)), "&")
-    made = F.concat(head, F.when(path == "", "/").otherwise(path), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""), fragment)
-    return F.when(head != "", made)
+    """Lower-cased scheme and host, no default port or tracking parameters, "/" for an empty path; null unless http or https.
+
+    User names, paths, other parameters and fragments stay as they are. Hosts are not put into punycode.
+    """
+
+    def made(trimmed: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(trimmed, r"^([A-Za-z]+)://", 1))
+        user = F.regexp_extract(trimmed, r"^[A-Za-z]+://([^/?#@]*@)", 1)
+        host = F.lower(F.regexp_extract(trimmed, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#@]+)", 1))
+        host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
+        path = F.regexp_extract(trimmed, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1)
+        query = F.regexp_extract(trimmed, r"^[^?#]*\?([^#]*)", 1)
+        fragment = F.regexp_extract(trimmed, r"(#.*)$", 1)
+        noise = "^(?i)(utm_[^=]*|" + "|".join(TRACKING) + ")(=|$)"
+        kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(noise)), "&")
+        whole = F.concat(
+            scheme, F.lit("://"), user, host, F.when(path == "", "/").otherwise(path),
+            F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""), fragment,
+        )
+        return F.when(scheme.isin("http", "https") & (host != ""), whole)
+
+    return let(F.trim(url), made)
+
+
+def publisher_url(described: Column, canonical: Column) -> Column:
+    """The publisher's own address of an aggregator's item, where the item tells one."""
+    own = canonical_url(described)
+    wrapped = url_host(canonical) == AGGREGATOR_HOST
+    other = (url_host(own) != AGGREGATOR_HOST) & (canonical_url_key(own) != canonical_url_key(canonical))
+    return F.when(wrapped & other, own)
 
 
 def cache_key(url: Column) -> Column:
@@ -226,6 +248,86 @@ def story_day(published: Column, discovered: Column) -> Column:
     return F.to_date(F.coalesce(published, discovered))
 
 
+def strict_day(published: Column, discovered: Column) -> Column:
+    """UTC day of a publication date given as text; of discovery only where none is given, null where it is no date."""
+    given = F.coalesce(published, F.lit("")) != ""
+    return F.when(given, F.to_date(parse_timestamp(published))).otherwise(F.to_date(discovered))
+
+
+def local_day(ts: Column, zone: str = "UTC") -> Column:
+    """The calendar day of an instant in a time zone."""
+    return F.to_date(F.from_utc_timestamp(ts, zone))
+
+
+def located(text: Column, pattern: str) -> Column:
+    """array<struct<index, value>> of the matches of a pattern: places are code points. For few matches a text."""
+    raw = F.lit(pattern)
+    values = F.regexp_extract_all(text, raw, 0)
+    gaps = F.transform(F.split(text, raw, -1), F.length)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<index:int,value:string>>").alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + x["gap"]
+        one = F.struct(at.alias("index"), x["value"].alias("value"))
+        return F.struct((at + F.length(x["value"])).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+
+    each = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+    return F.aggregate(each, start, step, lambda acc: acc["found"])
+
+
+def body_for_reading(summary: Column, description: Column, content: Column) -> Column:
+    """The first of summary, description and content that is not blank, trimmed; "" if all are."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (summary, description, content)], F.lit(""))
+
+
+def echoes_title(title: Column, body: Column) -> Column:
+    """True if a body says hardly more than the title, whatever source stands behind either; an empty body does."""
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), SPACE + "+", " "), r"\s+[-–—]\s*[^-\s][^\s]*$", ""))
+
+    def judged(x: Column) -> Column:
+        t, b = x["t"], x["b"]
+        near = (b.contains(t) & (F.length(b) - F.length(t) < 90)) | (t.contains(b) & (F.length(b) < 40))
+        return F.when((t == "") | (b == ""), True).otherwise(near)
+
+    told = let(F.struct(plain(title).alias("t"), plain(body).alias("b")), judged)
+    return F.when(F.coalesce(body, F.lit("")) == "", True).when(F.coalesce(title, F.lit("")) == "", False).otherwise(told)
+
+
+# Pairs of colours.
+GRADIENTS = (("#0ea5e9", "#6366f1"), ("#10b981", "#0ea5e9"), ("#f59e0b", "#ef4444"), ("#8b5cf6", "#ec4899"))
+
+
+def gradient(key: Column) -> Column:
+    """One of the pairs of colours, by a 32-bit h * 31 + c hash of an ASCII key ("x" for none)."""
+    text = F.coalesce(F.nullif(key, F.lit("")), F.lit("x"))
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    total = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(4294967295)))
+    signed = F.when(total >= 2147483648, total - 4294967296).otherwise(total)
+    return F.get(F.array(*[F.array(*map(F.lit, g)) for g in GRADIENTS]), (F.abs(signed) % len(GRADIENTS)).cast("int"))
+
+
+def day_shown(day: Column) -> Column:
+    """MM/DD/YYYY of a date; "" for none."""
+    return F.coalesce(F.date_format(day, "MM/dd/yyyy"), F.lit(""))
+
+
+def truncated(text: Column, limit: int) -> Column:
+    """At most `limit` characters, an ellipsis last where some are lost."""
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("…")))
+
+
+def empty_message(search: Column, category: Column, n_sources: Column, period: Column) -> Column:
+    """Why a list of stories is empty: search, category, sources, period or nothing yet, in this order."""
+    return (
+        F.when(F.coalesce(search, F.lit("")) != "", F.concat(F.lit("No stories match “"), search, F.lit("”. Try a different search or clear filters.")))
+        .when(category != "all", "No stories in this category for the selected range. Try another category or range.")
+        .when(n_sources > 0, "No stories from the selected sources for this range. Tap “All sources” to widen.")
+        .when(period != "week", "No stories published yet for this range. Check back later or switch to “This week”.")
+        .otherwise("Nothing here yet. New stories are added continuously throughout the day.")
+    )
+
+
+# Characters that set a publisher off, and what ends a title.
 SEPARATORS = "–—|·:-"
 TRAILING = rf"^(.+)[ \t]*[{SEPARATORS}][ \t{SEPARATORS}]*(.+?)[ \t]*$"
 
@@ -255,14 +357,3 @@ def clean_title(title: Column, aliases: list[str]) -> Column:
 
     done = let(start, lambda a: let(once(a), lambda b: let(once(b), once)))
     return let(done, lambda s: F.struct(s["title"].alias("title"), s["publisher"].alias("publisher")))
-
-
-def register(spark) -> None:
-    """The functions that fit one SQL expression, as temporary SQL functions."""
-    for name, args, body in (
-        ("pw_js_round", "x DOUBLE", "floor(x + 0.5D)"),
-        ("pw_normalize_title", "t STRING", "trim(regexp_replace(lower(coalesce(t, '')), '[^a-z0-9]+', ' '))"),
-        ("pw_band", "s DOUBLE", "case when s is null then 'unknown' when s >= 70 then 'high' when s >= 40 then 'medium' else 'low' end"),
-        ("pw_slug", "t STRING", "trim(both '-' from regexp_replace(lower(t), '[^a-z0-9]+', '-'))"),
-    ):
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURN {body}")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as lex
-from .scalars import char_cap, js_round, let, sentences, tokens, word_count
+from .scalars import char_cap, js_round, let, located, sentences, tokens, word_count
 
 EDGE, STOP = "(^|[^a-z0-9])", "($|[^a-z0-9])"
 
@@ -31,7 +31,7 @@ def categorize(text: Column, rules=lex.FIVE_CLASSES) -> Column:
     """First of the five classes one of whose substrings is in the text."""
     low, out = F.lower(F.coalesce(text, F.lit(""))), None
     for name, words in rules:
-        hit = low.rlike("|".join(map(re.escape, words.split("|"))))
+        hit = low.rlike("|".join(map(re.escape, words)))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("news")
 
@@ -40,7 +40,7 @@ def classify(text: Column, rules=lex.TWELVE_CLASSES) -> Column:
     """First of the twelve classes one of whose tokens is in the lower-case text."""
     out = None
     for name, words in rules:
-        hit = has_token(text, words.split("|"))
+        hit = has_token(text, words)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("other")
 
@@ -66,31 +66,22 @@ def entities(text: Column, group: str, names: Sequence[str] | None = None) -> Co
     """Labels of the names that stand in the lower-case text, longest first.
 
     A name that stands as a token inside a longer one that was found is left out.
-    The list is small, so which names contain which is settled here, not per row.
+    The list is small, so which names contain which is settled here, and every name has
+    its own pattern in the plan, compiled once and tried only where the name is a substring.
     """
-    names = list(names if names is not None else lex.LEXICONS[group].split("|"))
+    names = list(names if names is not None else lex.LEXICONS[group])
     names.sort(key=len, reverse=True)
     inside = lambda s, n: re.search(EDGE + re.escape(s) + STOP, n) is not None
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(f"{EDGE}{re.escape(n)}{STOP}").alias("pattern"),
-                F.lit(n).alias("name"),
-                F.lit(label_of(group, n)).alias("label"),
-                F.array(*[F.lit(o) for o in names if len(o) > len(n) and inside(n, o)]).cast("array<string>").alias("wider"),
-            )
-            for n in names
-        ]
-    )
-
-    def kept(hits: Column) -> Column:
-        seen = F.transform(hits, lambda h: h["name"])
-        return F.transform(F.filter(hits, lambda h: ~F.arrays_overlap(h["wider"], seen)), lambda h: h["label"])
 
     def found(t: Column) -> Column:
-        # a substring test first: patterns from a list are compiled for each row that they are asked about
-        hits = F.filter(table, lambda n: F.contains(t, n["name"]) & F.rlike(t, n["pattern"]))
-        return let(hits, kept)
+        hit = lambda n: t.contains(n) & t.rlike(f"{EDGE}{re.escape(n)}{STOP}")
+        labels = []
+        for n in names:
+            alone = hit(n)
+            for wider in (o for o in names if len(o) > len(n) and inside(n, o)):
+                alone = alone & ~hit(wider)
+            labels.append(F.when(alone, F.lit(label_of(group, n))))
+        return F.array_compact(F.array(*labels))
 
     return let(text, found)
 
@@ -115,36 +106,59 @@ def tags(text: Column, models: Column, companies: Column, technologies: Column,
     return F.transform(F.slice(F.aggregate(topics, once, added), 1, 6), capitalised)
 
 
+# The numbers of the five components of the signal.
+IMPACT_UNKNOWN = 50
+IMPACT_PER_SOURCE = 9
+IMPACT_MOST_FOR_SOURCES = 18
+NOVELTY_UNDATED = 55.0
+NOVELTY_FLOOR = 20.0
+NOVELTY_FLOORS = ((30, 8.0), (14, 14.0))  # beyond so many days
+NOVELTY_DAYS = 2
+RELIABILITY_UNKNOWN = 5.0
+CREDIBILITY_WEIGHT = 0.92
+CREDIBILITY_FOR_BODY = 6
+RELEVANCE_BASE = 38
+RELEVANCE_PER_TERM = 12
+RELEVANCE_PER_ENTITY = 4
+RELEVANCE_MOST_FOR_ENTITIES = 20
+WEIGHT_UNKNOWN = 3.0
+CONFIDENCE_WEIGHT = 0.9
+CONFIDENCE_FOR_SOURCES = 8
+
+
 def clamp(x: Column) -> Column:
     return F.least(F.greatest(js_round(x), F.lit(0)), F.lit(100)).cast("int")
 
 
 def impact(subcategory: Column, n_sources: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in lex.IMPACT.items() for x in kv])
-    more = F.when(n_sources > 1, F.least(F.lit(18), (n_sources - 1) * 9)).otherwise(0)
-    return clamp((F.coalesce(F.try_element_at(table, subcategory), F.lit(50)) + more).cast("double"))
+    more = F.least(F.lit(IMPACT_MOST_FOR_SOURCES), (n_sources - 1) * IMPACT_PER_SOURCE)
+    known = F.coalesce(F.try_element_at(table, subcategory), F.lit(IMPACT_UNKNOWN))
+    return clamp((known + F.when(n_sources > 1, more).otherwise(0)).cast("double"))
 
 
 def novelty(published: Column, discovered: Column) -> Column:
     days = F.greatest((discovered.cast("timestamp").cast("double") - published.cast("timestamp").cast("double")) / 86400, F.lit(0.0))
-    floor = F.when(days > 30, 8.0).when(days > 14, 14.0).otherwise(20.0)
+    (old, oldest_floor), (stale, old_floor) = NOVELTY_FLOORS
+    floor = F.when(days > old, oldest_floor).when(days > stale, old_floor).otherwise(NOVELTY_FLOOR)
     known = published.isNotNull() & discovered.isNotNull()
-    return clamp(F.when(known, F.greatest(floor, F.exp(-days / 2) * 100)).otherwise(55.0))
+    return clamp(F.when(known, F.greatest(floor, F.exp(-days / NOVELTY_DAYS) * 100)).otherwise(NOVELTY_UNDATED))
 
 
 def credibility(reliability: Column, has_body: Column) -> Column:
-    share = F.coalesce(reliability.cast("double"), F.lit(5.0)) / 10 * 100
-    return clamp(share * 0.92 + F.when(has_body, 6).otherwise(0))
+    share = F.coalesce(reliability.cast("double"), F.lit(RELIABILITY_UNKNOWN)) / 10 * 100
+    return clamp(share * CREDIBILITY_WEIGHT + F.when(has_body, CREDIBILITY_FOR_BODY).otherwise(0))
 
 
-def relevance(text: Column, n_entities: Column, terms: Sequence[str] = tuple(lex.RELEVANT)) -> Column:
+def relevance(text: Column, n_entities: Column, terms: Sequence[str] = lex.RELEVANT) -> Column:
     hits = sum((F.when(text.contains(t), 1).otherwise(0) for t in terms), F.lit(0))
-    return clamp((F.least(F.lit(100), 38 + hits * 12) + F.least(F.lit(20), n_entities * 4)).cast("double"))
+    of_terms = F.least(F.lit(100), RELEVANCE_BASE + hits * RELEVANCE_PER_TERM)
+    return clamp((of_terms + F.least(F.lit(RELEVANCE_MOST_FOR_ENTITIES), n_entities * RELEVANCE_PER_ENTITY)).cast("double"))
 
 
 def source_confidence(weight: Column, n_sources: Column) -> Column:
-    share = (F.coalesce(weight.cast("double"), F.lit(3.0)) - 1) / 4 * 100
-    return clamp(share * 0.9 + F.when(n_sources > 1, 8).otherwise(0))
+    share = (F.coalesce(weight.cast("double"), F.lit(WEIGHT_UNKNOWN)) - 1) / 4 * 100
+    return clamp(share * CONFIDENCE_WEIGHT + F.when(n_sources > 1, CONFIDENCE_FOR_SOURCES).otherwise(0))
 
 
 def signal(parts: dict[str, Column], weights: dict[str, float] = lex.WEIGHTS) -> Column:
@@ -205,7 +219,7 @@ def is_grounded(answer: Column, source: Column) -> Column:
     return F.coalesce((F.size(long) > 0) & (hits * 2 >= F.size(long)), F.lit(False))
 
 
-# Shapes of credentials. No word character may stand on either side.
+# Shapes of credentials, and what stands in each of them. No word character may stand on either side.
 CREDENTIALS = (
     ("github-classic-pat", "gh[opsu]_[0-9A-Za-z]{36}"),
     ("github-fine-grained-pat", "github_pat_[0-9A-Za-z_]{70,}"),
@@ -213,6 +227,13 @@ CREDENTIALS = (
     ("openai-key", "sk-(?:proj-)?[0-9A-Za-z]{20,}"),
     ("aws-access-key-id", "(?:AKIA|ASIA)[0-9A-Z]{16}"),
 )
+MARKS = {
+    "github-classic-pat": ("gho_", "ghp_", "ghs_", "ghu_"),
+    "github-fine-grained-pat": ("github_pat_",),
+    "huggingface-token": ("hf_",),
+    "openai-key": ("sk-",),
+    "aws-access-key-id": ("AKIA", "ASIA"),
+}
 PLACEHOLDER = "[redacted-credential]"
 
 
@@ -220,18 +241,102 @@ def credential_pattern(shape: str) -> str:
     return f"(?<![0-9A-Za-z_]){shape}(?![0-9A-Za-z_])"
 
 
+def _may_hold(text: Column, name: str) -> Column:
+    some = F.lit(False)
+    for mark in MARKS[name]:
+        some = some | text.contains(mark)
+    return some
+
+
 def scrub(text: Column) -> Column:
-    """The text with each credential replaced; running it again changes nothing."""
-    for _, shape in CREDENTIALS:
-        text = F.regexp_replace(text, credential_pattern(shape), F.lit(PLACEHOLDER))
+    """The text with each credential replaced; running it again changes nothing.
+
+    A pattern is tried only where a text has the shape's mark.
+    """
+
+    def replaced(name: str, shape: str):
+        return lambda t: F.when(_may_hold(t, name), F.regexp_replace(t, credential_pattern(shape), F.lit(PLACEHOLDER))).otherwise(t)
+
+    for credential in CREDENTIALS:
+        text = let(text, replaced(*credential))
     return text
 
 
 def credentials(text: Column) -> Column:
-    """array<struct<pattern, value>> of all credentials in a text, pattern by pattern."""
+    """array<struct<index, pattern, value>> of all credentials in a text, by place (code points) and pattern."""
+
+    def of(t: Column, name: str, shape: str) -> Column:
+        found = F.transform(
+            located(t, credential_pattern(shape)), lambda m: F.struct(m["index"].alias("index"), F.lit(name).alias("pattern"), m["value"].alias("value"))
+        )
+        return F.when(_may_hold(t, name), found).otherwise(F.array().cast("array<struct<index:int,pattern:string,value:string>>"))
+
+    return let(text, lambda t: F.array_sort(F.concat(*[of(t, *c) for c in CREDENTIALS])))
+
 
-    def of(name: str, shape: str) -> Column:
-        values = F.regexp_extract_all(text, F.lit(credential_pattern(shape)), 0)
-        return F.transform(values, lambda v: F.struct(F.lit(name).alias("pattern"), v.alias("value")))
+#: Text fields of a story that are scrubbed before it is stored.
+SCRUBBED = ("title", "description", "author", "content")
+SCRUBBED_AI = ("summary", "whyItMatters")
 
-    return F.concat(*[of(*c) for c in CREDENTIALS])
+
+def scrub_stories(stories: DataFrame) -> DataFrame:
+    """Stories with the credentials in their seven text fields replaced, and `scrubbed_fields`, how many of those changed.
+
+    The fields are title, description, author, content, and summary, whyItMatters and keyTakeaways of `ai`; absent ones are left out.
+    """
+    changed, made = [], {}
+    for name in (n for n in SCRUBBED if n in stories.columns):
+        made[name] = scrub(F.col(name))
+        changed.append(~made[name].eqNullSafe(F.col(name)))
+    if "ai" in stories.columns:
+        ai = F.col("ai")
+        have = stories.schema["ai"].dataType.names
+        for name in (n for n in SCRUBBED_AI if n in have):
+            ai = ai.withField(name, scrub(F.col(f"ai.{name}")))
+            changed.append(~scrub(F.col(f"ai.{name}")).eqNullSafe(F.col(f"ai.{name}")))
+        if "keyTakeaways" in have:
+            ai = ai.withField("keyTakeaways", F.transform("ai.keyTakeaways", scrub))
+            changed.append(~F.transform("ai.keyTakeaways", scrub).eqNullSafe(F.col("ai.keyTakeaways")))
+        made["ai"] = F.when(F.col("ai").isNotNull(), ai)
+    total = sum((c.cast("int") for c in changed), F.lit(0))
+    return stories.withColumn("scrubbed_fields", total).withColumns(made)
+
+
+def scrub_statistics(scrubbed: DataFrame) -> DataFrame:
+    """Stories that had a credential, and fields that changed."""
+    n = F.col("scrubbed_fields")
+    return scrubbed.agg(F.count_if(n > 0).alias("scrubbed_stories"), F.coalesce(F.sum(n), F.lit(0)).alias("changed_fields"))
+
+
+ENTITY_GROUPS = ("companies", "people", "models", "technologies", "countries")
+
+
+def classify_stories(stories: DataFrame) -> DataFrame:
+    """Stories with subcategory, category (its bucket), the five entity lists and tags, from title, description and content."""
+    parts = [F.col(c) for c in ("title", "description", "content") if c in stories.columns]
+    low = stories.withColumn("_low", haystack(*parts))
+    got = low.withColumns({g: entities(F.col("_low"), g) for g in ENTITY_GROUPS}).withColumn("subcategory", classify(F.col("_low")))
+    listed = [F.col(c) for c in ("models", "companies", "technologies", "people", "countries")]
+    return got.withColumns({"category": bucket(F.col("subcategory")), "tags": tags(F.col("_low"), *listed)}).drop("_low")
+
+
+def score_stories(stories: DataFrame, n_sources: Column) -> DataFrame:
+    """Stories with `scores`, the `signal` and the legacy `score` (signal / 20); those without a class are classified first.
+
+    Read are title, description, content, published, discovered, reliability and weight.
+    """
+    if "subcategory" not in stories.columns:
+        stories = classify_stories(stories)
+    text = haystack(*[F.col(c) for c in ("title", "description", "content") if c in stories.columns])
+    body = F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in ("content", "description") if c in stories.columns])
+    n = F.size("companies") + F.size("models") + F.size("technologies")
+    parts = {
+        "impact": impact(F.coalesce("subcategory", classify(text)), n_sources),
+        "novelty": novelty(F.col("published"), F.col("discovered")),
+        "credibility": credibility(F.col("reliability"), body.isNotNull()),
+        "relevance": relevance(text, n),
+        "source_confidence": source_confidence(F.col("weight"), n_sources),
+    }
+    got = stories.withColumn("scores", F.struct(*[c.alias(k) for k, c in parts.items()]))
+    got = got.withColumn("signal", signal({k: F.col(f"scores.{k}") for k in parts}))
+    return got.withColumn("score", F.col("signal") / 20)

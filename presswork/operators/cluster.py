@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.functions.lexicons import LOW_INFO, STOPWORDS
-from presswork.functions.scalars import fingerprint, normalize_title
+from presswork.functions.scalars import fingerprint, normalize_title, url_host
 
 THRESHOLD = 0.70
 MIN_TOKENS = 2
 MAX_HOURS = 72
+HOST_BONUS = 0.08
 MAX_ROUNDS = 40
 
 
@@ -38,10 +37,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def exact_dedupe(df: DataFrame, order: str = "id") -> DataFrame:
     """The first row of each title and URL key; rows without either drop out."""
-    key = fingerprint(F.col("title"), F.col("url"))
-    w = Window.partitionBy("fingerprint").orderBy(order)
-    keyed = df.withColumn("fingerprint", key).where("fingerprint <> '|'")
-    return keyed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    keyed = df.withColumn("fingerprint", fingerprint(F.col("title"), F.col("url"))).where("fingerprint <> '|'")
+    rest = [c for c in keyed.columns if c != "fingerprint"]
+    one = keyed.groupBy("fingerprint").agg(F.min_by(F.struct(*rest), order).alias("_row"))
+    return one.select(*[F.col("_row")[c].alias(c) for c in rest], "fingerprint")
 
 
 def headlines(df: DataFrame) -> DataFrame:
@@ -111,10 +110,13 @@ def links(df: DataFrame, threshold: float = THRESHOLD, hours: int = MAX_HOURS) -
 
 
 def save(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that executors share; one below the warehouse where none is set."""
+    """Cut the lineage in the folder that executors share; on one machine one below the warehouse will do where none is set."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        place = place or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
         spark.sparkContext.setCheckpointDir(place)
     return df.checkpoint(eager=True)
 
@@ -153,6 +155,35 @@ def cluster(df: DataFrame) -> DataFrame:
     return out
 
 
+def similarity(a: dict[str, Column], b: dict[str, Column], threshold: float = THRESHOLD, hours: int = MAX_HOURS) -> Column:
+    """The score of two stories, columns title, published and url of each: the Jaccard similarity of their core tokens, a little more
+    if one site tells both; 0 for too few tokens, below the threshold, and further apart in time than `hours` where both are dated."""
+    enough = F.lit(True)
+    for x in (a, b):
+        enough = enough & (F.size(meaningful(x["title"])) >= MIN_TOKENS) & (F.size(core(x["title"])) >= MIN_TOKENS)
+    score = jaccard(F.array_distinct(core(a["title"])), F.array_distinct(core(b["title"])))
+    gap = F.abs(a["published"].cast("timestamp").cast("double") - b["published"].cast("timestamp").cast("double"))
+    near = F.coalesce(gap <= hours * 3600, F.lit(True))
+    same = F.coalesce(url_host(a["url"]) == url_host(b["url"]), F.lit(False))
+    return F.when(enough & (score >= threshold) & near, F.least(F.lit(1.0), score + F.when(same, HOST_BONUS).otherwise(0.0))).otherwise(0.0)
+
+
+def with_sources(clustered: DataFrame) -> DataFrame:
+    """The canonical stories of clusters of several, with `sources` (id and name, each once), `relatedStoryIds` and `reportedBy`.
+
+    Both lists follow the order in which members would be canonical. They are part of the result, so a cluster is one row.
+    """
+    name = F.col("source_name") if "source_name" in clustered.columns else F.col("source_id")
+    date = F.coalesce(F.unix_micros(F.col("published").cast("timestamp")), F.lit(0))
+    rank = F.struct(-F.coalesce("reliability", F.lit(-1)), date, -F.length("title"), F.col("id"))
+    member = F.struct(rank.alias("r"), F.col("id").alias("id"), F.col("source_id").alias("source_id"), F.coalesce(name, F.col("source_id")).alias("name"))
+    lists = clustered.where("size > 1").groupBy("root").agg(F.sort_array(F.collect_list(member)).alias("m"))
+    sources = F.transform(F.filter("m", lambda x: x["source_id"].isNotNull()), lambda x: F.struct(x["source_id"].alias("id"), x["name"].alias("name")))
+    first = F.filter(sources, lambda s, i: F.array_position(F.transform(sources, lambda y: y["id"]), s["id"]) == i + 1)
+    lists = lists.select("root", first.alias("sources"), F.transform("m", lambda x: x["id"]).alias("relatedStoryIds"))
+    return clustered.where("canonical").join(lists, "root", "left").withColumn("reportedBy", F.when(F.col("sources").isNotNull(), F.size("sources")))
+
+
 def statistics(clustered: DataFrame, n_input: int) -> DataFrame:
     one = clustered.where("canonical")
     return one.agg(
@@ -162,7 +193,3 @@ def statistics(clustered: DataFrame, n_input: int) -> DataFrame:
         F.count_if(F.col("n_sources") > 1).alias("multi_source"),
         F.max("size").alias("largest"),
     )
-
-
-def least_overlap(n: int, threshold: float = THRESHOLD) -> int:
-    return math.ceil(n * threshold - 1e-9)

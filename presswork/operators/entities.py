@@ -65,6 +65,16 @@ def overview(stories: DataFrame) -> DataFrame:
     return mentions(stories).groupBy("group").agg(F.countDistinct("name").alias("names"), F.count("*").alias("mentions"))
 
 
+def totals(stories: DataFrame) -> DataFrame:
+    """One row: stories, and distinct names of each group."""
+    have = {g: c for g, c in GROUPS.items() if c in stories.columns}
+    table = F.array(F.struct(F.lit("stories").alias("group"), F.array(F.lit("")).alias("names")), *[F.struct(F.lit(g).alias("group"), F.col(c).alias("names")) for g, c in have.items()])
+    each = stories.select(F.inline(table)).select("group", F.explode(F.transform("names", lambda x: F.trim(x))).alias("name")).where("group = 'stories' or name <> ''")
+    per = each.groupBy("group", "name").agg(F.count("*").alias("n"))
+    of = lambda g: F.coalesce(F.sum(F.when(F.col("group") == g, 1)), F.lit(0))
+    return per.agg(F.coalesce(F.max(F.when(F.col("group") == "stories", F.col("n"))), F.lit(0)).alias("stories"), *[of(g).alias(c) for g, c in have.items()])
+
+
 def url(group: str, name_slug: str) -> str:
     return f"#/radar/{group}/{name_slug}"
 

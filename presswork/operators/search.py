@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswork.functions.scalars import band
+from presswork.functions.scalars import band, local_day
 
 ARRAYS = ("companies", "models", "people", "technologies")
 
@@ -87,9 +87,6 @@ def condition(df: DataFrame, r: Request) -> Column:
     return out
 
 
-ORDER = (F.desc, F.desc, F.asc)
-
-
 def order() -> list[Column]:
     """Score (none is -1), date (none is oldest), id."""
     return [F.coalesce("score", F.lit(-1)).desc(), F.col("published").desc_nulls_last(), F.col("id").asc()]
@@ -108,21 +105,26 @@ def search(df: DataFrame, r: Request) -> DataFrame:
 
 
 def facets(df: DataFrame) -> DataFrame:
-    """(facet, value): the distinct values of every facet, source ids and names together, and the ends of the date range."""
-    parts = [df.select(F.lit("category").alias("facet"), F.col("category").alias("value"))]
-    parts += [
-        df.select(F.lit(name).alias("facet"), F.explode(name).alias("value")) for name in ARRAYS if name in df.columns
-    ]
-    for name in ("source_id", "source_name"):
-        parts.append(df.select(F.lit("source").alias("facet"), F.col(name).alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.where("value is not null and value <> ''").distinct()
-    ends = df.agg(F.min(F.to_date("published")).alias("lo"), F.max(F.to_date("published")).alias("hi"))
-    for name, column in (("first_day", "lo"), ("last_day", "hi")):
-        out = out.unionByName(ends.select(F.lit(name).alias("facet"), F.col(column).cast("string").alias("value")))
-    return out
+    """(facet, value): the distinct values of every facet, source ids and names together, and the ends of the date range.
+
+    One scan and one aggregation; the days, of which there are few, are put together after it.
+    """
+    one = lambda name, c: F.struct(F.lit(name).alias("facet"), F.array(c.cast("string")).alias("values"))
+    parts = [one("category", F.col("category")), one("source", F.col("source_id")), one("source", F.col("source_name")), one("day", F.to_date("published"))]
+    parts += [one("subcategory", F.col("subcategory"))] if "subcategory" in df.columns else []
+    parts += [F.struct(F.lit(name).alias("facet"), F.col(name).alias("values")) for name in ARRAYS if name in df.columns]
+    each = df.select(F.inline(F.array(*parts))).select("facet", F.explode("values").alias("value"))
+    seen = each.where("value is not null and value <> ''").distinct()
+    days = F.array(F.struct(F.lit("first_day").alias("facet"), F.min("value").alias("value")), F.struct(F.lit("last_day").alias("facet"), F.max("value").alias("value")))
+    is_day = F.col("facet") == "day"
+    kinds = seen.groupBy("facet", F.when(~is_day, F.col("value")).alias("v")).agg(days.alias("ends"))
+    shown = F.when(is_day, F.col("ends")).otherwise(F.array(F.struct(F.col("facet").alias("facet"), F.col("v").alias("value"))))
+    return kinds.select(F.inline(shown))
+
+
+def subcategories(df: DataFrame) -> DataFrame:
+    """The distinct subcategories, in order."""
+    return df.select("subcategory").where("subcategory is not null and subcategory <> ''").distinct().orderBy("subcategory")
 
 
 def live_filter(df: DataFrame, sources: list[str], category: str, text: str) -> DataFrame:
@@ -132,13 +134,12 @@ def live_filter(df: DataFrame, sources: list[str], category: str, text: str) ->
     return df.where(F.col("source_id").isin(sources) & (F.col("category") == category) & hit)
 
 
-def by_range(df: DataFrame, name: str, as_of: Column) -> DataFrame:
-    """today and yesterday are UTC days; week is the last seven days and anything after."""
-    day = F.to_date("published")
+def by_range(df: DataFrame, name: str, as_of: Column, zone: str = "UTC") -> DataFrame:
+    """today and yesterday are calendar days of a time zone; week is the last seven days and anything after."""
     if name == "week":
         return df.where(F.col("published") >= as_of - F.expr("interval 7 days"))
     back = {"today": 0, "yesterday": 1}[name]
-    return df.where(day == F.date_sub(F.to_date(as_of), back))
+    return df.where(local_day(F.col("published").cast("timestamp"), zone) == F.date_sub(local_day(as_of, zone), back))
 
 
 def latest(df: DataFrame, as_of: Column, hours: int = 48) -> DataFrame:
@@ -158,6 +159,11 @@ def recent(df: DataFrame, limit: int = 100) -> DataFrame:
     return df.orderBy(when.desc_nulls_last(), "id").limit(limit)
 
 
-def ranked(df: DataFrame, keys: list[Column], name: str = "rank") -> DataFrame:
-    """A number for every row, for small results only: one task orders them all."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)))
+def pages_so_far(df: DataFrame, keys: list[Column], number: int, size: int = 48) -> DataFrame:
+    """All pages up to one, as a list that grows shows them."""
+    return df.orderBy(*keys).limit(max(1, number) * max(1, size))
+
+
+def ranked(df: DataFrame, keys: list[Column], limit: int, name: str = "rank") -> DataFrame:
+    """The first rows with their number: a bounded top-k, which alone is numbered in one task."""
+    return df.orderBy(*keys).limit(limit).withColumn(name, F.row_number().over(Window.orderBy(*keys)))

@@ -1,8 +1,8 @@
 """Counts, dense series and period-over-period trends.
 
 Stories have at least: id, published (timestamp), score, category, companies,
-models, source_id. Every operator is one aggregation with map-side partial sums;
-only bounds of a handful of rows are cross-joined.
+models, source_id. Every operator is one aggregation with map-side partial sums, but for those that need the
+bounds of the dates first; these, a row each, are cross-joined.
 """
 
 from __future__ import annotations
@@ -120,23 +120,45 @@ def dominant_band(stories: DataFrame) -> DataFrame:
 
 
 def facts(stories: DataFrame) -> DataFrame:
-    """Label and value of the headline figures, as text."""
-    series = daily_series(stories)
-    parts = [
-        ("stories", stories.agg(F.count("*").cast("string").alias("value"))),
-        ("average score", stories.agg(average(F.col("score")).cast("string").alias("value"))),
-        ("peak day", peak_day(series).select(F.col("day").cast("string").alias("value"))),
-        ("active days", active_days(series).select(F.col("active_days").cast("string").alias("value"))),
-        ("dominant band", dominant_band(stories).select(F.col("band").alias("value"))),
-        ("top category", category_mix(stories).orderBy(F.desc("n"), "position").limit(1).select(F.col("category").alias("value"))),
-        ("top company", top(count_by(stories, "companies"), 1).select(F.col("name").alias("value"))),
-        ("top source", source_counts(stories).orderBy(F.desc("n"), "source_id").limit(1).select(F.col("source_id").alias("value"))),
-    ]
-    out = None
-    for label, df in parts:
-        row = df.where("value is not null").select(F.lit(label).alias("label"), "value")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Label and value of the headline figures, as text; those without a value are left out.
+
+    One scan: every story tells its day, band, category, source and companies, which are counted together.
+    The counts are few (days, names), and each figure is the best of its kind among them.
+    """
+    one = lambda name, c: F.struct(F.lit(name).alias("kind"), F.array(c.cast("string")).alias("values"))
+    places = F.array(
+        one("all", F.lit("")), one("day", F.to_date("published")), one("band", band(F.col("score"))), one("category", F.coalesce("category", F.lit("other"))),
+        one("source", F.col("source_id")), F.struct(F.lit("company").alias("kind"), F.transform("companies", lambda x: F.trim(x)).alias("values")),
+    )
+    each = stories.select("score", F.inline(places)).select("score", "kind", F.explode("values").alias("value")).where("value is not null")
+    each = each.where("kind = 'all' or value <> ''")
+    counts = each.groupBy("kind", "value").agg(F.count("*").alias("n"), F.avg("score").alias("mean"))
+    fixed = {b: f"{i}" for i, b in enumerate(BANDS)} | {c: f"{i}" for i, c in enumerate(CATEGORY_ORDER)}
+    table = F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv])
+    placed = F.when(F.col("kind").isin("band", "category"), F.coalesce(F.try_element_at(table, F.col("value")), F.lit("9")))
+    tie = F.concat(F.coalesce(placed, F.lit("")), F.col("value"))
+    best = counts.groupBy("kind").agg(
+        F.min_by("value", F.struct(-F.col("n"), tie)).alias("top"), F.count("*").alias("kinds"), F.max("n").alias("n"), F.max("mean").alias("mean")
+    )
+    row = lambda label, value: F.struct(F.lit(label).alias("label"), value.cast("string").alias("value"))
+    k = F.col("kind")
+    made = (
+        F.when(k == "all", F.array(row("stories", F.col("n")), row("average score", one_decimal(F.col("mean")))))
+        .when(k == "day", F.array(row("peak day", F.col("top")), row("active days", F.col("kinds"))))
+        .when(k == "band", F.array(row("dominant band", F.col("top"))))
+        .when(k == "category", F.array(row("top category", F.col("top"))))
+        .when(k == "company", F.array(row("top company", F.col("top"))))
+        .otherwise(F.array(row("top source", F.col("top"))))
+    )
+    return best.select(F.inline(made)).where("value is not null")
+
+
+def extremes(series: DataFrame) -> DataFrame:
+    """Bounds of a chart: days, the largest count and the first day that has it, the smallest and largest mean."""
+    return series.agg(
+        F.min("day").alias("from_day"), F.max("day").alias("to_day"), F.max("n").alias("largest"),
+        F.min_by("day", F.struct(-F.col("n"), F.col("day"))).alias("peak"), F.min("avg_score").alias("lowest"), F.max("avg_score").alias("highest"),
+    )
 
 
 def report(stories: DataFrame, period: str = "all") -> dict[str, DataFrame]:

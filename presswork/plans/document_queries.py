@@ -89,19 +89,35 @@ def story_ids(spark, d):
     return ds.select("id", N.fingerprint(F.col("title"), F.col("url")).alias("fingerprint"), N.story_id(F.col("title"), F.col("url")).alias("story_id"))
 
 
-SUFFIXES = (" - Reuters", " | The Verge", " - - wired.com", " - Unknown Paper", ": Nature", "")
-SUFFIXED = f"title || {listed(SUFFIXES)}[1 + id % {len(SUFFIXES)}]"
+ALIASES = lex.publisher_aliases()
+SETS_OFF = "–—|·:-"
 
 
-@query(
-    f"""{DS} SELECT id, CASE id % 6 WHEN 0 THEN 'reuters' WHEN 1 THEN 'the verge' WHEN 2 THEN 'wired com' WHEN 4 THEN 'nature' END AS publisher,
-    CASE WHEN id % 6 = 3 THEN title || ' - Unknown Paper' ELSE title END AS title FROM ds WHERE title <> '' AND NOT regexp_matches(title, '[-–—|·:]')"""
-)
+def clean_sql(source: str, column: str) -> str:
+    """CTEs c0 to c3 over a table with id: three rounds that cut a known publisher off a title; c3 has id, t (clean) and publisher."""
+    split = f"^(.+)[ \t]*[{SETS_OFF}][ \t{SETS_OFF}]*(.+?)[ \t]*$"
+    out = [f"c0 AS (SELECT id, trim(coalesce({column}, '')) AS t, NULL::varchar AS publisher, true AS go FROM {source})"]
+    for k in range(3):
+        tail = NORM.format(f"regexp_extract(t, '{split}', 2)")
+        head = f"trim(regexp_replace(trim(regexp_extract(t, '{split}', 1)), '\s*[{SETS_OFF}]+\s*$', ''))"
+        out.append(
+            f"""c{k + 1} AS (SELECT id, CASE WHEN ok THEN head ELSE t END AS t, CASE WHEN ok THEN coalesce(publisher, tail) ELSE publisher END AS publisher, ok AS go
+            FROM (SELECT *, go AND length(tail) >= 2 AND list_contains({listed(ALIASES)}, tail) AND head <> '' AS ok
+                  FROM (SELECT *, {tail} AS tail, {head} AS head FROM c{k})))"""
+        )
+    return ", ".join(out)
+
+
+SUFFIXED = f"title || ' - ' || {listed(ALIASES)}[1 + id % {len(ALIASES)}] || CASE WHEN id % 7 = 0 THEN ' | Unknown Paper' WHEN id % 5 = 0 THEN ' - - Reuters' ELSE '' END"
+
+
+@query(f"{DS}, s AS (SELECT id, {SUFFIXED} AS full_title FROM ds), {clean_sql('s', 'full_title')} SELECT id, publisher, t AS title FROM c3")
 def strip_publisher_suffix(spark, d):
-    ds = document_stories(spark, d).where("title <> ''").where(~F.col("title").rlike("[-–—|·:]"))
-    table_ = F.array(*map(F.lit, SUFFIXES))
-    full = F.concat("title", F.get(table_, (F.col("id") % len(SUFFIXES)).cast("int")))
-    got = ds.select("id", N.clean_title(full, lex.publisher_aliases()).alias("c"))
+    """Every title, with each of the known names behind it in turn, some behind an unknown paper and some before another one."""
+    ds = document_stories(spark, d)
+    name = F.get(F.array(*map(F.lit, ALIASES)), (F.col("id") % len(ALIASES)).cast("int"))
+    more = F.when(F.col("id") % 7 == 0, " | Unknown Paper").when(F.col("id") % 5 == 0, " - - Reuters").otherwise("")
+    got = ds.select("id", N.clean_title(F.concat("title", F.lit(" - "), name, more), ALIASES).alias("c"))
     return got.select("id", "c.publisher", "c.title")
 
 
@@ -167,14 +183,15 @@ def planted_docs(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), "source", text.alias("x"), F.lower(text).alias("low"))
 
 
-def has(words: str) -> str:
+def has(words) -> str:
     import re
 
-    return f"regexp_matches(low, {quoted('(^|[^a-z0-9])(?:' + '|'.join(map(re.escape, words.split('|'))) + ')($|[^a-z0-9])')})"
+    words = (words,) if isinstance(words, str) else words
+    return f"regexp_matches(low, {quoted('(^|[^a-z0-9])(?:' + '|'.join(map(re.escape, words)) + ')($|[^a-z0-9])')})"
 
 
 FIVE = "CASE " + " ".join(
-    "WHEN " + " OR ".join(f"contains(low, {quoted(w)})" for w in words.split("|")) + f" THEN '{name}'" for name, words in lex.FIVE_CLASSES
+    "WHEN " + " OR ".join(f"contains(low, {quoted(w)})" for w in words) + f" THEN '{name}'" for name, words in lex.FIVE_CLASSES
 ) + " ELSE 'news' END"
 TWELVE = "CASE " + " ".join(f"WHEN {has(words)} THEN '{name}'" for name, words in lex.TWELVE_CLASSES) + " ELSE 'other' END"
 BUCKET = "CASE sub " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lex.BUCKETS.items()) + " ELSE 'news' END"
@@ -195,7 +212,7 @@ def entity_sql(group: str) -> str:
     """Labels found, longest name first, without names inside longer ones that were found."""
     import re
 
-    names = sorted(lex.LEXICONS[group].split("|"), key=len, reverse=True)
+    names = sorted(lex.LEXICONS[group], key=len, reverse=True)
     inside = lambda s, n: re.search(f"(^|[^a-z0-9]){re.escape(s)}($|[^a-z0-9])", n)
     parts = []
     for n in names:
@@ -213,7 +230,21 @@ def lexicon_entities(spark, d):
     return planted_docs(spark, d).select("id", *[S.entities(F.col("low"), g).alias(g) for g in lex.LEXICONS])
 
 
-@query()
+def once_sql(items: str) -> str:
+    """The first of each value of a list, whatever its case."""
+    return f"list_filter({items}, lambda x, i: list_position(list_transform({items}, lambda y: lower(y)), lower(x)) = i)"
+
+
+TOPIC_TAGS = "list_filter([" + ", ".join(f"CASE WHEN contains(low, {quoted(t)}) THEN {quoted(tag)} END" for t, tag in lex.TOPICS) + "], lambda v: v IS NOT NULL)"
+# a topic is new if no tag is the same, neither as it stands nor in lower case
+NEW_TOPICS = "list_filter(topics, lambda x: NOT list_contains(ents, x) AND NOT list_contains(list_transform(ents, lambda y: lower(y)), x))"
+TAGS_SQL = f"""SELECT id, list_transform(list_concat(ents, {NEW_TOPICS})[1:6],
+    lambda x: array_to_string(list_transform(string_split(x, ' '), lambda w: upper(w[1]) || w[2:]), ' ')) AS tags
+    FROM (SELECT *, {once_sql('every')} AS ents FROM (SELECT id, list_concat(list_concat(list_concat({ENT['models']}, {ENT['companies']}), list_concat({ENT['technologies']}, {ENT['people']})), {ENT['countries']}) AS every,
+          {TOPIC_TAGS} AS topics FROM pl))"""
+
+
+@query(f"{PL} {TAGS_SQL}")
 def tags(spark, d):
     got = planted_docs(spark, d).select("id", "low", *[S.entities(F.col("low"), g).alias(g) for g in lex.LEXICONS])
     c = [F.col(g) for g in ("models", "companies", "technologies", "people", "countries")]
@@ -345,8 +376,8 @@ def scrub_credentials(spark, d):
 
 
 @query(
-    "WITH k AS (SELECT doc_id AS id, " + EDGED + " AS x FROM documents) "
-    + " UNION ALL ".join(rf"SELECT id, '{n}' AS pattern, unnest(regexp_extract_all(x, '\b{shape}\b')) AS value FROM k" for n, shape in S.CREDENTIALS)
+    "WITH k AS (SELECT doc_id AS id, length(coalesce(text, '')) + 5 AS place, " + EDGED + " AS x FROM documents) "
+    + " UNION ALL ".join(rf"SELECT id, place::int AS index, '{n}' AS pattern, unnest(regexp_extract_all(x, '\b{shape}\b')) AS value FROM k" for n, shape in S.CREDENTIALS)
 )
 def credential_matches(spark, d):
     return keyed(spark, d).select("id", F.inline(S.credentials(F.col("x"))))

@@ -206,7 +206,7 @@ def recent_100(ev):
 
 @query(f"{EV} SELECT id, (row_number() OVER (ORDER BY coalesce(score, 0) DESC, published DESC NULLS LAST, id))::int AS rank FROM d ORDER BY rank LIMIT 200")
 def snapshot_top_200(ev):
-    return search.ranked(ev.orderBy(*dashboard.snapshot_order()).limit(200), dashboard.snapshot_order()).select("id", "rank")
+    return search.ranked(ev, dashboard.snapshot_order(), 200).select("id", "rank")
 
 
 ENTITY = """SELECT 'company' AS "group", unnest(companies) AS name, id, score, published FROM d

@@ -86,22 +86,25 @@ def suffixed(spark: SparkSession, d: str) -> DataFrame:
     """Document stories, every other one with a publisher behind its title; ids are those of the title as it stands."""
     from presswork.functions.scalars import story_id
 
-    ds = document_stories(spark, d).where("title <> ''").where(~F.col("title").rlike("[-–—|·:]"))
+    ds = document_stories(spark, d)
     title = F.concat("title", F.when(F.col("id") % 2 == 0, " - Reuters").otherwise(""))
+    at = F.coalesce("published", F.lit("2024-01-01").cast("timestamp"))
     return ds.select(
-        story_id(title, F.col("url")).alias("id"), title.alias("title"), "url", "description", "source_id",
-        F.coalesce("published", F.lit("2024-01-01").cast("timestamp")).alias("updated"),
-        F.to_date(F.coalesce("published", F.lit("2024-01-01").cast("timestamp"))).alias("day"), F.col("id").alias("doc_id"),
+        story_id(title, F.col("url")).alias("id"), title.alias("title"), "url", "description", "source_id", at.alias("updated"), F.to_date(at).alias("day"),
+        F.col("id").alias("doc_id"),
     )
 
 
+from .document_queries import clean_sql  # noqa: E402
 from .projections import DOCUMENT_SQL  # noqa: E402
 
-SUFFIXED = f"""WITH ds AS ({DOCUMENT_SQL}), x AS (SELECT id AS doc_id, title AS plain, title || CASE WHEN id % 2 = 0 THEN ' - Reuters' ELSE '' END AS title, url, description,
-    source_id, coalesce(published, TIMESTAMP '2024-01-01') AS updated FROM ds WHERE title <> '' AND NOT regexp_matches(title, '[-–—|·:]')),
-  k AS (SELECT * REPLACE (plain AS title), title AS full_title, {FP.replace("title", "title")} AS fp_full FROM x),
-  f AS (SELECT doc_id, full_title, url, description, source_id, updated, {FP} AS fp_clean FROM k),
-  i AS (SELECT *, {DJB2.format('fp_clean')} AS clean_id, {DJB2.format('fp_full')} AS id FROM (SELECT f.*, fp_full FROM f JOIN k USING (doc_id)))"""
+# ids of titles as they stand, and of clean ones; a title that is nothing but a publisher stays
+SUFFIXED = f"""WITH ds AS ({DOCUMENT_SQL}), x AS (SELECT id AS doc_id, id, title || CASE WHEN id % 2 = 0 THEN ' - Reuters' ELSE '' END AS full_title, url, description,
+    source_id, coalesce(published, TIMESTAMP '2024-01-01') AS updated FROM ds), {clean_sql('x', 'full_title')},
+  f AS (SELECT doc_id, full_title, url, description, source_id, updated, {FP.replace('title', 'full_title')} AS fp_full FROM x),
+  k AS (SELECT c3.id AS doc_id, t AS title, x.url FROM c3 JOIN x USING (id)),
+  g AS (SELECT doc_id, {FP} AS fp_clean FROM k),
+  i AS (SELECT f.*, {DJB2.format('fp_clean')} AS clean_id, {DJB2.format('fp_full')} AS id FROM f JOIN g USING (doc_id))"""
 
 
 @query(f"{SUFFIXED} SELECT doc_id, id, clean_id FROM i WHERE id <> clean_id")
@@ -193,13 +196,19 @@ def parse_feeds(spark, d):
 
 
 def _through_stream(spark: SparkSession, d: str, make) -> DataFrame:
-    """Run a stream over the events to its end, into a table in the shared warehouse, and read it."""
+    """Run a stream over the events to its end, into a table in the shared warehouse, and read it.
+
+    What earlier calls of this session left is deleted, and so is the state of the stream.
+    """
     import uuid
 
     from presswork.streaming import stories
 
-    place = f"{spark.conf.get('spark.sql.warehouse.dir')}/presswork_stream_{uuid.uuid4().hex}"
+    home = f"{spark.conf.get('spark.sql.warehouse.dir')}/presswork_streams_{spark.sparkContext.applicationId}"
+    place = f"{home}/{uuid.uuid4().hex}"
     stream = make(stories, stories.read(spark, f"{d}/events.parquet"))
+    remove = lambda path: _files(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+    remove(home)
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
@@ -208,9 +217,14 @@ def _through_stream(spark: SparkSession, d: str, make) -> DataFrame:
         stream.writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").foreachBatch(each).trigger(availableNow=True).start()
     )
     q.awaitTermination()
+    remove(f"{place}/state")
     return spark.read.parquet(f"{place}/out").drop("batch")
 
 
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 @query("SELECT ts::date AS day, event_type, count(*)::bigint AS n FROM events GROUP BY 1, 2")
 def stream_daily_window(spark, d):
     return _through_stream(spark, d, lambda s, e: s.daily_counts(e, "ts", "event_type"))
@@ -219,3 +233,11 @@ def stream_daily_window(spark, d):
 @query("SELECT event_id FROM events")
 def stream_dedupe(spark, d):
     return _through_stream(spark, d, lambda s, e: s.dedupe(e.select("event_id", "ts"), "ts", "event_id").select("event_id"))
+
+
+@query(
+    "SELECT until::date AS until, event_type, count(*)::bigint AS n FROM (SELECT event_type, unnest(generate_series(date_trunc('day', ts) + INTERVAL 1 DAY, "
+    "date_trunc('day', ts) + INTERVAL 7 DAY, INTERVAL 1 DAY)) AS until FROM events) GROUP BY 1, 2"
+)
+def stream_sliding_window(spark, d):
+    return _through_stream(spark, d, lambda s, e: s.sliding_counts(e, "ts", "event_type"))

@@ -27,6 +27,9 @@ def value(spark, column, **inputs):
         ("Model ships - Some Blog", "Model ships - Some Blog", None),
         ("Reuters", "Reuters", None),
         ("Lab finds cure - News-Medical", "Lab finds cure - News-Medical", None),
+        ("Model ships - Axios", "Model ships", "axios"),
+        ("Model ships - AP", "Model ships", "ap"),
+        ("Model ships - nyt.com", "Model ships - nyt.com", None),
         ("", "", None),
         (None, "", None),
     ],
@@ -53,6 +56,9 @@ def test_identity(spark):
         ("https://EXAMPLE.com/P?utm_source=a&id=2&FBCLID=3#f", "https://example.com/P?id=2#f"),
         ("http://x.com", "http://x.com/"),
         ("http://x.com?gclid=1", "http://x.com/"),
+        ("HTTP://me:Pw@X.com:80/A/?UTM_Medium=x&b=C", "http://me:Pw@x.com/A/?b=C"),
+        ("https://x.com:443", "https://x.com/"),
+        ("https://x.com:8443/a", "https://x.com:8443/a"),
         ("ftp://x.com", None),
         (None, None),
     ],
@@ -140,3 +146,22 @@ def test_signal_is_the_weighted_sum(spark):
     parts = {k: F.lit(v) for k, v in zip(lex.WEIGHTS, (78, 100, 98, 62, 90))}
     assert value(spark, S.signal(parts)) == int(0.3 * 78 + 25 + 0.2 * 98 + 0.15 * 62 + 9 + 0.5)
     assert value(spark, S.novelty(F.lit(None).cast("timestamp"), F.current_timestamp())) == 55
+
+
+def test_manifest_is_whole():
+    aliases = lex.publisher_aliases()
+    assert len(aliases) == 272 and len(set(lex.PUBLISHERS)) == len(lex.PUBLISHERS)
+
+
+def test_credentials_tell_their_place(spark):
+    key, other = "gh" + "p_" + "A1b2" * 9, "AK" + "IA" + "ABCDEFGHIJKLMNOP"
+    got = value(spark, S.credentials(F.col("t")), t=f"é😀 {other} then {key}, {key}")
+    assert [(x.index, x.pattern) for x in got] == [(3, "aws-access-key-id"), (29, "github-classic-pat"), (71, "github-classic-pat")]
+
+
+def test_days_and_publishers(spark):
+    at = "2024-01-20 03:00:00"
+    assert str(value(spark, N.local_day(F.col("t").cast("timestamp"), "America/New_York"), t=at)) == "2024-01-19"
+    assert value(spark, N.publisher_url(F.col("d"), F.col("c")), d="https://a.com/x?utm_source=y", c="https://news.google.com/rss/1") == "https://a.com/x"
+    assert value(spark, N.publisher_url(F.col("d"), F.col("c")), d="https://a.com/x", c="https://b.com/1") is None
+    assert value(spark, N.truncated(F.col("t"), 5), t="abcdefgh") == "abcd…" and value(spark, N.day_shown(F.col("t").cast("date")), t="2024-03-01") == "03/01/2024"
