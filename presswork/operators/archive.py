@@ -245,21 +245,21 @@ class Archive:
         ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
     def _reindex(self, gone: DataFrame | None, new: DataFrame) -> None:
-        """Take ids out of the index and put rows in; buckets without either are not read."""
+        """Take (id, day) rows out of the index and put rows in, whose ids leave their old days; other buckets are not read."""
         index = self.index()
         new = new.select("id", "day").withColumn("bucket", bucket_of(F.col("id")))
-        if index is not None:
-            ids = new.select("id") if gone is None else gone.select("id").unionByName(new.select("id"))
-            ids = ids.distinct()
-            buckets = [r.b for r in ids.select(bucket_of(F.col("id")).alias("b")).distinct().collect()]
-            old = index.where(F.col("bucket").isin(buckets))
-            left = old.join(ids, "id", "left_anti").select("id", "day", "bucket").unionByName(new)
-            full = {r.bucket for r in left.select("bucket").distinct().collect()}
-            self._write(left, self.path + "_index", "bucket")
-            for bucket in set(buckets) - full:
-                self._delete(f"{self.path}_index/bucket={bucket}")
-        else:
-            self._write(new, self.path + "_index", "bucket")
+        if index is None:
+            return self._write(new, self.path + "_index", "bucket")
+        ids = new.select("id") if gone is None else new.select("id").unionByName(gone.select("id"))
+        buckets = [r.b for r in ids.select(bucket_of(F.col("id")).alias("b")).distinct().collect()]
+        left = index.where(F.col("bucket").isin(buckets)).join(new.select("id"), "id", "left_anti")
+        if gone is not None:
+            left = left.join(gone.select("id", "day").distinct(), ["id", "day"], "left_anti")
+        left = left.select("id", "day", "bucket").unionByName(new)
+        full = {r.bucket for r in left.select("bucket").distinct().collect()}
+        self._write(left, self.path + "_index", "bucket")
+        for bucket in set(buckets) - full:
+            self._delete(f"{self.path}_index/bucket={bucket}")
 
     def touched(self, ids: DataFrame) -> DataFrame:
         """(id, day) of ids that are stored, from their buckets of the index."""
@@ -320,9 +320,7 @@ class Archive:
             self._write(left.select(*stored.columns), self.path, "day")
             for day in days - full:
                 self._delete(f"{self.path}/day={day}")
-            still = left.select("id", "day").join(lost.select("id"), "id", "left_semi")
-            still.write.mode("overwrite").parquet(self.path + "_still")
-            self._reindex(lost, self.spark.read.parquet(self.path + "_still"))
+            self._reindex(lost, lost.limit(0))
         return n
 
     def cleanup(self) -> int:

@@ -156,7 +156,7 @@ def test_manifest_is_whole():
 def test_credentials_tell_their_place(spark):
     key, other = "gh" + "p_" + "A1b2" * 9, "AK" + "IA" + "ABCDEFGHIJKLMNOP"
     got = value(spark, S.credentials(F.col("t")), t=f"é😀 {other} then {key}, {key}")
-    assert [(x.index, x.pattern) for x in got] == [(3, "aws-access-key-id"), (29, "github-classic-pat"), (71, "github-classic-pat")]
+    assert [(x["index"], x.pattern) for x in got] == [(3, "aws-access-key-id"), (29, "github-classic-pat"), (71, "github-classic-pat")]
 
 
 def test_days_and_publishers(spark):
