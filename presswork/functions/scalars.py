@@ -192,8 +192,8 @@ def band(score: Column, missing: str = "unknown") -> Column:
 
 
 def percent(score: Column) -> Column:
-    """Rounded and held to 0..100."""
-    return F.least(F.greatest(js_round(score), F.lit(0)), F.lit(100))
+    """Rounded and held to 0..100; null stays null."""
+    return F.when(score.isNotNull(), F.least(F.greatest(js_round(score), F.lit(0)), F.lit(100)))
 
 
 def similarity_ratio(a: Column, b: Column) -> Column:

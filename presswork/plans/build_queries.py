@@ -15,7 +15,7 @@ from presswork.operators import archive, cluster, entities, extract, runs, searc
 from presswork.sources import feeds
 
 from .document_queries import (
-    BUCKET, CLUSTER_SQL, CORE, DJB2, DS, EDGED, ENT, HOST, KEYS, MEANINGFUL, NEW_TOPICS, NORM, PATH, PL, SENT, TAGS_SQL, TWELVE, cap_sql, keyed, listed, planted_docs,
+    BUCKET, CLUSTER_SQL, CORE, DJB2, DS, ENT, HOST, MEANINGFUL, NORM, PATH, PL, SENT, TAGS_SQL, TWELVE, cap_sql, keyed, listed, planted_docs,
 )
 from .event_queries import AS_OF, EV, STATUS_SQL, statuses
 from .item_queries import raw_items, three_sources
@@ -365,3 +365,12 @@ def empty_messages(spark, d):
         .when(said.contains("published yet"), "period").when(said.contains("Nothing here yet"), "nothing")
     )
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), why.alias("why"))
+
+
+@query(
+    f"""{EV} SELECT id, CASE WHEN score IS NOT NULL THEN least(greatest(floor(score * 1.3::double + 0.5), 0), 100)::bigint END AS pct,
+    floor(coalesce(score::double, (id % 5) * 20) + 0.5)::bigint AS shown FROM d"""
+)
+def display_values(spark, d):
+    ev = event_stories(spark, d)
+    return ev.select("id", N.percent(F.col("score") * 1.3).alias("pct"), N.score_value(F.col("score"), F.col("id") % 5).alias("shown"))

@@ -99,7 +99,7 @@ def clean_sql(source: str, column: str) -> str:
     out = [f"c0 AS (SELECT id, trim(coalesce({column}, '')) AS t, NULL::varchar AS publisher, true AS go FROM {source})"]
     for k in range(3):
         tail = NORM.format(f"regexp_extract(t, '{split}', 2)")
-        head = f"trim(regexp_replace(trim(regexp_extract(t, '{split}', 1)), '\s*[{SETS_OFF}]+\s*$', ''))"
+        head = f"trim(regexp_replace(trim(regexp_extract(t, '{split}', 1)), '\\s*[{SETS_OFF}]+\\s*$', ''))"
         out.append(
             f"""c{k + 1} AS (SELECT id, CASE WHEN ok THEN head ELSE t END AS t, CASE WHEN ok THEN coalesce(publisher, tail) ELSE publisher END AS publisher, ok AS go
             FROM (SELECT *, go AND length(tail) >= 2 AND list_contains({listed(ALIASES)}, tail) AND head <> '' AS ok

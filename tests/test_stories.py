@@ -165,3 +165,11 @@ def test_days_and_publishers(spark):
     assert value(spark, N.publisher_url(F.col("d"), F.col("c")), d="https://a.com/x?utm_source=y", c="https://news.google.com/rss/1") == "https://a.com/x"
     assert value(spark, N.publisher_url(F.col("d"), F.col("c")), d="https://a.com/x", c="https://b.com/1") is None
     assert value(spark, N.truncated(F.col("t"), 5), t="abcdefgh") == "abcd…" and value(spark, N.day_shown(F.col("t").cast("date")), t="2024-03-01") == "03/01/2024"
+
+
+def test_what_a_reader_sees(spark):
+    some = dict(s="A new model", d="It is out today and does more than the last one did.", t="A new model!")
+    assert value(spark, N.shown_summary(F.col("s"), F.col("d"), F.col("t")), **some) is None  # a summary that repeats the title is not replaced
+    assert value(spark, N.shown_summary(F.lit(None).cast("string"), F.col("d"), F.col("t")), **some) == some["d"]
+    assert value(spark, N.reader_text(F.lit("").cast("string"), F.col("d")), **some) == some["d"]
+    assert value(spark, N.normalize_array(F.lit(None).cast("array<string>"))) == []
