@@ -65,9 +65,6 @@ class Policy:
 BASE = Policy("base", 1, ("few_words", "repeated_words"))
 PRODUCTION = Policy("production", 1, tuple(r.name for r in RULES))
 
-_symbols = re.compile(r"[#*$%&|<>]")
-
-
 def repeated_words(words: list[bytes]) -> int:
     """Words inside a window of 8 words that the list holds at least twice."""
     n = len(words) - WINDOW + 1
