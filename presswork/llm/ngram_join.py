@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCHES, TIDY, UPPER, Marks, Scratch, col, documents, settings, slices
+from .common import SMALL_BATCHES, TIDY, UPPER, Marks, Scratch, col, documents, save, settings, slices
 from .components import components
 
 SHINGLE = 5
@@ -510,9 +510,13 @@ def links(groups: DataFrame, parts: DataFrame) -> DataFrame:
     return tasks.mapInArrow(run, "u binary, v binary")
 
 
+#: Joins of the steps have one plan at every size.
+SHUFFLED = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, component_id, sig) of every row, component_id being the smallest id of its component."""
-    with settings(docs.sparkSession, SMALL_BATCHES | TIDY), Scratch(docs.sparkSession) as save:
+    with settings(docs.sparkSession, SMALL_BATCHES | TIDY | SHUFFLED), Scratch(docs.sparkSession) as save:
         return save.keep(_linked(docs, id_col, text_col, save))
 
 
@@ -545,6 +549,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = linked(docs, id_col, text_col)
     gone = found.where("n > 0 and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = save(gone)  # a table of ids only, whose size Spark sees before it decides whether the texts must be shuffled
     return docs.join(gone, id_col, "left_anti")
 
 
