@@ -11,6 +11,7 @@ from .quality_rules import ABLATION_SQL, OP5_SQL, op5_quality_rules, quality_abl
 from .secret_scan import op4_secret_scan
 from .sentencepiece_codec import op8_sentencepiece
 from .substring_dedup import op7_substring_dedup
+from .token_records import op11_token_records
 from .url_filter import op2_url_filter
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_token_records": op11_token_records,
     "quality_ablation": quality_ablation,
 }
 SQL = {"quality_ablation": ABLATION_SQL, "op10_ngram_jaccard": OP10_SQL, "op5_quality_rules": OP5_SQL, "op9_decontamination": OP9_SQL}
