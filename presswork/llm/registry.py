@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .closed_itemsets import OP12_SQL, op12_closed_itemsets
 from .decontamination import OP9_SQL, op9_decontamination
 from .language_id import op1_language_id
 from .license_scan import op3_license_scan
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_token_records": op11_token_records,
+    "op12_closed_itemsets": op12_closed_itemsets,
     "quality_ablation": quality_ablation,
 }
-SQL = {"quality_ablation": ABLATION_SQL, "op10_ngram_jaccard": OP10_SQL, "op5_quality_rules": OP5_SQL, "op9_decontamination": OP9_SQL}
+SQL = {"quality_ablation": ABLATION_SQL, "op10_ngram_jaccard": OP10_SQL, "op12_closed_itemsets": OP12_SQL, "op5_quality_rules": OP5_SQL, "op9_decontamination": OP9_SQL}
