@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .closed_itemsets import OP12_SQL, op12_closed_itemsets
 from .decontamination import OP9_SQL, op9_decontamination
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .language_id import op1_language_id
 from .license_scan import op3_license_scan
 from .ngram_join import OP10_SQL, op10_ngram_jaccard
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_token_records": op11_token_records,
     "op12_closed_itemsets": op12_closed_itemsets,
+    "op13_hard_negatives": op13_hard_negatives,
     "quality_ablation": quality_ablation,
 }
-SQL = {"quality_ablation": ABLATION_SQL, "op10_ngram_jaccard": OP10_SQL, "op12_closed_itemsets": OP12_SQL, "op5_quality_rules": OP5_SQL, "op9_decontamination": OP9_SQL}
+SQL = {"quality_ablation": ABLATION_SQL, "op10_ngram_jaccard": OP10_SQL, "op12_closed_itemsets": OP12_SQL, "op13_hard_negatives": OP13_SQL, "op5_quality_rules": OP5_SQL, "op9_decontamination": OP9_SQL}
