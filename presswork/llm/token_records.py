@@ -28,7 +28,7 @@ checksum is checked; a wrong one raises `ValueError`.
 
 **Encoding**: the library's ids, an end id behind each text. A text is cut at blanks, tabs
 and line ends only, where its normaliser and pre-tokeniser can't look across, and ids of words
-are remembered up to `REMEMBERED`; so is the id run of a word without its last mark or its capitals.
+are remembered, twice `REMEMBERED` words at most; a new word with capitals, or with marks around it, is put together from its parts.
 Other tokenizer files, whose pre-tokeniser keeps blanks, are encoded text by text.
 
 Null and empty texts have only the end id; a null key comes first. Repeated rows are repeated
@@ -40,6 +40,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -61,12 +62,17 @@ RUN = 16 << 20
 #: Bytes of records in a batch that is read.
 BATCH = 4 << 20
 REMEMBERED = 1 << 19
-#: Longer words are not remembered; so many characters of a text are cut at once.
+#: Longer words are forgotten first; so many characters of a text are cut at once.
 LONG_WORD, PIECE = 64, 1 << 20
 #: Bytes of text that one range of keys should hold, on average.
 RANGE = 32 << 20
 MOST_RANGES = 1 << 15
-BLANKS = str.maketrans("\n\t\r", "   ")
+#: The end of the Latin letters that the normaliser leaves as they are.
+LATIN = "\u0250"
+#: A symbol for every byte: its own character where that is visible, else the next one from 256 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SYMBOLS = [chr(b) if b in SHOWN else chr(256 + b - sum(x < b for x in SHOWN)) for b in range(256)]
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 READ = T.StructType(
     [
@@ -265,8 +271,20 @@ class TokenRecords(DataSource):
         return Writer(self.options["path"], int(self.options.get("width", 4)), overwrite)
 
 
+def parted(word: str) -> tuple[str, ...]:
+    """A word cut where letters meet marks at its ends, the letters in small ones: its ids are those of the parts.
+
+    Only where that is sure: Latin letters, which need no normalising, and marks but the apostrophe of contractions.
+    """
+    core = word.strip(MARKS)
+    if "<|" in word or not core or not (core[0].isalpha() and core[-1].isalpha() and max(core) < LATIN and "\u0130" not in core):
+        return (word,)
+    at = word.index(core)
+    return tuple(p for p in (word[:at], core.lower(), word[at + len(core) :]) if p)
+
+
 class Words(dict):
-    """Ids of words, as bytes; new ones are encoded as they come."""
+    """Ids of words, as bytes, of two generations: the older one goes when the younger is full, but for what was used again."""
 
     _open: dict[tuple[str, int], Words] = {}
 
@@ -275,7 +293,8 @@ class Words(dict):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         super().__init__()
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), f"<u{width}"
+        self.tokenizer, self.dtype, self.code = Tokenizer.from_file(path), f"<u{width}", "H" if width == 2 else "I"
+        self.old = {}
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -290,33 +309,60 @@ class Words(dict):
             cls._open[path, width] = cls(path, width)
         return cls._open[path, width]
 
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, self.dtype).tobytes() if len(x.ids) > 8 else array(self.code, x.ids).tobytes() for x in found]
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > LONG_WORD:
-            return self.encoded(word)
-        if word[-1:] in ".,;:!?" and word[-2:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
-        elif word.isascii() and "<|" not in word and word != word.lower():
-            ids = self[word.lower()]
-        else:
-            ids = self.encoded(word) if word else b""
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = ids
+        self[word] = ids = self.old[word]
         return ids
 
+    def letters(self, word: str) -> bytes:
+        """Ids of small Latin letters: nothing to normalise or cut, so the library's model takes them as they are, as symbols of bytes."""
+        seen = word if word.isascii() else "".join([SYMBOLS[b] for b in word.encode()])
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
+
+    def learn(self, new: set[str]) -> None:
+        """Remember words: their middle in small letters is encoded if it is new, and so are the marks around it."""
+        cut, other = [], set()
+        for w in new:
+            if w.isalpha() and w.islower() and max(w) < LATIN:
+                self[w] = self.letters(w)
+            else:
+                cut.append((w, ps := parted(w)))
+                for p in ps:
+                    if p not in self and p not in self.old:
+                        if p.isalpha() and p.islower() and max(p) < LATIN:
+                            self[p] = self.letters(p)
+                        else:
+                            other.add(p)
+        if other:
+            ordered = list(other)
+            self.update(zip(ordered, self.encoded(ordered)))
+        for w, ps in cut:
+            if len(ps) > 1 or w not in self:
+                self[w] = b"".join([self[p] for p in ps])
+
     def text(self, text: str) -> bytes:
         if not self.by_words:
-            return self.encoded(text)
-        parts, at = [], 0
+            return self.encoded([text])[0]
+        out, at = [], 0
         while at < len(text):
             end = len(text) if at + PIECE >= len(text) else text.rfind(" ", at + 1, at + PIECE)
             end = len(text) if end < 0 else end
-            parts.extend(map(self.__getitem__, text[at:end].translate(BLANKS).split(" ")))
+            words = text[at:end].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            if len(self) > REMEMBERED:
+                self.old = {w: ids for w, ids in self.items() if len(w) <= LONG_WORD}
+                self.clear()
+            ids = list(map(self.get, words))
+            gaps = [i for i, known in enumerate(ids) if known is None]
+            if gaps:
+                self.learn({words[i] for i in gaps if words[i] not in self.old})
+                for i in gaps:
+                    ids[i] = self[words[i]]
+            out.append(b"".join(ids))
             at = end
-        return b"".join(parts)
+        return b"".join(out)
 
 
 def encoded(
