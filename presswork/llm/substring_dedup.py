@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,7 +142,7 @@ def met(bands: DataFrame) -> DataFrame:
 
 PLACES = (
     "kind int, h1 long, h2 long, row long, doc_id long, at int, n int, begin int, end int, open int, "
-    "left binary, right binary, left_at binary, right_at binary, sig binary, size long, grams binary"
+    "left binary, right binary, left_at binary, right_at binary, prev long, next long, sig binary, size long, grams binary"
 )
 
 
@@ -150,7 +151,7 @@ def places(docs: DataFrame, id_col: str, text_col: str, repeated: Marks, tied: M
 
     `at` and `n` are words, `begin` and `end` code points. left and right hold hashes of the words of the
     neighbours; `open` says on which sides (1 left, 2 right) there is one that does not repeat, and
-    left_at and right_at hold where those words begin and end. The filters let a few others through.
+    left_at and right_at hold where those words begin and end. prev and next are the hashes of the neighbours. The filters let a few others through.
     """
     source = docs.select(
         F.monotonically_increasing_id().alias("row"), col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")
@@ -199,6 +200,7 @@ def places(docs: DataFrame, id_col: str, text_col: str, repeated: Marks, tied: M
             dict(
                 kind=ints(np.zeros(len(i))), h1=pa.array(h1[i].view(np.int64)), h2=pa.array(h2[i].view(np.int64)),
                 **common(part, cuts, chars, *shown), open=ints(open_left + 2 * open_right),
+                prev=pa.array(h1[prev].view(np.int64), mask=~before), next=pa.array(h1[next_].view(np.int64), mask=~behind),
                 left=binaries(short[ranges(lo, n_left)], n_left), right=binaries(short[ranges(end[i], n_right)], n_right),
                 left_at=binaries(left_at.astype(np.int32), np.where(open_left, n_left, 0)),
                 right_at=binaries(right_at.astype(np.int32), np.where(open_right, n_right, 0)),
@@ -243,7 +245,10 @@ def places(docs: DataFrame, id_col: str, text_col: str, repeated: Marks, tied: M
     return source.mapInArrow(run, PLACES)
 
 
-RUNS = "row long, doc_id long, at int, n int, begin int, end int, src_row long, src_doc long, src_at int, removed boolean"
+RUNS = (
+    "row long, doc_id long, at int, n int, begin int, end int, src_row long, src_doc long, src_at int, removed boolean, "
+    "left_at array<int>, right_at array<int>, left_n int, left_begin int, right_n int, right_end int"
+)
 
 
 def alike(mine: bytes, theirs: bytes, from_end: bool) -> int:
@@ -256,10 +261,18 @@ def alike(mine: bytes, theirs: bytes, from_end: bool) -> int:
     return n if same.all() else int(np.argmin(same))
 
 
+def same_hash(rows: pa.Table, mine: str, theirs: str) -> np.ndarray:
+    """Where two columns hold the same number; nulls are never the same."""
+    return pc.fill_null(pc.equal(rows.column(mine), rows.column(theirs)), False).to_numpy()
+
+
 def runs(placed: DataFrame) -> DataFrame:
     """Rows of `RUNS` from places of fine paragraphs with their sources: paragraphs in a row with sources in a row are one.
 
-    A run that can be removed is extended at its open ends; two runs that meet in one paragraph share its words.
+    A run that can be removed is extended at its ends: word by word into a paragraph that doesn't repeat, and over a whole
+    neighbour that repeats too, but came first from elsewhere, where the run's own source goes on with it. Then runs
+    of one source that meet are one, so a passage is judged as a whole; runs inside others are left out. Of what stays, left_at and right_at
+    say where the words around it begin and end; the last four columns tell that of whole neighbours.
     """
     ints = ("row", "at", "n", "begin", "end", "open", "src_row", "src_at")
 
@@ -277,22 +290,52 @@ def runs(placed: DataFrame) -> DataFrame:
         removed = ~first[head]
         blobs = {k: t.column(k) for k in ("left", "src_left", "left_at", "right", "src_right", "right_at")}
         pick = lambda k, i: blobs[k][int(i)].as_py()
+        on_left, on_right = same_hash(t, "prev", "src_prev"), same_hash(t, "next", "src_next")
         for r in np.flatnonzero(removed).tolist():
             h, e = head[r], tail[r]
             if c["open"][h] & 1 and (more := alike(pick("left", h), pick("src_left", h), True)):
                 if r and row[r - 1] == row[r]:  # the run before may have taken some of them
                     more = min(more, at[r] - stop[r - 1])
-                if more:
+                if more > 0:
                     where = np.frombuffer(pick("left_at", h), np.int32)
                     at[r], src_at[r], begin[r] = at[r] - more, src_at[r] - more, where[len(where) - more]
+            elif on_left[h] and h and c["row"][h - 1] == c["row"][h] and c["at"][h - 1] + c["n"][h - 1] == c["at"][h]:
+                at[r], src_at[r], begin[r] = at[r] - c["n"][h - 1], src_at[r] - c["n"][h - 1], c["begin"][h - 1]
             if c["open"][e] & 2 and (more := alike(pick("right", e), pick("src_right", e), False)):
                 stop[r], end[r] = stop[r] + more, np.frombuffer(pick("right_at", e), np.int32)[more - 1]
-        took = pa.array(head)
+            elif on_right[e] and e + 1 < t.num_rows and c["row"][e + 1] == c["row"][e] and c["at"][e + 1] == c["at"][e] + c["n"][e]:
+                stop[r], end[r] = stop[r] + c["n"][e + 1], c["end"][e + 1]
+        src_row, keep = c["src_row"][head], np.ones(len(head), bool)
+        order = np.lexsort((at, src_at - at, src_row, row, ~removed))[: int(removed.sum())]
+        for r, q in zip(order[1:].tolist(), order[:-1].tolist()):  # runs of one source that meet become the later one
+            if (row[r], src_row[r], src_at[r] - at[r]) == (row[q], src_row[q], src_at[q] - at[q]) and at[r] <= stop[q]:
+                if stop[q] > stop[r]:
+                    stop[r], end[r] = stop[q], end[q]
+                at[r], begin[r], src_at[r], keep[q] = at[q], begin[q], src_at[q], False
+        within, far = -1, 0
+        for r in np.lexsort((-stop, at, row))[:].tolist():
+            if removed[r] and keep[r]:
+                if row[r] == within and stop[r] <= far:
+                    keep[r] = False
+                elif stop[r] - at[r] >= SHORTEST:
+                    within, far = row[r], max(stop[r], far if row[r] == within else 0)
+        took = np.flatnonzero(keep)
+        beside = np.full((len(head), 4), -1)
+        for r in np.flatnonzero(~removed).tolist():  # whole neighbours of what stays
+            h, e = head[r], tail[r]
+            if h and c["row"][h - 1] == c["row"][h] and c["at"][h - 1] + c["n"][h - 1] == c["at"][h]:
+                beside[r, :2] = c["n"][h - 1], c["begin"][h - 1]
+            if e + 1 < t.num_rows and c["row"][e + 1] == c["row"][e] and c["at"][e + 1] == c["at"][e] + c["n"][e]:
+                beside[r, 2:] = c["n"][e + 1], c["end"][e + 1]
+        around = [[None if removed[r] or (v := pick(k, i[r])) is None else np.frombuffer(v, np.int32) for r in took.tolist()] for k, i in (("left_at", head), ("right_at", tail))]
+        place = pa.array(head[took])
         return _batch(
-            row=pa.array(row), doc_id=t.column("doc_id").take(took).combine_chunks(), at=pa.array(at.astype(np.int32)),
-            n=pa.array((stop - at).astype(np.int32)), begin=pa.array(begin.astype(np.int32)), end=pa.array(end.astype(np.int32)),
-            src_row=pa.array(c["src_row"][head]), src_doc=t.column("src_doc").take(took).combine_chunks(),
-            src_at=pa.array(src_at.astype(np.int32)), removed=pa.array(removed),
+            row=pa.array(row[took]), doc_id=t.column("doc_id").take(place).combine_chunks(), at=pa.array(at[took].astype(np.int32)),
+            n=pa.array((stop - at)[took].astype(np.int32)), begin=pa.array(begin[took].astype(np.int32)), end=pa.array(end[took].astype(np.int32)),
+            src_row=pa.array(src_row[took]), src_doc=t.column("src_doc").take(place).combine_chunks(),
+            src_at=pa.array(src_at[took].astype(np.int32)), removed=pa.array(removed[took]),
+            left_at=pa.array(around[0], pa.list_(pa.int32())), right_at=pa.array(around[1], pa.list_(pa.int32())),
+            **{k: pa.array(v[took].astype(np.int32), mask=v[took] < 0) for k, v in zip(("left_n", "left_begin", "right_n", "right_end"), beside.T)},
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,21 +363,39 @@ FOUND = ("unit", "doc_id", "first_word", "n_words", "begin", "end", "cluster_doc
 def equal(found: DataFrame, save: Scratch) -> DataFrame:
     """Rows of `FOUND` of the unit `equal`, from saved places."""
     fine = found.where("kind = 0")
-    src = F.struct("doc_id", "row", "at", "left", "right")
+    src = F.struct("doc_id", "row", "at", "left", "right", "prev", "next")
     firsts = fine.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(src).alias("src")).where("times > 1")
     side = lambda bit, c: F.when(F.col("open").bitwiseAND(F.lit(bit)) > 0, F.col(c)).alias(c.replace(".", "_"))
     placed = fine.join(firsts, ["h1", "h2"]).select(
         "row", "doc_id", "at", "n", "begin", "end", "open", F.col("src.row").alias("src_row"), F.col("src.doc_id").alias("src_doc"),
         F.col("src.at").alias("src_at"), side(1, "left"), side(1, "src.left"), "left_at", side(2, "right"), side(2, "src.right"), "right_at",
+        "prev", "next", F.col("src.prev").alias("src_prev"), F.col("src.next").alias("src_next"),
     )
     every = save(runs(placed))
     gone = every.where(F.col("removed") & (F.col("n") >= SHORTEST))
-    # what stays is told where a removed run rests on it
+    # what stays is told where a removed run rests on it, as far as removed runs do, into paragraphs that don't repeat
     wanted = gone.select("src_row", F.col("src_at").alias("src_from"), (F.col("src_at") + F.col("n")).alias("src_to")).distinct()
     wanted = wanted.withColumnRenamed("src_row", "wanted_row")
     meets = (F.col("row") == F.col("wanted_row")) & (F.col("src_from") < F.col("at") + F.col("n")) & (F.col("src_to") > F.col("at"))
-    stays = every.where(~F.col("removed")).join(wanted, meets, "left_semi")
-    both = gone.unionByName(stays)
+    first = every.where(~F.col("removed"))
+    reach = first.join(wanted, meets).groupBy("row", "at").agg(F.min("src_from").alias("src_from"), F.max("src_to").alias("src_to"))
+    ahead, after = F.col("at") - F.col("src_from"), F.col("src_to") - F.col("at") - F.col("n")
+    stays = first.join(reach, ["row", "at"]).withColumns(
+        {
+            "before": F.when(F.col("left_n") <= ahead, F.col("left_n")).otherwise(F.greatest(F.least(ahead, F.coalesce(F.size("left_at"), F.lit(0))), F.lit(0))),
+            "behind": F.when(F.col("right_n") <= after, F.col("right_n")).otherwise(F.greatest(F.least(after, F.coalesce(F.size("right_at"), F.lit(0))), F.lit(0))),
+        }
+    )
+    stays = stays.withColumns(
+        {
+            "begin": F.when(F.col("before") == F.col("left_n"), F.col("left_begin")).when(F.col("before") > 0, F.element_at("left_at", -F.col("before"))).otherwise(F.col("begin")),
+            "end": F.when(F.col("behind") == F.col("right_n"), F.col("right_end")).when(F.col("behind") > 0, F.element_at("right_at", F.col("behind"))).otherwise(F.col("end")),
+            "at": F.col("at") - F.col("before"),
+            "src_at": F.col("at") - F.col("before"),
+            "n": F.col("n") + F.col("before") + F.col("behind"),
+        }
+    )
+    both = gone.unionByName(stays.select(*gone.columns))
     return both.select(
         F.lit("equal").alias("unit"), "doc_id", F.col("at").alias("first_word"), F.col("n").alias("n_words"), "begin", "end",
         F.col("src_doc").alias("cluster_doc_id"), F.col("src_at").alias("cluster_word"), "removed",

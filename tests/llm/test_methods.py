@@ -461,7 +461,39 @@ def test_repeated_passages_wherever_lines_break(table):
         assert any(stands(w, passage) for w in left)
 
 
+@pytest.mark.parametrize("length", [50, 55, 60, 80])
+def test_both_copies_of_a_passage_are_found(table, length):
+    """Kept and removed copies, also where parts of the passage stand in other texts before."""
+    rnd = random.Random(length)
+    word = lambda: "".join(rnd.choice("abcdefghijk") for _ in range(rnd.randint(3, 7)))
+    some = lambda n: [word() for _ in range(n)]
+    rows, where = [], []
+    for k in range(120):
+        passage = some(length)
+        if k % 3 == 0:  # a part of it, in an earlier text and with other words around it
+            cut = rnd.randint(0, length - 25)
+            rows.append((k, " ".join(some(40) + passage[cut : cut + 25] + some(40))))
+        for c in (1000, 2000):
+            ahead = some(rnd.randint(0, 60))
+            rows.append((c + k, " ".join(ahead + passage + some(rnd.randint(0, 60)))))
+            where.append((c + k, len(ahead)))
+    got = [r for r in substring_dedup.repeats(table(rows)).collect() if r.unit == "equal"]
+    covered = {(r.doc_id, r.first_word + j, r.removed) for r in got for j in range(r.n_words)}
+    for first in (1000, 2000):
+        mine = [(i, at) for i, at in where if i // 1000 == first // 1000]
+        share = [sum((i, at + j, first == 2000) in covered for j in range(length)) / length for i, at in mine]
+        assert sum(share) / len(share) >= 0.9, (first, sum(share) / len(share))
+    inside = {(i, at + j) for i, at in where for j in range(length)}
+    assert not {(i, j) for i, j, gone in covered if gone} - inside
+
+
 def test_similar_paragraphs_by_hand(table, prose):
+    rnd = random.Random(31)
+    words = sorted({w for _, t in prose for w in t.split()})
+    for k in range(24):  # longer texts, each with copies in which a word here and there is another one
+        base = [rnd.choice(words) for _ in range(rnd.randint(150, 400))]
+        for j in range(3):
+            prose = [*prose, (2000 + 3 * k + j, " ".join(x if j == 0 or rnd.random() > 0.015 else rnd.choice(words) for x in base))]
     where, sets = {}, {}
     for i, t in prose:
         cuts = Cuts([t])
