@@ -31,8 +31,8 @@ join behind it. Both change the time, never the result.
 
 A null or empty text, or one without words, has no shingles and is linked with
 nothing; its component is its own id. Fewer than five words make one shingle of
-all words. Rows with equal ids are one document for the component ids, but each
-row is returned. A null id has a link like any other and never names a component;
+all words. Every row is judged by its own text, also where rows share an id; a component
+is named by the smallest id of its rows. A null id has a link like any other and never names a component;
 its own component is null if it is alone. Extra columns are not read, texts are read whole, nothing is capped.
 """
 
@@ -47,8 +47,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SMALL_BATCHES, TIDY, UPPER, Marks, Scratch, col, documents, save, settings, slices
+from .common import SMALL_BATCHES, TIDY, UPPER, Marks, Scratch, col, documents, fresh, map_text, save, settings, slices
 from .components import components
 
 SHINGLE = 5
@@ -545,12 +546,28 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, save: Scratch) -> DataF
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the rows whose id names their component; rows without shingles or without an id stay.
 
-    Of rows that share id and text all stay: they cannot be told apart.
+    Rows are judged one by one: of several texts under one id some may go and others stay. Of rows that share id
+    and text all stay: they cannot be told apart.
     """
     found = linked(docs, id_col, text_col)
-    gone = found.where("n > 0 and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    gone = save(gone)  # a table of ids only, whose size Spark sees before it decides whether the texts must be shuffled
-    return docs.join(gone, id_col, "left_anti")
+    goes = (F.col("n") > 0) & F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))
+    # tables of ids only, whose size Spark sees before it decides whether the texts must be shuffled
+    gone = save(found.where(goes).select("doc_id").distinct())
+    mixed = save(found.where(~goes).join(gone, "doc_id", "left_semi").select("doc_id").distinct())
+    named = lambda ids: ids.select(F.col("doc_id").alias(id_col))
+    rest = docs.join(named(gone), id_col, "left_anti").select(*[col(c) for c in docs.columns])
+    if not mixed.head(1):
+        return rest
+    sig = fresh("sig", docs.columns)
+
+    def signed(texts: list[str | None]) -> dict[str, list]:
+        return {"sig": [signature(s) for s in Hasher.one().sets(texts)]}
+
+    some = docs.join(named(mixed), id_col, "left_semi").select(*[col(c) for c in docs.columns])
+    some = map_text(some, text_col, signed, T.StructType([T.StructField("sig", T.BinaryType())]), docs.columns, sig)
+    out = found.where(goes).select(F.col("doc_id").alias("gone_id"), F.col("sig").alias("gone_sig")).distinct()
+    stays = some.join(out, (col(id_col) == F.col("gone_id")) & (col(sig)["sig"] == F.col("gone_sig")), "left_anti")
+    return rest.unionByName(stays.select(*[col(c) for c in docs.columns]))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -461,6 +461,19 @@ def test_repeated_passages_wherever_lines_break(table):
         assert any(stands(w, passage) for w in left)
 
 
+def test_no_text_is_lost_where_ids_repeat(table):
+    a, b = "alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight"
+    rows = [(1, a), (5, a), (5, b), (7, b)]
+    assert sorted((r.doc_id, r.text) for r in ngram_join.one_of_each(table(rows)).collect()) == [(1, a), (5, b)]
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice("abcdefgh") * 3 + str(k) for _ in range(12)) for k in range(12)]
+    rows = [(rnd.randint(1, 9), rnd.choice(texts)) for _ in range(60)]
+    least = {t: min(i for i, x in rows if x == t) for _, t in rows}
+    df = ngram_join.one_of_each(table(rows))
+    assert df.columns == table(rows).columns
+    assert sorted((r.doc_id, r.text) for r in df.collect()) == sorted((i, t) for i, t in rows if i == least[t])
+
+
 @pytest.mark.parametrize("length", [50, 55, 60, 80])
 def test_both_copies_of_a_passage_are_found(table, length):
     """Kept and removed copies, also where parts of the passage stand in other texts before."""
