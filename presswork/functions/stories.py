@@ -19,11 +19,27 @@ def haystack(*parts: Column) -> Column:
     return F.lower(F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != "")), " "))
 
 
-def has_token(text: Column, words: Sequence[str]) -> Column:
-    """True if a word stands in the text with no a-z or 0-9 next to it; the pattern is only tried where a word is a substring."""
-    some = F.lit(False)
-    for w in words:
-        some = some | text.contains(w)
+def key_of(name: str) -> str:
+    """The longest run of a-z and 0-9 in a name, by which it is looked up; the first of several."""
+    return max(re.findall("[a-z0-9]+", name), key=len)
+
+
+def words_in(text: Column, names: Sequence[str]) -> Column:
+    """The keys of the names that are words of the lower-case text: one look-up for each word of it, whatever the number of names.
+
+    A name that stands as a token has its key as a whole word of the text; so only names whose key is here need be looked for.
+    """
+    return F.array_intersect(F.split(text, "[^a-z0-9]+"), F.lit(sorted({key_of(n) for n in names})))
+
+
+def every_name() -> list[str]:
+    """All names and words that are looked for as tokens."""
+    return sorted({*(n for names in lex.LEXICONS.values() for n in names), *(w for _, words in lex.TWELVE_CLASSES for w in words)})
+
+
+def has_token(text: Column, words: Sequence[str], seen: Column) -> Column:
+    """True if a word stands in the text with no a-z or 0-9 next to it; the pattern is only tried where a word's key is among `seen`."""
+    some = F.arrays_overlap(seen, F.lit(sorted({key_of(w) for w in words})))
     return some & text.rlike(f"{EDGE}(?:{'|'.join(map(re.escape, words))}){STOP}")
 
 
@@ -36,13 +52,17 @@ def categorize(text: Column, rules=lex.FIVE_CLASSES) -> Column:
     return out.otherwise("news")
 
 
-def classify(text: Column, rules=lex.TWELVE_CLASSES) -> Column:
-    """First of the twelve classes one of whose tokens is in the lower-case text."""
-    out = None
-    for name, words in rules:
-        hit = has_token(text, words)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("other")
+def classify(text: Column, rules=lex.TWELVE_CLASSES, seen: Column | None = None) -> Column:
+    """First of the twelve classes one of whose tokens is in the lower-case text; `seen` are its words that are keys, where known."""
+
+    def first(known: Column) -> Column:
+        out = None
+        for name, words in rules:
+            hit = has_token(text, words, known)
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        return out.otherwise("other")
+
+    return first(seen) if seen is not None else let(words_in(text, [w for _, words in rules for w in words]), first)
 
 
 def bucket(subcategory: Column, buckets: dict[str, str] = lex.BUCKETS) -> Column:
@@ -62,28 +82,29 @@ def label_of(group: str, name: str) -> str:
     return lex.MODEL_LABELS.get(name) or word_case(name)
 
 
-def entities(text: Column, group: str, names: Sequence[str] | None = None) -> Column:
+def entities(text: Column, group: str, names: Sequence[str] | None = None, seen: Column | None = None) -> Column:
     """Labels of the names that stand in the lower-case text, longest first.
 
     A name that stands as a token inside a longer one that was found is left out.
-    The list is small, so which names contain which is settled here, and every name has
-    its own pattern in the plan, compiled once and tried only where the name is a substring.
+    The list is small, so which names contain which is settled here. The text's words are looked up once (`seen`, where
+    known); a name's own pattern is tried only where its key is among them.
     """
     names = list(names if names is not None else lex.LEXICONS[group])
     names.sort(key=len, reverse=True)
     inside = lambda s, n: re.search(EDGE + re.escape(s) + STOP, n) is not None
 
-    def found(t: Column) -> Column:
-        hit = lambda n: t.contains(n) & t.rlike(f"{EDGE}{re.escape(n)}{STOP}")
+    def found(known: Column) -> Column:
+        hit = lambda n: F.array_contains(known, key_of(n)) & text.rlike(f"{EDGE}{re.escape(n)}{STOP}")
         labels = []
         for n in names:
             alone = hit(n)
             for wider in (o for o in names if len(o) > len(n) and inside(n, o)):
                 alone = alone & ~hit(wider)
             labels.append(F.when(alone, F.lit(label_of(group, n))))
-        return F.array_compact(F.array(*labels))
+        some = F.array_compact(F.array(*labels))
+        return F.when(F.size(known) > 0, some).otherwise(F.array().cast("array<string>"))
 
-    return let(text, found)
+    return found(seen) if seen is not None else let(words_in(text, names), found)
 
 
 def capitalised(words: Column) -> Column:
@@ -314,10 +335,11 @@ ENTITY_GROUPS = ("companies", "people", "models", "technologies", "countries")
 def classify_stories(stories: DataFrame) -> DataFrame:
     """Stories with subcategory, category (its bucket), the five entity lists and tags, from title, description and content."""
     parts = [F.col(c) for c in ("title", "description", "content") if c in stories.columns]
-    low = stories.withColumn("_low", haystack(*parts))
-    got = low.withColumns({g: entities(F.col("_low"), g) for g in ENTITY_GROUPS}).withColumn("subcategory", classify(F.col("_low")))
+    low = stories.withColumn("_low", haystack(*parts)).withColumn("_seen", words_in(F.col("_low"), every_name()))
+    known = F.col("_low"), F.col("_seen")
+    got = low.withColumns({g: entities(known[0], g, seen=known[1]) for g in ENTITY_GROUPS}).withColumn("subcategory", classify(known[0], seen=known[1]))
     listed = [F.col(c) for c in ("models", "companies", "technologies", "people", "countries")]
-    return got.withColumns({"category": bucket(F.col("subcategory")), "tags": tags(F.col("_low"), *listed)}).drop("_low")
+    return got.withColumns({"category": bucket(F.col("subcategory")), "tags": tags(F.col("_low"), *listed)}).drop("_low", "_seen")
 
 
 def score_stories(stories: DataFrame, n_sources: Column) -> DataFrame:

@@ -227,7 +227,8 @@ ENT = {g: entity_sql(g) for g in lex.LEXICONS}
 
 @query(f"{PL} SELECT id, {', '.join(f'{sql} AS {g}' for g, sql in ENT.items())} FROM pl")
 def lexicon_entities(spark, d):
-    return planted_docs(spark, d).select("id", *[S.entities(F.col("low"), g).alias(g) for g in lex.LEXICONS])
+    docs = planted_docs(spark, d).withColumn("seen", S.words_in(F.col("low"), S.every_name()))
+    return docs.select("id", *[S.entities(F.col("low"), g, seen=F.col("seen")).alias(g) for g in lex.LEXICONS])
 
 
 def once_sql(items: str) -> str:
@@ -246,7 +247,8 @@ TAGS_SQL = f"""SELECT id, list_transform(list_concat(ents, {NEW_TOPICS})[1:6],
 
 @query(f"{PL} {TAGS_SQL}")
 def tags(spark, d):
-    got = planted_docs(spark, d).select("id", "low", *[S.entities(F.col("low"), g).alias(g) for g in lex.LEXICONS])
+    docs = planted_docs(spark, d).withColumn("seen", S.words_in(F.col("low"), S.every_name()))
+    got = docs.select("id", "low", *[S.entities(F.col("low"), g, seen=F.col("seen")).alias(g) for g in lex.LEXICONS])
     c = [F.col(g) for g in ("models", "companies", "technologies", "people", "countries")]
     return got.select("id", S.tags(F.col("low"), *c).alias("tags"))
 
@@ -269,12 +271,13 @@ IMPACT = "CASE sub " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lex.IMPACT.it
 )
 def score_components(spark, d):
     events = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("published"))
-    x = planted_docs(spark, d).join(events, "id", "left")
-    low, n = F.col("low"), 1 + F.col("id") % 3
-    ents = sum((F.size(S.entities(low, g)) for g in ("companies", "models", "technologies")), F.lit(0))
+    docs = planted_docs(spark, d).withColumn("seen", S.words_in(F.col("low"), S.every_name()))
+    x = docs.join(events, "id", "left")
+    low, seen, n = F.col("low"), F.col("seen"), 1 + F.col("id") % 3
+    ents = sum((F.size(S.entities(low, g, seen=seen)) for g in ("companies", "models", "technologies")), F.lit(0))
     got = x.select(
         "id",
-        S.impact(S.classify(low), n).alias("impact"),
+        S.impact(S.classify(low, seen=seen), n).alias("impact"),
         S.novelty(F.col("published"), F.lit("2024-01-31 00:00:00").cast("timestamp")).alias("novelty"),
         S.credibility(1 + F.col("id") % 9, F.lit(True)).alias("credibility"),
         S.relevance(low, ents).alias("relevance"),
