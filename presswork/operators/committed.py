@@ -2,9 +2,9 @@
 
 Below its folder lie
 
-    data/day=…/v=…/     the rows of a day, as some version wrote them
-    index/bucket=…/v=…/ (id, day, seq): where an id went; a null day: it is gone
-    commits/<n>.json    version n: for each day the `v` that counts, for each bucket of the index its parts
+    data/day=…/_version=…/     the rows of a day, as some version wrote them
+    index/bucket=…/_version=…/ (id, day, seq): where an id went; a null day: it is gone
+    commits/<n>.json    version n: for each day the `_version` that counts, for each bucket of the index its parts
 
 A change writes new folders beside the old ones, and counts when its manifest is renamed into `commits`; that
 fails where another writer was first, and the change is then made again on what the other one left. So a driver or executor may be lost at any
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from presswork.operators.archive import merge, prune, storable
 
-INDEX = "id string, day date, seq long, bucket string, v string"
+INDEX = "id string, day date, seq long, bucket string, _version string"
 
 
 class CommitConflict(RuntimeError):
@@ -106,11 +106,11 @@ class CommittedArchive:
         if m["schema"] is None:
             return None
         schema = T.StructType.fromJson(m["schema"])
-        paths = [f"{self.path}/data/day={d}/v={x['v']}" for d, x in sorted(m["days"].items()) if days is None or d in days]
+        paths = [f"{self.path}/data/day={d}/_version={x['v']}" for d, x in sorted(m["days"].items()) if days is None or d in days]
         if not paths:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema.add("v", "string")).option("basePath", f"{self.path}/data").parquet(*paths)
-        return rows.drop("v")
+        rows = self.spark.read.schema(T.StructType(schema.fields).add("_version", "string")).option("basePath", f"{self.path}/data").parquet(*paths)
+        return rows.drop("_version")
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """All rows of a version, by default the last one."""
@@ -149,7 +149,7 @@ class CommittedArchive:
         return F.element_at(directory, (F.xxhash64(id_).bitwiseAND(F.lit((1 << m["depth"]) - 1)) + 1).cast("int"))
 
     def _index(self, m: dict, names: list[str]) -> DataFrame:
-        paths = [f"{self.path}/index/bucket={n}/v={v}" for n in names for v in m["buckets"][n]["parts"]]
+        paths = [f"{self.path}/index/bucket={n}/_version={v}" for n in names for v in m["buckets"][n]["parts"]]
         if not paths:
             return self.spark.createDataFrame([], INDEX)
         return self.spark.read.schema(INDEX).option("basePath", f"{self.path}/index").parquet(*paths)
@@ -161,8 +161,8 @@ class CommittedArchive:
 
     def _write_index(self, rows: DataFrame, v: str) -> dict[str, int]:
         """Parts of the index from (id, day, seq, bucket); their rows by bucket."""
-        dealt = rows.withColumn("v", F.lit(v)).repartition("bucket").sortWithinPartitions("bucket", "id")
-        dealt.write.mode("append").option("parquet.bloom.filter.enabled#id", "true").partitionBy("bucket", "v").parquet(f"{self.path}/index")
+        dealt = rows.withColumn("_version", F.lit(v)).repartition("bucket").sortWithinPartitions("bucket", "id")
+        dealt.write.mode("append").option("parquet.bloom.filter.enabled#id", "true").partitionBy("bucket", "_version").parquet(f"{self.path}/index")
         return {r.bucket: r.n for r in rows.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
 
     def _append(self, m: dict, changes: DataFrame, v: str) -> None:
@@ -199,8 +199,8 @@ class CommittedArchive:
         kept = {str(r.day): r.n for r in rows.groupBy("day").agg(F.count("*").alias("n")).collect()}
         m["schema"] = m["schema"] or json.loads(rows.select(*[F.col(c) for c in rows.columns]).schema.json())
         if kept:
-            dealt = rows.hint("rebalance", "day").sortWithinPartitions("day", "id").withColumn("v", F.lit(v))
-            dealt.write.mode("append").partitionBy("day", "v").parquet(f"{self.path}/data")
+            dealt = rows.hint("rebalance", "day").sortWithinPartitions("day", "id").withColumn("_version", F.lit(v))
+            dealt.write.mode("append").partitionBy("day", "_version").parquet(f"{self.path}/data")
         for day in days:
             if day in kept:
                 m["days"][day] = {"v": v, "rows": kept[day]}
@@ -300,8 +300,8 @@ class CommittedArchive:
         """Delete what none of the last `keep` versions needs, when no writer is at work; returns how many folders went."""
         versions = self.versions()
         kept = [self.manifest(n) for n in versions[-keep:]]
-        used = {f"data/day={d}/v={x['v']}" for m in kept for d, x in m["days"].items()}
-        used |= {f"index/bucket={n}/v={v}" for m in kept for n, b in m["buckets"].items() for v in b["parts"]}
+        used = {f"data/day={d}/_version={x['v']}" for m in kept for d, x in m["days"].items()}
+        used |= {f"index/bucket={n}/_version={v}" for m in kept for n, b in m["buckets"].items() for v in b["parts"]}
         there = [f"{top}/{a}/{b}" for top in ("data", "index") for a in self._names(f"{self.path}/{top}") if "=" in a for b in self._names(f"{self.path}/{top}/{a}")]
         there += [f"work/{v}" for v in self._names(f"{self.path}/work")] + [f"commits/{n}.json" for n in versions[:-keep]]
         gone = [p for p in there if p not in used]
