@@ -73,40 +73,47 @@ def similar_sets(heads: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.withColumn("jaccard", score).where(F.col("jaccard") >= threshold)
 
 
+def spans(heads: DataFrame, hours: int = MAX_HOURS) -> DataFrame:
+    """Each set's dated stories in pieces of `hours`: (s, piece), the smallest id, and id and time of the first and the last."""
+    row = F.struct("at", "id")
+    dated = heads.where("at is not null").withColumn("piece", F.floor(F.unix_micros("at") / (hours * 3_600_000_000)))
+    per = dated.groupBy("s", "piece").agg(F.min("id").alias("id"), F.min(row).alias("first"), F.max(row).alias("last"))
+    return per.select("s", "piece", "id", "first", "last")
+
+
 def links(df: DataFrame, threshold: float = THRESHOLD, hours: int = MAX_HOURS) -> DataFrame:
     """Edges (u, v) of stories that report one event: similar titles, at most `hours` apart where both are dated.
 
-    Within a set of equal or similar titles every story is linked to its neighbours
-    in time only. As the limit is on the gap, that gives the same components as all pairs.
-    An undated story fits any time, so all are linked to the first undated one.
+    Time is cut into pieces of that length. All stories of a set of equal titles in one piece are close enough, so
+    each is linked to the smallest id among them; sets and similar sets then meet by their pieces, one row each: all of one piece,
+    and of pieces that follow each other the last of the one and the first of the other. That gives the same components as all
+    pairs, with sums where windows would hold whole sets: a title repeated a million times is as many tasks as Spark likes.
+    An undated story fits any time, so all are linked to the set's first undated one, and so are those of similar sets.
     """
     heads = headlines(df).withColumn("s", F.array_join("tokens", " "))
-    pairs = similar_sets(heads, threshold)
-    own = heads.select("id", "s", "at", F.col("s").alias("pair"))
-    left = heads.join(pairs.select(F.col("a").alias("s"), F.concat_ws("\x01", "a", "b").alias("pair")), "s")
-    right = heads.join(pairs.select(F.col("b").alias("s"), F.concat_ws("\x01", "a", "b").alias("pair")), "s")
-    cols = ["id", "s", "at", "pair"]
-    every = own.unionByName(left.select(*cols)).unionByName(right.select(*cols))
-    # neighbours of the other side in time: the last one seen of each side
-    w = Window.partitionBy("pair").orderBy(F.col("at").asc_nulls_first(), "id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    first_side = F.min("s").over(Window.partitionBy("pair"))
-    one_side = F.min("s").over(Window.partitionBy("pair")) == F.max("s").over(Window.partitionBy("pair"))
-    seen = every.withColumns({"lo": F.col("s") == first_side, "single": one_side})
-    row = F.struct("id", "at")
-    other = F.when(F.col("lo"), F.last(F.when(~F.col("lo"), row), True).over(before)).otherwise(
-        F.last(F.when(F.col("lo"), row), True).over(before)
-    )
-    prev = F.when(F.col("single"), F.last(row).over(before)).otherwise(other)
-    gap = F.abs(F.col("at").cast("double") - F.col("p.at").cast("double")) <= hours * 3600
-    near = seen.withColumn("p", prev).where(gap).select(F.col("id").alias("u"), F.col("p.id").alias("v"))
-    # an undated story fits any time: it is linked to all of the other side (or of the set)
-    whole = Window.partitionBy("pair")
-    loose = lambda side: F.min(F.when(F.col("at").isNull() & side, F.col("id"))).over(whole)
-    of_lo, of_hi = loose(F.col("lo")), loose(~F.col("lo"))
-    undated = seen.withColumn("q", F.when(F.col("single") | ~F.col("lo"), of_lo).otherwise(of_hi))
-    undated = undated.where("q is not null and q <> id").select(F.col("id").alias("u"), F.col("q").alias("v"))
-    return near.unionByName(undated).distinct()
+    pairs = similar_sets(heads, threshold).select("a", "b")
+    pieces = save(spans(heads, hours))
+    loose = save(heads.where("at is null").groupBy("s").agg(F.min("id").alias("loose")))
+    edge = lambda u, v: [F.col(u).alias("u"), F.col(v).alias("v")]
+    piece = F.floor(F.unix_micros("at") / (hours * 3_600_000_000))
+    dated = heads.where("at is not null").select("s", piece.alias("piece"), F.col("id").alias("one"))
+    own = dated.join(pieces.select("s", "piece", "id"), ["s", "piece"]).where("one <> id").select(*edge("one", "id"))
+
+    both_ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    same = pieces.select(F.col("s").alias("a")).distinct().withColumn("b", F.col("a"))
+    left = pieces.select(F.col("s").alias("a"), "piece", F.col("id").alias("lo"), F.col("last").alias("before"))
+    right = pieces.select(F.col("s").alias("b"), "piece", F.col("id").alias("hi"), F.col("first").alias("after"))
+    at_once = pairs.join(left, "a").join(right, ["b", "piece"]).select(*edge("lo", "hi"))
+    next_ = both_ways.unionByName(same).join(left.withColumn("piece", F.col("piece") + 1), "a").join(right, ["b", "piece"])
+    gap = F.unix_micros("after.at") - F.unix_micros("before.at") <= hours * 3_600_000_000
+    then = next_.where(gap).select(*edge("before.id", "after.id"))
+
+    of = loose.select(F.col("s").alias("a"), "loose")
+    wide = both_ways.unionByName(loose.select(F.col("s").alias("a"), F.col("s").alias("b"))).join(of, "a")
+    any_time = pieces.select(F.col("s").alias("b"), "id").unionByName(loose.select(F.col("s").alias("b"), F.col("loose").alias("id")))
+    undated = wide.join(any_time, "b").where("loose <> id").select(*edge("loose", "id"))
+    undated_own = heads.where("at is null").join(loose, "s").where("id <> loose").select(*edge("id", "loose"))
+    return own.unionByName(at_once).unionByName(then).unionByName(undated).unionByName(undated_own).distinct()
 
 
 def save(df: DataFrame) -> DataFrame:

@@ -26,6 +26,11 @@ def numbered(df: DataFrame, keys: list[Column], name: str = "rank") -> DataFrame
     return ordered.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, place).select(*df.columns, name)
 
 
+def first(df: DataFrame, keys: list[Column], limit: int, name: str = "rank") -> DataFrame:
+    """The first rows with their number: a bounded top-k, which alone is numbered in one task."""
+    return df.orderBy(*keys).limit(limit).withColumn(name, F.row_number().over(Window.orderBy(*keys)))
+
+
 def page(df: DataFrame, keys: list[Column], number: int = 1, size: int = 48) -> DataFrame:
     """One page of the ordered rows, however deep; numbers beyond the ends give the nearest page."""
     rows = numbered(df, keys, "_rank")

@@ -6,11 +6,14 @@ import re
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.functions.scalars import band, local_day
+from presswork.operators import ranking
 
+#: Pages that end behind so many rows are cut out of a distributed order.
+DEEP = 10_000
 ARRAYS = ("companies", "models", "people", "technologies")
 
 
@@ -97,6 +100,8 @@ def page(df: DataFrame, keys: list[Column], number: int = 1, size: int = 48) ->
     size = max(1, size)
     pages = max(1, -(-df.count() // size))
     number = min(max(1, number), pages)
+    if number * size > DEEP:
+        return ranking.page(df, keys, number, size)
     return df.orderBy(*keys).offset((number - 1) * size).limit(size)
 
 
@@ -165,5 +170,5 @@ def pages_so_far(df: DataFrame, keys: list[Column], number: int, size: int = 48)
 
 
 def ranked(df: DataFrame, keys: list[Column], limit: int, name: str = "rank") -> DataFrame:
-    """The first rows with their number: a bounded top-k, which alone is numbered in one task."""
-    return df.orderBy(*keys).limit(limit).withColumn(name, F.row_number().over(Window.orderBy(*keys)))
+    """The first rows with their number."""
+    return ranking.first(df, keys, limit, name)

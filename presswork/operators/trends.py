@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.functions.scalars import band, one_decimal
+from presswork.operators import ranking
 
 DAYS = {"7d": 6, "30d": 29}
 CATEGORY_ORDER = ("research", "product", "funding", "policy", "news")
@@ -99,9 +100,8 @@ def trending(stories: DataFrame, column: str, limit: int | None = None) -> DataF
         F.when(F.col("prior") == 0, "new").when(F.col("current") > F.col("prior"), "up").when(F.col("current") < F.col("prior"), "down").otherwise("flat")
     )
     out = per.select("name", "current", "prior", pct.alias("pct"), direction.alias("direction"))
-    order = Window.orderBy(F.desc(F.when(F.col("direction") == "new", 1.0).otherwise(F.col("pct"))), F.desc("current"), "name")
-    ranked = out.withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= limit) if limit else ranked
+    keys = [F.desc(F.when(F.col("direction") == "new", 1.0).otherwise(F.col("pct"))), F.desc("current"), F.col("name")]
+    return ranking.first(out, keys, limit) if limit else ranking.numbered(out, keys)
 
 
 def peak_day(series: DataFrame) -> DataFrame:
