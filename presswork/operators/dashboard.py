@@ -50,6 +50,28 @@ def chips(columns: list[str], cap: int = 6) -> Column:
     return F.slice(F.array_distinct(F.filter(F.concat(*some), lambda x: x.isNotNull() & (F.trim(x) != ""))), 1, cap)
 
 
+def all_chips(columns: list[str]) -> Column:
+    """Every distinct name over the entity columns and tags, trimmed, in order: what an article's own page shows."""
+    some = [F.coalesce(c, F.array().cast("array<string>")) for c in columns]
+    return F.array_distinct(F.filter(F.transform(F.concat(*some), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+
+
+def source_list(configured: DataFrame, stories: DataFrame) -> DataFrame:
+    """(source_id, name, color, seen, stories) of each source once: as it is configured, else as its first story by id tells it.
+
+    Both tables are added up by source before they meet.
+    """
+    config = configured.groupBy(F.col("id").alias("source_id")).agg(F.min_by("name", "name").alias("c_name"), F.min_by("color", "name").alias("c_color"), F.lit(True).alias("known"))
+    told = [F.min_by(c, "id").alias(f"s_{c}") for c in ("source_name", "source_color") if c in stories.columns]
+    seen = stories.where("source_id is not null").groupBy("source_id").agg(F.count("*").alias("n"), *told)
+    both = config.join(seen, "source_id", "full")
+    own = lambda c, o: F.when(F.col("known"), F.col(c)).otherwise(F.col(o) if o in both.columns else F.lit(None).cast("string"))
+    return both.select(
+        "source_id", own("c_name", "s_source_name").alias("name"), own("c_color", "s_source_color").alias("color"),
+        F.col("n").isNotNull().alias("seen"), F.coalesce("n", F.lit(0)).alias("stories"),
+    )
+
+
 def card(stories: DataFrame) -> DataFrame:
     """Projection for a card: category (news by default) and whether it has a picture."""
     image = F.col("image") if "image" in stories.columns else F.lit(None).cast("string")

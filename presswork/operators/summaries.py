@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,8 +30,16 @@ def prompt(title: Column, body: Column) -> Column:
     return F.concat(F.lit("Title:\n"), F.coalesce(title, F.lit("")), F.lit("\n\nArticle text:\n"), F.coalesce(body, F.lit("")), F.lit("\n\nOutput the JSON summary object."))
 
 
-def asked(df: DataFrame, prompt_col: str, answer_col: str, summariser: Callable[[str], str | dict | None]) -> DataFrame:
-    """`df` with the summariser's answers as JSON, in batches; a call that fails, or a null prompt, gives null."""
+#: Calls that a task has under way.
+POOL = 8
+
+
+def asked(df: DataFrame, prompt_col: str, answer_col: str, summariser: Callable[[str], str | dict | None], pool: int = POOL) -> DataFrame:
+    """`df` with the summariser's answers as JSON, `pool` calls at once in a task; a call that fails, or a null prompt, gives null.
+
+    Equal prompts of a batch are asked once. A summariser with a method `batch` (prompts to answers, in their order) gets whole batches;
+    where that fails, each prompt is asked alone.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(answer_col, T.StringType())])
 
     def one(text: str | None) -> str | None:
@@ -42,9 +51,22 @@ def asked(df: DataFrame, prompt_col: str, answer_col: str, summariser: Callable[
             return None
         return got if got is None or isinstance(got, str) else json.dumps(got)
 
+    def answers(prompts: list[str], workers: ThreadPoolExecutor) -> list[str | None]:
+        if hasattr(summariser, "batch"):
+            try:
+                got = list(summariser.batch(prompts))
+                if len(got) == len(prompts):
+                    return [g if g is None or isinstance(g, str) else json.dumps(g) for g in got]
+            except Exception:  # then one by one
+                pass
+        return list(workers.map(one, prompts))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(**{answer_col: [one(x) for x in frame[prompt_col]]})
+        with ThreadPoolExecutor(pool) as workers:
+            for frame in frames:
+                prompts = list(dict.fromkeys(x for x in frame[prompt_col] if isinstance(x, str)))
+                told = dict(zip(prompts, answers(prompts, workers) if prompts else []))
+                yield frame.assign(**{answer_col: pd.Series([told.get(x) for x in frame[prompt_col]], dtype=object, index=frame.index)})
 
     return df.mapInPandas(run, schema)
 
@@ -68,7 +90,7 @@ def normalized(answer: Column, title: Column, body: Column) -> Column:
     return N.let(answer, made)
 
 
-def summarise(stories: DataFrame, mode: str = "extract", summariser: Callable[[str], str | dict | None] | None = None) -> DataFrame:
+def summarise(stories: DataFrame, mode: str = "extract", summariser: Callable[[str], str | dict | None] | None = None, pool: int = POOL) -> DataFrame:
     """Stories with `ai` filled: by the summariser where its answer holds, else by an extract; method is llm, extractive or null.
 
     A story that has a summary and a method stays as it is, so a second run changes nothing. Without a body there is no call and
@@ -83,7 +105,7 @@ def summarise(stories: DataFrame, mode: str = "extract", summariser: Callable[[s
     answer = F.lit(None).cast(ANSWER)
     if resolved_mode(mode, summariser) == "llm":
         wanted = ~F.col("_done") & F.col("_body").isNotNull()
-        rows = asked(rows.withColumn("_prompt", F.when(wanted, prompt(F.col("title"), F.col("_body")))), "_prompt", "_answer", summariser)
+        rows = asked(rows.withColumn("_prompt", F.when(wanted, prompt(F.col("title"), F.col("_body")))), "_prompt", "_answer", summariser, pool)
         parsed = F.from_json("_answer", ANSWER)
         answer = F.when(F.trim("_answer").rlike(r"^\{"), parsed)
     taken = N.let(

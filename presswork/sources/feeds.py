@@ -70,8 +70,8 @@ def _text(node: ET.Element | None) -> str:
     return "".join(node.itertext()).strip() if node is not None else ""
 
 
-def parse_feed(xml: str | None) -> dict:
-    """Items and error (null, or `parse`) of an RSS 2.0, Atom or RSS 1.0 document.
+def parse_feed(xml: str | None, untitled: bool = False) -> dict:
+    """Items and error (null, or `parse`) of an RSS 2.0, Atom or RSS 1.0 document; items without a title count where `untitled` is set.
 
     A document that breaks off gives its complete items if it told its title, and an
     unclosed CDATA section is an error.
@@ -100,7 +100,7 @@ def parse_feed(xml: str | None) -> dict:
             named = named or bool(_text(node) or node.get("href"))
     if kind in (None, "other") or (broken and "<![CDATA[" in xml and xml.rfind("<![CDATA[") > xml.rfind("]]>")):
         return {"items": [], "error": "parse"}
-    items = [i for i in map(_item, entries) if i["title"]]
+    items = [i for i in map(_item, entries) if i["title"] or untitled]
     if not entries and not named:
         return {"items": [], "error": "parse"}
     return {"items": items, "error": None}

@@ -80,3 +80,39 @@ def story_errors() -> Column:
             "discoveredAt": c("discoveredAt").isNull(),
         }
     )
+
+
+LIST_FIELDS = ("tags", "companies", "people", "models", "technologies", "countries", "relatedStoryIds", "sources")
+TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+
+
+def raw_story_errors(line: Column) -> Column:
+    """Fields of a story as JSON text that break a rule, in order: what a schema would hide, as a number for a text, is told too.
+
+    `*` alone: the text is no JSON object.
+    """
+    v = F.try_parse_json(line)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, f"$.{path}" if path else "$", "variant"))
+    text = lambda path: F.when(kind(path) == "STRING", F.try_variant_get(v, f"$.{path}", "string"))
+    there = lambda path: F.coalesce(kind(path) != "VOID", F.lit(False))
+    starts = lambda path, start: F.coalesce(kind(path).startswith(start), F.lit(False))
+    empty = lambda path: ~there(path) | (kind(path) == "STRING") & (text(path) == "")
+    matches = lambda path, pattern: F.coalesce(text(path).rlike(pattern), F.lit(False))
+    timed = lambda path: matches(path, TIME) & F.try_to_timestamp(F.regexp_replace(text(path), "Z$", "+00:00")).isNotNull()
+    source = starts("source", "OBJECT")
+    checks = {
+        "schemaVersion": ~F.coalesce(text("schemaVersion") == "1.0", F.lit(False)),
+        "id": ~matches("id", "^s[0-9a-f]{8}$"),
+        "fingerprint": F.coalesce(text("fingerprint"), F.lit("")) == "",
+        "title": F.trim(F.coalesce(text("title"), F.lit(""))) == "",
+        "url": empty("originalUrl") & empty("canonicalUrl"),
+        **{c: ~empty(c) & ~matches(c, "(?i)^https?://") for c in ("originalUrl", "canonicalUrl", "publisherUrl")},
+        "source": ~source,
+        "source.id": source & (F.coalesce(text("source.id"), F.lit("")) == ""),
+        "source.name": source & (F.coalesce(text("source.name"), F.lit("")) == ""),
+        "publishedAt": there("publishedAt") & ~timed("publishedAt") & (kind("publishedAt") != "BIGINT"),
+        "discoveredAt": ~timed("discoveredAt"),
+        **{c: there(c) & ~starts(c, "ARRAY") for c in LIST_FIELDS},
+        **{c: there(c) & ~starts(c, "OBJECT") & ~starts(c, "ARRAY") for c in ("scores", "ai")},
+    }
+    return F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), failures(checks)).otherwise(F.array(F.lit("*")))
