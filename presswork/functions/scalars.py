@@ -74,7 +74,7 @@ def normalize_title(title: Column) -> Column:
 def url_host(url: Column) -> Column:
     """Lower-cased host without www., null if there is none."""
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    return F.nullif(F.regexp_replace(F.lower(host), r"^www\.", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(ascii_host(F.lower(host)), r"^www\.", ""), F.lit(""))
 
 
 def url_path(url: Column) -> Column:
@@ -83,7 +83,7 @@ def url_path(url: Column) -> Column:
 
 def canonical_url_key(url: Column) -> Column:
     """Host and the first two path segments, lower-cased; "" for what is no URL."""
-    parts = F.filter(F.split(F.lower(url_path(url)), "/"), lambda s: s != "")
+    parts = F.filter(F.split(F.lower(without_dots(url_path(url))), "/"), lambda s: s != "")
     return F.coalesce(F.concat(url_host(url), F.lit("/"), F.array_join(F.slice(parts, 1, 2), "/")), F.lit(""))
 
 
@@ -103,10 +103,41 @@ def story_id(title: Column, url: Column) -> Column:
     return F.concat(F.lit("s"), djb2(fingerprint(title, url)))
 
 
+# Characters that the parts of an address don't have as they are.
+IN_PATH = r"[\x00-\x20\"#<>?`{}\x7F-\x{10FFFF}]"
+IN_QUERY = r"[\x00-\x20\"#<>'\x7F-\x{10FFFF}]"
+IN_FRAGMENT = r"[\x00-\x20\"<>`\x7F-\x{10FFFF}]"
+DOT, DOTS = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
+
+
+def percent_encoded(text: Column, wrong: str) -> Column:
+    """The text with the UTF-8 bytes of every wrong character as %XX; what is encoded already stays."""
+    one = lambda c: F.when(c.rlike(wrong), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.when(text.rlike(wrong), F.array_join(F.transform(chars, one), "")).otherwise(text)
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its . and .. segments, the latter with the segment before them; plain paths are not taken apart."""
+    parts = F.split(F.substring(path, 2, 1 << 20), "/")
+    none = F.array().cast("array<string>")
+    step = lambda acc, x: F.when(x.rlike(DOTS), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x.rlike(DOT), acc).otherwise(F.concat(acc, F.array(x)))
+    last = F.element_at(parts, -1)
+    ends = F.when(last.rlike(DOT) | last.rlike(DOTS), F.array(F.lit(""))).otherwise(none)
+    made = F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(parts, none, step), ends), "/"))
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), made).otherwise(path)
+
+
+def ascii_host(host: Column) -> Column:
+    """A lower-cased host with its labels in Punycode where they need it; null where that can't be."""
+    return F.when(host.rlike(r"[^\x00-\x7F]"), F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host)).otherwise(host)
+
+
 def canonical_url(url: Column) -> Column:
     """Lower-cased scheme and host, no default port or tracking parameters, "/" for an empty path; null unless http or https.
 
-    User names, paths, other parameters and fragments stay as they are. Hosts are not put into punycode.
+    As browsers do it: line ends and tabs go, backslashes before the query are slashes, hosts are in Punycode (ß as ss), paths lose
+    . and .. segments, and characters that a part can't have are percent-encoded. User names, other parameters and fragments else stay as they are.
     """
 
     def made(trimmed: Column) -> Column:
@@ -116,16 +147,22 @@ def canonical_url(url: Column) -> Column:
         host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
         path = F.regexp_extract(trimmed, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1)
         query = F.regexp_extract(trimmed, r"^[^?#]*\?([^#]*)", 1)
-        fragment = F.regexp_extract(trimmed, r"(#.*)$", 1)
+        fragment = F.regexp_extract(trimmed, r"(?s)(#.*)$", 1)
         noise = "^(?i)(utm_[^=]*|" + "|".join(TRACKING) + ")(=|$)"
         kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(noise)), "&")
+        clean = percent_encoded(without_dots(F.when(path == "", "/").otherwise(path)), IN_PATH)
         whole = F.concat(
-            scheme, F.lit("://"), user, host, F.when(path == "", "/").otherwise(path),
-            F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""), fragment,
+            scheme, F.lit("://"), user, ascii_host(host), clean,
+            F.when(kept != "", F.concat(F.lit("?"), percent_encoded(kept, IN_QUERY))).otherwise(""), percent_encoded(fragment, IN_FRAGMENT),
         )
         return F.when(scheme.isin("http", "https") & (host != ""), whole)
 
-    return let(F.trim(url), made)
+    def usual(trimmed: Column) -> Column:
+        plain = F.regexp_replace(trimmed, r"[\t\n\r]", "")
+        head = F.regexp_extract(plain, r"(?s)^([^?#]*)", 1)
+        return F.when(head.contains("\\"), F.concat(F.replace(head, F.lit("\\"), F.lit("/")), F.substring(plain, F.length(head) + 1, F.lit(1 << 30)))).otherwise(plain)
+
+    return let(usual(F.trim(url)), made)
 
 
 def publisher_url(described: Column, canonical: Column) -> Column:
