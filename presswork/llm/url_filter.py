@@ -82,6 +82,10 @@ def tokens(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.filter(every, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
+#: Parts of the rows that share one list of tokens.
+SALTS = 32
+
+
 def lower_end(share: Column, n: Column, z: float = Z) -> Column:
     """The lower end of the Wilson interval of a share among n."""
     spread = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
@@ -136,8 +140,8 @@ def judge(
     keep: tuple[str, ...] = ("page_id",),
 ) -> DataFrame:
     """`keep` columns, and `judged`: host, path, rule, verdict, confidence (of the mined rule, if one matched)."""
-    names = {n: fresh(n, keep) for n in ("url_in", "items", "confidence", "judged")}
-    url, items, confidence, out = names.values()
+    names = {n: fresh(n, keep) for n in ("url_in", "items", "confidence", "judged", "salt")}
+    url, items, confidence, out, salt = names.values()
     bad = labels.groupBy(col(label_id).alias("label_id")).agg(
         F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) != 0)).alias("bad")
     )
@@ -148,8 +152,11 @@ def judge(
     rules = save(mine(save(marked)))  # few rows: what the supports allow
     urls = pages.select(tokens(col(url_col)).alias("items")).where(F.size("items") > 0)
     hit = save(matched(urls, rules)).select(F.col("items").alias(items), F.col("confidence").alias(confidence))
+    # tokens that very many pages share are dealt to so many tasks
+    hit = hit.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     now = pages.select(*[col(k) for k in keep], col(url_col).alias(url)).withColumn(items, tokens(col(url)))
-    now = now.join(hit, items, "left")
+    now = now.withColumn(salt, F.expr(f"cast(pmod(monotonically_increasing_id(), {SALTS}) as int)"))
+    now = now.join(hit, [items, salt], "left")
 
     def made(x: Column) -> Column:
         def ruled(r: Column) -> Column:
