@@ -98,6 +98,10 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w.rlike(r"\p{L}")))
 
 
+#: Parts of the texts that hold one entity.
+SALTS = 32
+
+
 def disclosures(texts: DataFrame, held: DataFrame, save: Scratch) -> DataFrame:
     """(entity, term, share) of the terms that reveal an entity by `GENERALISE` or more.
 
@@ -111,7 +115,10 @@ def disclosures(texts: DataFrame, held: DataFrame, save: Scratch) -> DataFrame:
     per = save(per.withColumn("inner", F.array_except("all_terms", "terms")).drop("all_terms"))
     holders = per.select("copies", F.explode("entities").alias("entity")).groupBy("entity")
     holders = save(holders.agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT))
-    with_entity = per.select("copies", "terms", F.explode("entities").alias("entity")).join(holders.select("entity"), "entity")
+    # lists of terms go to the entities' rows in parts: an entity that very many texts hold is so many tasks
+    spread = holders.select("entity", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    parts = F.expr(f"cast(pmod(monotonically_increasing_id(), {SALTS}) as int)")
+    with_entity = per.select("copies", "terms", F.explode("entities").alias("entity"), parts.alias("salt")).join(spread, ["entity", "salt"])
     pairs = with_entity.select("copies", "entity", F.explode("terms").alias("term")).groupBy("entity", "term")
     pairs = pairs.agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
     pairs = save(pairs.drop("texts"))
