@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,10 @@ def read(spark: SparkSession, path: str, schema: str = ITEM) -> DataFrame:
     return spark.read.schema(schema).json(f"{path}/items")
 
 
+#: Conditions of Spark's errors that say that a table isn't there or can't be read.
+UNREADABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE", "FAILED_READ_FILE", "MALFORMED_RECORD_IN_PARSING", "TABLE_OR_VIEW_NOT_FOUND")
+
+
 def first_available(readers: dict[str, Callable[[], DataFrame | None]]) -> tuple[str, DataFrame]:
     """Name and rows of the first reader, in order, that can be read and has a row; ("none", the last one's rows) if none has.
 
@@ -59,8 +64,10 @@ def first_available(readers: dict[str, Callable[[], DataFrame | None]]) -> tuple
                 last = rows
                 if not rows.isEmpty():
                     return name, rows
-        except Exception as error:  # what can't be read is passed over, as a missing file is
-            if not any(x in str(error) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ", "FAILED_READ", "MALFORMED", "FileNotFound")):
+        except FileNotFoundError:
+            continue
+        except PySparkException as error:  # what can't be read is passed over, as a missing file is
+            if (error.getCondition() or "").split(".")[0] not in UNREADABLE:
                 raise
     if last is None:
         raise ValueError("no source could be read")
