@@ -15,7 +15,7 @@ from presswork.operators import archive, cluster, entities, extract, runs, searc
 from presswork.sources import feeds
 
 from .document_queries import (
-    BUCKET, CLUSTER_SQL, CORE, DJB2, DS, ENT, HOST, MEANINGFUL, NORM, PATH, PL, SENT, TAGS_SQL, TWELVE, cap_sql, keyed, listed, planted_docs,
+    ARTICLES, BUCKET, CLUSTER_SQL, CORE, DJB2, DS, ENT, HOST, MEANINGFUL, NORM, PATH, PL, SENT, TAGS_SQL, TWELVE, cap_sql, keyed, listed, planted_docs,
 )
 from .event_queries import AS_OF, EV, STATUS_SQL, statuses
 from .item_queries import raw_items, three_sources
@@ -78,31 +78,34 @@ def normalize_whole_items(spark, d):
 CACHE_KEY = rf"""{HOST} || regexp_replace(regexp_replace(lower({PATH}), '/{{2,}}', '/', 'g'), '/$', '') ||
     CASE WHEN regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) = '?' THEN '' ELSE regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) END"""
 OUTCOMES = f"""WITH p AS (SELECT page_id AS id, page_id % 3 AS s, page_id % 9 = 0 AS has_text, CASE WHEN page_id % 8 = 1 THEN 'https://www.youtube.com/watch?v=' || page_id ELSE url END AS url FROM pages),
+    a AS ({ARTICLES}),
     t AS (SELECT *, CASE WHEN has_text THEN 'skipped' WHEN s = 2 THEN 'disabled' WHEN id % 8 = 1 THEN 'unwanted' ELSE 'attempted' END AS state, coalesce({CACHE_KEY}, url) AS key FROM p),
-    f AS (SELECT key, min(id) AS first_id, length(arg_min(url, id)) % 2 = 0 AS good FROM t WHERE state = 'attempted' GROUP BY key),
-    o AS (SELECT t.id, s, CASE WHEN state IN ('skipped', 'disabled') THEN state WHEN state = 'attempted' AND good THEN 'extracted' ELSE 'failed' END AS outcome,
+    f AS (SELECT key, first_id, a.text IS NOT NULL AND first_id % 7 <> 3 AS good, a.n_words AS words
+          FROM (SELECT key, min(id) AS first_id FROM t WHERE state = 'attempted' GROUP BY key) JOIN a ON a.page_id = first_id),
+    o AS (SELECT t.id, s, words, CASE WHEN state IN ('skipped', 'disabled') THEN state WHEN state = 'attempted' AND good THEN 'extracted' ELSE 'failed' END AS outcome,
                  state = 'attempted' AND first_id = t.id AS first FROM t LEFT JOIN f USING (key))"""
 
 
 def extracted(spark: SparkSession, d: str) -> DataFrame:
-    """A story for each page: some have a text, some sources are not allowed, some hosts are skipped; pages with an even address have an article."""
+    """A story for each page: some have a text, some sources are not allowed, some hosts are skipped; each address gives the html of its first page, or a type that is no text."""
     k = F.col("page_id")
     url = F.when(k % 8 == 1, F.concat(F.lit("https://www.youtube.com/watch?v="), k.cast("string"))).otherwise(F.col("url"))
     stories = table(spark, d, "pages").select(
         k.alias("id"), url.alias("canonicalUrl"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source_id"), F.when(k % 9 == 0, "a text").alias("content")
     )
 
+    pages = table(spark, d, "pages").select(k.alias("first_id"), F.col("html").alias("body"))
+
     def answer(requests: DataFrame) -> DataFrame:
-        page = F.concat(F.lit("<nav>menu</nav><article><p>"), F.repeat(F.lit("word "), F.when(F.length("url") % 2 == 0, 40).otherwise(10)), F.lit("</p></article>"))
-        return requests.withColumns(
-            {"body": page, "status": F.lit(200), "error": F.lit(None).cast("string"), "content_type": F.lit("text/html; charset=utf-8"), "requests": F.lit(1)}
-        )
+        kind = F.when(F.col("first_id") % 7 == 3, "application/pdf").otherwise("text/html; charset=utf-8")
+        tries = (1 + F.col("first_id") % 3).cast("int")  # as if some hosts had been busy
+        return requests.join(pages, "first_id").withColumns({"status": F.lit(200), "error": F.lit(None).cast("string"), "content_type": kind, "requests": tries})
 
     allowed = spark.createDataFrame([("s0",), ("s1",)], "source_id string")
     return extract.extract_articles(stories, allowed, answer)
 
 
-@query(f"{OUTCOMES} SELECT id, outcome, first, CASE WHEN outcome = 'extracted' THEN 40 WHEN outcome = 'skipped' OR id % 9 = 0 THEN 2 ELSE 0 END::int AS n_words FROM o")
+@query(f"{OUTCOMES} SELECT id, outcome, first, CASE WHEN outcome = 'extracted' THEN words WHEN outcome = 'skipped' OR id % 9 = 0 THEN 2 ELSE 0 END::int AS n_words FROM o")
 def extract_stories(spark, d):
     return extracted(spark, d).select("id", "outcome", "first", N.word_count(F.col("content")).alias("n_words"))
 
@@ -111,11 +114,13 @@ def extract_stories(spark, d):
     f"""{OUTCOMES} SELECT 's' || s AS source_id, count(*)::bigint AS total, count(*) FILTER (first)::bigint AS fetched,
     count(*) FILTER (outcome IN ('extracted', 'failed') AND NOT coalesce(first, false))::bigint AS cached,
     count(*) FILTER (outcome = 'extracted')::bigint AS extracted, count(*) FILTER (outcome = 'failed')::bigint AS failed, count(*) FILTER (outcome = 'skipped')::bigint AS skipped,
-    count(*) FILTER (outcome = 'disabled')::bigint AS disabled, (40 * count(*) FILTER (outcome = 'extracted'))::bigint AS words,
-    CASE WHEN count(*) FILTER (outcome = 'extracted') > 0 THEN 40 ELSE 0 END::bigint AS avg_words FROM o GROUP BY ROLLUP (s)"""
+    count(*) FILTER (outcome = 'disabled')::bigint AS disabled, coalesce(sum(words) FILTER (outcome = 'extracted'), 0)::bigint AS words,
+    count(*) FILTER (outcome IN ('extracted', 'failed'))::bigint AS attempted, coalesce(sum(1 + id % 3) FILTER (first), 0)::bigint AS requests,
+    coalesce(sum(id % 3) FILTER (first), 0)::bigint AS retries,
+    coalesce(floor(avg(words) FILTER (outcome = 'extracted') + 0.5), 0)::bigint AS avg_words FROM o GROUP BY ROLLUP (s)"""
 )
 def extract_stats(spark, d):
-    return extract.statistics(extracted(spark, d)).drop("attempted", "requests", "retries")
+    return extract.statistics(extracted(spark, d))
 
 
 WORDS30 = " ".join(f"word{i}" for i in range(30))
@@ -129,10 +134,16 @@ FIXED_PAGES = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {'NULL' if t is None else chr(39) + t + chr(39)}::varchar)" for n, _, t in FIXED_PAGES) + ") AS v(page, text)")
+@query(
+    "SELECT page_id, page, replace(text, 'word0', 'page' || page_id) AS text FROM pages, (VALUES "
+    + ", ".join(f"('{n}', {'NULL' if t is None else chr(39) + t + chr(39)}::varchar)" for n, _, t in FIXED_PAGES) + ") AS v(page, text)"
+)
 def extract_fixed_pages(spark, d):
-    rows = spark.createDataFrame([(n, h) for n, h, _ in FIXED_PAGES], "page string, html string")
-    return rows.select("page", H.article_text(F.col("html")).alias("text"))
+    """Every page's number in each of some shapes of pages."""
+    shapes = F.array(*[F.struct(F.lit(n).alias("page"), F.lit(h).alias("html")) for n, h, _ in FIXED_PAGES])
+    rows = table(spark, d, "pages").select("page_id", F.inline(shapes))
+    html = F.replace("html", F.lit("word0"), F.concat(F.lit("page"), F.col("page_id").cast("string")))
+    return rows.select("page_id", "page", H.article_text(html).alias("text"))
 
 
 @query(

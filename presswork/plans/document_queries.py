@@ -386,19 +386,30 @@ def credential_matches(spark, d):
     return keyed(spark, d).select("id", F.inline(S.credentials(F.col("x"))))
 
 
-@query()
-def extract_article_text(spark, d):
-    pages = table(spark, d, "pages")
-    text = H.article_text(F.col("html"))
-    return pages.select("page_id", H.skipped(F.col("url")).alias("skipped"), text.alias("text")).withColumn("n_words", N.word_count(F.col("text")))
-
-
 STRIP = "regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
 for _e, _c in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
     STRIP = f"replace({STRIP}, '{_e}', '{_c}')"
 SPACES = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
 
+# pages have one article and nothing hidden in it; entities are decoded in the order of the list
+ARTICLE = "regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')"
+for _e, _c in H.ENTITIES:
+    ARTICLE = f"regexp_replace({ARTICLE}, '&{_e};', {quoted(_c)}, 'gi')"
+ARTICLE = f"trim(regexp_replace({ARTICLE}, '{SPACES}', ' ', 'g'))"
+ARTICLES = f"""SELECT page_id, url, CASE WHEN n >= {H.MIN_WORDS} THEN t END AS text, CASE WHEN n >= {H.MIN_WORDS} THEN n ELSE 0 END::int AS n_words
+    FROM (SELECT *, len(list_filter(string_split(t, ' '), lambda w: w <> '')) AS n FROM (SELECT page_id, url, {ARTICLE} AS t FROM pages))"""
+NO_HOST = r"(^|\.)(" + "|".join(h.replace(".", r"\.") for h in H.SKIPPED_HOSTS) + ")$"
+NO_FILE = rf"(?i)\.({'|'.join(H.SKIPPED_SUFFIXES)})$"
+
+
+@query(f"SELECT page_id, regexp_matches({HOST}, '{NO_HOST}') OR regexp_matches({PATH}, '{NO_FILE}') AS skipped, text, n_words FROM ({ARTICLES})")
+def extract_article_text(spark, d):
+    pages = table(spark, d, "pages")
+    text = H.article_text(F.col("html"))
+    return pages.select("page_id", H.skipped(F.col("url")).alias("skipped"), text.alias("text")).withColumn("n_words", N.word_count(F.col("text")))
+
+
 @query(f"SELECT page_id, trim(regexp_replace({STRIP}, '{SPACES}', ' ', 'g')) AS text FROM pages")
 def strip_html(spark, d):
     return table(spark, d, "pages").select("page_id", N.strip_html(F.col("html")).alias("text"))
