@@ -232,6 +232,28 @@ def rekey_stats(spark, d):
     return archive.rekey_statistics(archive.rekeyed(suffixed(spark, d), lex.publisher_aliases()))
 
 
+# titles so long that their identity does not tell the address: rows of one identity and several addresses are in danger
+@query(
+    """WITH r AS (SELECT printf('s%08x', doc_id) AS id, doc_id % 40 AS g, CASE WHEN doc_id % 5 < 3 THEN 0 ELSE doc_id % 5 END AS u, DATE '2024-01-01' + (doc_id % 9)::int AS day,
+        DATE '2024-01-01' + (doc_id % 9 + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END)::int AS home, doc_id % 7 AS updated, length(coalesce(text, '')) % 50 AS size FROM documents),
+    m AS (SELECT g, arg_min(u, {'n': -n, 'd': d, 'i': i}) AS u FROM (SELECT g, u, count(*) AS n, min(day) AS d, arg_min(id, {'a': day, 'b': id}) AS i FROM r GROUP BY g, u) GROUP BY g),
+    w AS (SELECT g, count(*) AS n, arg_min({'day': day, 'home': home}, {'a': -updated, 'b': -size, 'c': id}) AS best FROM r JOIN m USING (g, u) GROUP BY g)
+    SELECT (SELECT count(*) FROM r)::bigint AS input_rows, 0::bigint AS unchanged, count(*)::bigint AS rekeyed, sum(n - 1)::bigint AS merged,
+        count(*) FILTER (best.day <> best.home)::bigint AS moved, (SELECT count(*) FROM r ANTI JOIN m USING (g, u))::bigint AS danger, 0::bigint AS collisions FROM w"""
+)
+def rekey_danger(spark, d):
+    k = F.col("doc_id")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (k % 9).cast("int"))
+    rows = table(spark, d, "documents").select(
+        F.format_string("s%08x", k).alias("id"), day.alias("day"), F.date_add(F.lit("2024-01-01").cast("timestamp"), (k % 7).cast("int")).cast("timestamp").alias("updated"),
+        F.concat(F.lit("group"), (k % 40).cast("string"), F.repeat(F.lit(" long"), 60)).alias("title"),
+        F.concat(F.lit("https://h"), F.when(k % 5 < 3, 0).otherwise(k % 5).cast("string"), F.lit(".example/a")).alias("url"),
+        F.repeat(F.lit("x"), (F.length(F.coalesce("text", F.lit(""))) % 50).cast("int")).alias("description"),
+        F.date_add(day, F.when(k % 4 == 0, 1).otherwise(0)).cast("timestamp").alias("published"), F.array(F.col("source")).alias("sources"),
+    )
+    return archive.rekey_statistics(archive.rekeyed(rows, lex.publisher_aliases()))
+
+
 @query(
     f"""{CLUSTER_SQL}, l AS (SELECT root, list(source_id ORDER BY k) AS s, list(id ORDER BY k) AS ids FROM m WHERE size > 1 GROUP BY root)
     SELECT m.id, list_filter(s, lambda x, i: list_position(s, x) = i) AS source_ids, ids AS related,
