@@ -133,3 +133,89 @@ def search_postings(spark, d):
     index = Postings(spark, folder(spark))
     index.build(docs, "doc_id", F.col("text"))
     return index.search(docs, "doc_id", F.col("text"), ["The", "license"]).select("doc_id", "n_chars")
+
+
+@query(
+    """SELECT doc_id::varchar AS id, n_chars FROM documents WHERE doc_id % 5 <> 2 AND doc_id % 7 <> 3"""
+)
+def ndjson_days(spark, d):
+    """Documents written as lines of JSON, some of them broken or without an id, and read again."""
+    k = F.col("doc_id")
+    line = F.to_json(F.struct(F.when(k % 7 != 3, k.cast("string")).alias("id"), "n_chars", F.col("lang").alias("other")))
+    line = F.when(k % 5 == 2, F.concat(F.lit("{broken "), line)).otherwise(line)
+    place = folder(spark)
+    table(spark, d, "documents").select(line.alias("value")).write.text(f"{place}/days")
+    from presswork.sources.feeds import read_ndjson
+
+    return read_ndjson(spark, f"{place}/days", "id string, n_chars long")
+
+
+@query(
+    """SELECT conv_id, turn, 'Turn ' || turn AS title, 'http://c.example/' || conv_id AS link FROM conversations WHERE turn % 3 <> 1"""
+)
+def json_feeds(spark, d):
+    """Items of a JSON rendering of a feed for each turn: those without a title or a link drop out, and a body that is no JSON has none."""
+    from presswork.sources.feeds import parse_json_feed
+
+    t, c = F.col("turn"), F.col("conv_id")
+    good = F.struct(F.concat(F.lit("Turn "), t.cast("string")).alias("title"), F.concat(F.lit("http://c.example/"), c.cast("string")).alias("link"))
+    bad = F.struct(F.lit("").alias("title"), F.lit("http://x").alias("link"))
+    rows = table(spark, d, "conversations").select(c, t, F.to_json(F.struct(F.array(bad, good).alias("items"))).alias("body"))
+    rows = rows.withColumn("body", F.when(t % 3 == 1, F.lit("no json")).otherwise(F.col("body")))
+    return rows.select("conv_id", "turn", F.inline(parse_json_feed(F.col("body")))).select("conv_id", "turn", "title", "link")
+
+
+@query(
+    """SELECT s_suppkey AS key, coalesce(s_suppkey % 4 - 1, 100)::double AS priority, 3.0::double AS fetchIntervalHours, CASE WHEN s_suppkey % 2 = 0 THEN 'rss' ELSE 'auto' END AS parser,
+    true AS enabled, false AS articleFetch, row_number() OVER (ORDER BY s_suppkey % 4, CASE WHEN s_suppkey % 7 = 0 THEN ' ' ELSE s_name END, s_suppkey) AS place FROM supplier"""
+)
+def sources_in_order(spark, d):
+    """Sources with their defaults, by priority and name."""
+    from presswork.sources.schemas import with_defaults
+
+    from .state_queries import candidate_sources
+
+    rows = candidate_sources(spark, d).withColumns({"enabled": F.lit(None).cast("boolean"), "articleFetch": F.lit(None).cast("boolean")})
+    full = with_defaults(rows).select("key", "name", "priority", "fetchIntervalHours", "parser", "enabled", "articleFetch")
+    return ranking.numbered(full, [F.col("priority"), F.col("name"), F.col("key")], "place").drop("name")
+
+
+@query(f"{VERSIONS} SELECT printf('s%08x', id) AS id, day::date AS day, updated, v FROM stored WHERE NOT (id % 5 = 1 AND day < DATE '2024-01-10') AND id % 11 <> 4")
+def archive_removals(spark, d):
+    """What stays of an archive when ids are removed by their day, where that is right, and others by id alone."""
+    rows = versions(spark, d)[0]
+    named = rows.withColumn("id", F.format_string("s%08x", "id"))
+    box = CommittedArchive(spark, folder(spark), bucket_rows=20_000)
+    box.upsert(named)
+    by_day = rows.where("id % 5 = 1").select(
+        F.format_string("s%08x", "id").alias("id"), F.when(F.col("day") < F.lit("2024-01-10").cast("date"), F.col("day")).otherwise(F.date_add("day", 1)).alias("day")
+    )
+    box.remove(by_day)
+    box.remove(rows.where("id % 11 = 4").select(F.format_string("s%08x", "id").alias("id")))
+    return box.read().select("id", "day", "updated", "v")
+
+
+@query(
+    """SELECT doc_id, list_filter([CASE WHEN k % 9 = 1 THEN 'schemaVersion' END, CASE WHEN k % 5 = 0 THEN 'id' END, CASE WHEN k % 7 = 2 THEN 'url' END, CASE WHEN k % 8 = 3 THEN 'source' END,
+    CASE WHEN k % 6 = 4 THEN 'publishedAt' END, CASE WHEN k % 4 = 1 THEN 'discoveredAt' END, CASE WHEN k % 10 = 7 THEN 'tags' END], lambda x: x IS NOT NULL) AS errors
+    FROM (SELECT *, doc_id AS k FROM documents) WHERE k % 13 <> 5 UNION ALL SELECT doc_id, ['*'] FROM documents WHERE doc_id % 13 = 5"""
+)
+def raw_story_checks(spark, d):
+    """Fields that break a rule in stories as JSON text, made from documents."""
+    from presswork.sources.schemas import raw_story_errors
+
+    k = F.col("doc_id")
+    said = lambda test, bad, good: F.when(test, F.lit(bad)).otherwise(F.lit(good))
+    fields = [
+        said(k % 9 == 1, '"schemaVersion":1', '"schemaVersion":"1.0"'),
+        F.concat(F.lit('"id":"'), said(k % 5 == 0, "S", "s"), F.format_string("%08x", k), F.lit('"')),
+        F.lit('"fingerprint":"f","title":"t"'),
+        said(k % 7 == 2, '"originalUrl":""', '"originalUrl":"https://x.example/a"'),
+        said(k % 8 == 3, '"source":"x"', '"source":{"id":"a","name":"A"}'),
+        said(k % 6 == 4, '"publishedAt":"soon"', '"publishedAt":"2026-01-10T10:00:00Z"'),
+        said(k % 4 == 1, '"discoveredAt":null', '"discoveredAt":"2026-01-10T10:00:00.000Z"'),
+        said(k % 10 == 7, '"tags":"x"', '"tags":["x"]'),
+    ]
+    line = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    line = F.when(k % 13 == 5, F.concat(F.lit("["), line, F.lit("]"))).otherwise(line)
+    return table(spark, d, "documents").select("doc_id", raw_story_errors(line).alias("errors"))
