@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from presswork.operators.archive import merge, prune, storable
+from presswork.operators.archive import merge, prune, rekey_statistics, rekeyed, storable
 
 INDEX = "id string, day date, seq long, bucket string, _version string"
 
@@ -285,6 +285,39 @@ class CommittedArchive:
 
         return self._again(change)
 
+    def rekey(self, aliases: list[str], write: bool = True) -> DataFrame:
+        """The rows under the ids of their clean titles (`rekeyed`), in one commit; without `write` a dry run. Returns statistics.
+
+        The version before stays, so it is the backup: `restore` brings it back.
+        """
+
+        def change(m: dict, v: str) -> DataFrame:
+            rows = self._rows(m)
+            done = self._staged(rekeyed(rows, aliases), v, "rekeyed")
+            told = rekey_statistics(done).first()
+            if write:
+                final = done.where("collision = 1").select(*rows.columns)
+                days = set(m["days"]) | {str(r.day) for r in final.select("day").distinct().collect()}
+                old, new = rows.select("id", "day"), final.select("id", "day")
+                gone = old.join(new, "id", "left_anti").select("id", F.lit(None).cast("date").alias("day")).distinct()
+                changes = self._staged(gone.unionByName(new.join(old, ["id", "day"], "left_anti")), v, "changes")
+                self._write_days(m, final, days, v)
+                self._append(m, changes, v)
+                m["version"] += 1
+                self._commit(m)
+            self._delete(f"{self.path}/work/{v}")
+            return self.spark.createDataFrame([told])
+
+        return self._again(change)
+
+    def restore(self, version: int) -> None:
+        """Make a version that is still there the last one again, by a commit of its own."""
+
+        def change(m: dict, _: str) -> None:
+            self._commit({**self.manifest(version), "version": m["version"] + 1})
+
+        self._again(change)
+
     def check(self) -> None:
         """Raise if an id stands in two days, or the index tells other places than the rows."""
         rows = self.read()

@@ -143,3 +143,29 @@ def test_a_stream_goes_into_it(spark, make, tmp_path):
     streams.upsert(stream, box, f"{tmp_path}/state").awaitTermination()
     assert len(state(box)) == 10
     box.check()
+
+
+def test_rekeying_is_one_commit_and_can_be_taken_back(spark, tmp_path):
+    from presswork.functions import lexicons as lex
+    from presswork.functions.scalars import story_id
+
+    url, at = "https://x.example/a", lambda d: datetime(2026, 1, d)
+    ids = spark.range(1).select(*[story_id(F.lit(t), F.lit(url)).alias(n) for n, t in (("clean", "Model ships"), ("other", "Quiet day"))]).first()
+    rows = [
+        ("s00000001", date(2026, 1, 1), at(1), "Model ships - Reuters", url, "long description", ["r"]),
+        ("s00000002", date(2026, 1, 2), at(2), "Model ships | Axios", url, None, ["x", "r"]),
+        (ids.other, date(2026, 1, 3), at(3), "Quiet day", url, None, []),
+    ]
+    box = CommittedArchive(spark, f"{tmp_path}/box")
+    box.upsert(spark.createDataFrame(rows, "id string, day date, updated timestamp, title string, url string, description string, sources array<string>"))
+    dry = box.rekey(lex.publisher_aliases(), write=False).first()
+    assert (dry.input_rows, dry.unchanged, dry.rekeyed, dry.merged) == (3, 1, 1, 1) and box.versions() == [1]
+    box.rekey(lex.publisher_aliases())
+    got = {r.id: r for r in box.read().collect()}
+    assert set(got) == {ids.clean, ids.other} and got[ids.clean].description == "long description" and got[ids.clean].sources == ["x", "r"]
+    box.check()
+    assert box.days() == ["2026-01-02", "2026-01-03"] and box.read_by_id("s00000001") is None and box.read_by_id(ids.clean).count() == 1
+    assert box.rekey(lex.publisher_aliases()).first().rekeyed == 0
+    box.restore(1)
+    assert {r.id for r in box.read().collect()} == {"s00000001", "s00000002", ids.other}
+    box.check()
