@@ -13,7 +13,9 @@ from presswork.operators.committed import CommittedArchive
 from presswork.operators.postings import Postings
 from presswork.shared import shared_folder
 
-from .projections import table
+from .document_queries import DS, SPACES, STRIP
+from .event_queries import ENTITY, EV, SLUG, event_stories
+from .projections import document_stories, table
 from .state_queries import VERSIONS, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +221,67 @@ def raw_story_checks(spark, d):
     line = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
     line = F.when(k % 13 == 5, F.concat(F.lit("["), line, F.lit("]"))).otherwise(line)
     return table(spark, d, "documents").select("doc_id", raw_story_errors(line).alias("errors"))
+
+
+# characters that XML can't have are taken out on both sides; a feed's texts are trimmed as Python trims them
+PLAIN = r"[\x00-\x1f]"
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, source, lang, regexp_replace(coalesce(text, ''), '[\x00-\x1f]', ' ', 'g') AS html FROM documents)
+    SELECT doc_id, 'Document ' || doc_id AS title, 'https://' || source || '.example/' || doc_id AS link, trim(regexp_replace({STRIP}, '{SPACES}', ' ', 'g')) AS description,
+    CASE WHEN doc_id % 3 = 0 THEN 'https://img.example/' || doc_id END AS image FROM d"""
+)
+def feeds_of_documents(spark, d):
+    """A feed around the whole text of each document: RSS, Atom or RSS 1.0 with namespaces, an image where it tells one that is no logo."""
+    from presswork.sources.feeds import parse_feeds
+
+    k, docs = F.col("doc_id"), table(spark, d, "documents")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), PLAIN, " ")
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    n = k.cast("string")
+    link = F.concat(F.lit("https://"), F.col("source"), F.lit(".example/"), n)
+    image = F.when(k % 3 == 0, F.concat(F.lit('<media:content url="https://img.example/'), n, F.lit('"/>'))).when(k % 3 == 1, '<media:thumbnail url="https://x/logo.png"/>').otherwise("")
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    title = F.concat(F.lit("Document "), n)
+    rss = F.concat(F.lit('<rss xmlns:media="http://search.yahoo.com/mrss/"><channel><title>c</title><item>'), tag("title", title), tag("link", link), tag("description", text), image, F.lit("</item></channel></rss>"))
+    atom = F.concat(
+        F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="http://search.yahoo.com/mrss/"><title>c</title><entry>'), tag("title", title),
+        F.lit('<link href="'), link, F.lit('"/>'), tag("summary", text), image, F.lit("</entry></feed>"),
+    )
+    rdf = F.concat(
+        F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/" '
+              'xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:media="http://search.yahoo.com/mrss/"><channel><title>c</title></channel><item>'),
+        tag("dc:title", title), tag("link", link), F.lit("<description>short</description>"), tag("content:encoded", F.when(F.trim(text) == "", " ").otherwise(text)), image, F.lit("</item></rdf:RDF>"),
+    )
+    xml = F.when(k % 4 == 1, atom).when((k % 4 == 2) & (F.trim(text) != ""), rdf).otherwise(rss)
+    items = docs.select("doc_id", F.inline(parse_feeds(xml)["items"]))
+    return items.select("doc_id", "title", "link", "description", "image")
+
+
+@query(
+    rf"""{DS}, t AS (SELECT id, description, trim(regexp_replace(title, '[^\x00-\x7F]', '_', 'g')) AS t,
+        CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN regexp_replace(title, '[^\x00-\x7F]', '_', 'g') ELSE 'A summary of its own ' || id END AS own FROM ds),
+    c AS (SELECT id, t, coalesce(nullif(own, ''), regexp_replace(substr(description, 1, 90), '[^\x00-\x7F]', '_', 'g')) AS chosen, trim(coalesce(coalesce(nullif(own, ''), regexp_replace(substr(description, 1, 90), '[^\x00-\x7F]', '_', 'g')), '')) AS s FROM t)
+    SELECT id, CASE WHEN NOT (CASE WHEN s = '' THEN true WHEN t = '' THEN false ELSE lower(s) = lower(t) OR 1 - levenshtein(lower(s), lower(t))::double / greatest(length(s), length(t)) > 0.85 END)
+        THEN chosen END AS shown FROM c"""
+)
+def shown_summaries(spark, d):
+    """What a card shows of a story: its summary, else its description, and nothing that only repeats the title."""
+    from presswork.functions import scalars as N
+
+    ascii_ = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "_")
+    own = F.when(F.col("id") % 3 == 1, ascii_(F.col("title"))).when(F.col("id") % 3 == 2, F.concat(F.lit("A summary of its own "), F.col("id").cast("string")))
+    return document_stories(spark, d).select("id", N.shown_summary(own, ascii_(F.substring("description", 1, 90)), ascii_(F.col("title"))).alias("shown"))
+
+
+@query(
+    f"""{EV}, n AS (SELECT name, {SLUG} AS slug, count(*)::bigint AS n FROM ({ENTITY}) WHERE "group" = 'company' GROUP BY 1, 2)
+    SELECT name, slug, n, row_number() OVER (ORDER BY n DESC, name) AS rank FROM n QUALIFY rank <= 5"""
+)
+def first_companies(spark, d):
+    """The five companies with most mentions."""
+    from presswork.operators import entities
+
+    return entities.ranked_names(event_stories(spark, d), "company", 5)
