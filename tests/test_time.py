@@ -126,3 +126,52 @@ def test_state_keeps_the_latest_and_evicts(spark, tmp_path):
     finally:
         spark.conf.set(name, before)
     assert sorted(seen) == [("a", "a1", "evicted"), ("a", "a1", "unchanged"), ("b", "b6", "evicted"), ("b", "b6", "updated"), ("c", "c5", "evicted"), ("d", "d40", "inserted")]
+
+
+def test_state_is_called_by_bucket_and_not_by_key():
+    """A thousand keys of one bucket take a few calls to the state store, whether they are new, newer or go."""
+    from types import SimpleNamespace
+
+    from presswork.streaming import state
+    from pyspark.sql import Row
+    from pyspark.sql import types as T
+
+    class Store:
+        calls, held, timers = 0, None, ()
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return getattr(type(self), f"_{name}").__get__(self)
+
+        def _getValueState(self, *_):
+            return self
+
+        def _get(self):
+            return self.held
+
+        def _update(self, value):
+            self.held = value
+
+        def _clear(self):
+            self.held = None
+
+        def _listTimers(self):
+            return iter(self.timers)
+
+        def _deleteTimer(self, at):
+            self.timers = tuple(t for t in self.timers if t != at)
+
+        def _registerTimer(self, at):
+            self.timers = (*self.timers, at)
+
+    store, fields = Store(), T._parse_datatype_string("id int, v string, at long")
+    one = state.Latest("id", "at", fields)
+    one.init(store)
+    batch = lambda v, at: [r for r in one.handleInputRows((0,), (Row(id=k, v=v, at=at + 1_000_000 * k) for k in range(1_000)), None)]
+    assert {r.action for r in batch("a", 5_000)} == {"inserted"} and store.timers == (5,)
+    assert {(r.v, r.action) for r in batch("b", 9_000)} == {("b", "updated")} and store.timers == (9,)
+    assert {(r.v, r.action) for r in batch("c", 9_000)} == {("b", "unchanged")}
+    gone = list(one.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 500_009), None))
+    assert [r.id for r in gone] == list(range(501)) and len(store.held[0]) == 499 and store.timers == (501_009,)
+    list(one.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**9), None))
+    assert store.held is None and store.timers == () and store.calls < 30
