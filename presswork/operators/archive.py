@@ -97,19 +97,20 @@ LISTS = ("sources", "relatedStoryIds", "tags", "companies", "people", "models",
 FILLED = ("description", "image", "author")
 
 
-def rekeyed(df: DataFrame, aliases: list[str]) -> DataFrame:
+def rekeyed(df: DataFrame, aliases: list[str], by_address: bool = True) -> DataFrame:
     """The archive's rows under the ids of their cleaned titles, with `fate` and how they came about.
 
     Rows of one clean id and one address are one story: the survivor (see `rekey`) takes the clean id, title and
     fingerprint, the union of all lists in order of survival, and what fields it lacks. Where a clean id has rows of several addresses, only
     those of the most frequent one (then the one with the first day and id) are joined; the others are `danger` and keep their ids.
+    Without `by_address` a clean id alone is one story; ids have 32 bits, so in large archives some stories of several addresses share one.
     `fate` is kept or danger; `dropped` counts rows that went into one, `rekeyed` and `moved` tell whether its id and its day changed.
     Rows that then share day and id are a collision: `collision` numbers them from 1, all but the first of them should go.
     """
     from presswork.functions.scalars import canonical_url_key, fingerprint
 
     lists, filled = ([c for c in some if c in df.columns] for some in (LISTS, FILLED))
-    key = F.coalesce(F.nullif(canonical_url_key(F.col("url")), F.lit("")), F.col("url"), F.lit(""))
+    key = F.coalesce(F.nullif(canonical_url_key(F.col("url")), F.lit("")), F.col("url"), F.lit("")) if by_address else F.lit("")
     rows = df.withColumns({"_title": clean_title(F.col("title"), aliases)["title"], "_key": key})
     rows = rows.withColumn("_title", F.coalesce(F.nullif("_title", F.lit("")), F.col("title"))).withColumn("clean_id", story_id(F.col("_title"), F.col("url")))
     sizes = rows.groupBy("clean_id", "_key").agg(F.count("*").alias("n"), F.min(F.struct("day", "id")).alias("first"))

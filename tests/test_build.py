@@ -185,6 +185,28 @@ def test_rows_in_danger_keep_their_ids(spark, monkeypatch):
     assert archive.rekey_statistics(done).first().danger == 1
 
 
+def test_one_identity_of_two_addresses(spark, tmp_path):
+    """rekey_stats counts what its SQL counts, also where two addresses share a 32-bit id."""
+    import os
+
+    import duckdb
+    from presswork.plans import build_queries
+
+    sf = "/root/testdata/sf0.001"
+    for name in os.listdir(sf):
+        if name != "documents.parquet":
+            os.symlink(f"{sf}/{name}", f"{tmp_path}/{name}")
+    # in ids of djb2 "as" and "c1" are alike: 33 * 97 + 115 = 33 * 99 + 49
+    rows = [(1, "Model one ships.", "en", "as", 16), (3, "Model one ships.", "en", "c1", 16), (4, "Model two ships.", "en", "as", 16), (5, "Model one ships.", "en", "as", 16)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want, got = con.execute(build_queries.SQL["rekey_stats"]), build_queries.rekey_stats(spark, str(tmp_path))
+    assert [tuple(r) for r in got.select(*[c[0] for c in want.description]).collect()] == want.fetchall()
+    assert got.first().merged == 2 and got.first().danger == 0
+
+
 def test_run_log(spark, tmp_path):
     log = runs.RunLog(spark, f"{tmp_path}/runs")
     assert log.list().count() == 0
