@@ -53,10 +53,12 @@ def map_text(
 
     `fn` gets the texts of a slice of a batch and returns a list for each field.
     Rows stay where they are: one narrow Arrow pass, no shuffle, and slices of
-    about a million characters bound what Python holds at once.
+    about a million characters bound what Python holds at once. A text that is kept goes to Python once.
     """
-    source = fresh("text_in", keep)
-    inner = df.select(*[col(k) for k in keep], col(text_col).cast("string").alias(source))
+    once = text_col in keep and isinstance(df.schema[text_col].dataType, T.StringType)
+    source = [] if once else [col(text_col).cast("string").alias(fresh("text_in", keep))]
+    at_text = list(keep).index(text_col) if once else len(keep)
+    inner = df.select(*[col(k) for k in keep], *source)
     schema = T.StructType([inner.schema[k] for k in keep] + [T.StructField(out, fields, True)])
     names = [f.name for f in fields]
 
@@ -65,9 +67,9 @@ def map_text(
 
         kinds = [to_arrow_type(f.dataType) for f in fields]
         for batch in batches:
-            for at, size in slices(batch.column(len(keep))):
+            for at, size in slices(batch.column(at_text)):
                 part = batch.slice(at, size)
-                got = fn(part.column(len(keep)).to_pylist())
+                got = fn(part.column(at_text).to_pylist())
                 made = pa.StructArray.from_arrays(
                     [pa.array(got[n], type=k) for n, k in zip(names, kinds)], names=names
                 )

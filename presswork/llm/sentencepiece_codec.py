@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import col, documents, fresh, map_text
 
 MARK = "▁"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 CACHED_CHARS = 32
 #: Characters before which a chunk may end; all others but the mark count as letters here.
 BREAKS = r"\x00-\x40\x5B-\x60\x7B-\x7F"

@@ -124,3 +124,12 @@ def test_registered_queries_over_a_table(spark):
 def test_every_operator_is_registered():
     assert [q.split("_")[0] for q in QUERIES if q.startswith("op")] == [f"op{n}" for n in range(1, 14)]
     assert set(SQL) <= set(QUERIES)
+
+
+def test_a_kept_text_goes_to_python_once(spark):
+    from presswork.llm.quality_rules import ledger
+
+    docs = spark.createDataFrame([(1, "a b", "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    led = ledger(docs, keep=("doc_id", "text", "lang"))
+    assert "text_in" not in led._jdf.queryExecution().analyzed().toString()
+    assert sorted((r.doc_id, r.text, r.lang, r.quality.n_words) for r in led.collect()) == [(1, "a b", "en", 2), (2, None, "en", 0)]
