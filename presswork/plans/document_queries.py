@@ -165,7 +165,7 @@ CLUSTER_SQL = f"""WITH RECURSIVE ds0 AS ({DOCUMENT_SQL}),
 
 @query(f"{CLUSTER_SQL} SELECT id, root, k = 1 AS canonical, size::bigint AS size, n_sources FROM m JOIN n USING (root)")
 def cluster_canonical(spark, d):
-    return cluster.cluster(document_stories(spark, d)).select("id", "root", "canonical", "size", "n_sources")
+    return cluster.cluster(document_stories(spark, d).drop("description")).select("id", "root", "canonical", "size", "n_sources")
 
 
 @query(
@@ -173,7 +173,7 @@ def cluster_canonical(spark, d):
     count(*) FILTER (n_sources > 1)::bigint AS multi_source, max(size)::bigint AS largest FROM m JOIN n USING (root) WHERE k = 1"""
 )
 def cluster_stats(spark, d):
-    ds = document_stories(spark, d)
+    ds = document_stories(spark, d).drop("description")  # whole texts, which would be sorted and written with each story
     return cluster.statistics(cluster.cluster(ds), ds.count())
 
 

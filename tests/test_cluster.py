@@ -71,3 +71,13 @@ def test_deep_pages_are_the_same(spark, monkeypatch):
     plain = search.page(rows, search.order(), 7, 48).collect()
     monkeypatch.setattr(search, "DEEP", 10)
     assert search.page(rows, search.order(), 7, 48).collect() == plain
+
+
+def test_cluster_queries_carry_no_texts(spark, monkeypatch):
+    from presswork.plans import catalogue
+
+    seen, plain = [], cluster.cluster
+    monkeypatch.setattr(cluster, "cluster", lambda df: seen.append(df.columns) or plain(df.limit(50)))
+    for name in ("cluster_canonical", "cluster_stats", "cluster_sources"):
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 3 and not any("description" in columns for columns in seen)
