@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,13 +146,27 @@ def _item(node: ET.Element) -> dict:
     }
 
 
-def _parsed(xml: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_feed(x) for x in xml], columns=["items", "error"])
+#: Bytes of documents that a worker parses at once.
+SLICE = 1 << 20
+
+
+def _parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    item = pa.struct([(name, pa.string()) for name in ("title", "link", "pubDate", "description", "image")])
+    kind = pa.struct([("items", pa.list_(item)), ("error", pa.string())])
+    for batch in batches:
+        part, size = [], 0
+        for xml in batch:
+            part.append(xml.as_py())
+            size += len(part[-1] or "")
+            if size >= SLICE:
+                yield pa.array(map(parse_feed, part), type=kind)
+                part, size = [], 0
+        yield pa.array(map(parse_feed, part), type=kind)
 
 
 def parse_feeds(xml: Column) -> Column:
-    """struct(items, error) of each document, in Arrow batches."""
-    return F.pandas_udf(_parsed, PARSED)(xml)
+    """struct(items, error) of each document, some documents of an Arrow batch at a time."""
+    return F.arrow_udf(_parsed, PARSED)(xml)
 
 
 def parse_json_feed(body: Column) -> Column:

@@ -214,3 +214,13 @@ def test_ndjson_and_json_feeds(spark, tmp_path):
     body = json.dumps({"items": [{"title": "T", "link": "http://x"}, {"title": "", "link": "http://y"}, {"title": "no link"}]})
     df = spark.createDataFrame([(body,), ("no json",), ('{"items": 5}',)], "b string")
     assert [[i.title for i in r.i or []] for r in df.select(feeds.parse_json_feed(F.col("b")).alias("i")).collect()] == [["T"], [], []]
+
+
+def test_feeds_are_parsed_a_part_of_a_batch_at_a_time():
+    import pyarrow as pa
+    from presswork.sources import feeds
+
+    xml = "<rss><channel><title>c</title><item><title>t</title><description>" + "x" * 100_000 + "</description></item></channel></rss>"
+    made = list(feeds._parsed(iter([pa.array([xml] * 45 + [None]), pa.array([xml])])))
+    assert len(made) > 4 and max(map(len, made)) <= 11 and sum(map(len, made)) == 47
+    assert [r["error"] for m in made for r in m.to_pylist()] == [None] * 45 + ["parse", None]
