@@ -3,10 +3,11 @@
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from presswork.operators import ranking, temporal
+from presswork.operators import postings, ranking, temporal
 from presswork.operators.postings import Postings
 
 START = datetime(2024, 1, 1)
@@ -101,6 +102,40 @@ def test_postings_find_what_a_scan_finds(spark, tmp_path):
     assert "PartitionFilters" in files and "bucket" in files
 
 
+def test_postings_shuffle_lists_not_a_row_for_each_gram(spark, tmp_path):
+    """2,000 texts in two tasks: a gram is a row of each task, and its lists name each of its texts once."""
+    df = spark.range(0, 2_000, 1, 2).select("id", F.concat(F.lit("the same words "), F.col("id").cast("string")).alias("text"))
+    index = Postings(spark, f"{tmp_path}/index")
+    index.build(df, "id", F.col("text"))
+    rows = spark.read.parquet(index.path)
+    assert rows.where("gram = 'wor'").count() == 2 and rows.count() < 3_000
+    assert sorted(r.id for r in rows.where("gram = 'wor'").select(F.explode("ids").alias("id")).collect()) == list(range(2_000))
+    assert sorted(r.id for r in index.search(df, "id", F.col("text"), ["SAME", "s 77"]).collect()) == [77, *range(770, 780)]
+
+
+@pytest.mark.parametrize("piece", [5, 50, 1 << 21])
+@pytest.mark.parametrize("letters", ["ab\0", "aé😀\n", "".join(map(chr, range(0x20, 0x3000)))])
+def test_lists_by_hand(monkeypatch, piece, letters):
+    """Every gram of every text, whatever the pieces: cut texts, NUL, letters beyond 16 bits, alphabets of thousands."""
+    monkeypatch.setattr(postings, "PIECE", piece)
+    rnd = random.Random(piece)
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 2, 3, 4, 9, 60]))) for _ in range(90)]
+    made = list(postings.lists(pa.array(range(90)), texts))
+    got = [(g, i) for said, ids in made for g, some in zip(said, ids.to_pylist(), strict=True) for i in some]
+    assert set(got) == {(t[k : k + 3], i) for i, t in enumerate(texts) for k in range(len(t) - 2)}
+    assert piece < 60 or len(got) == len(set(got)), "only a text longer than a piece is cut"
+    assert list(postings.lists(pa.array([1, 2]), ["", "ab"])) == []
+
+
+def test_lists_of_more_letters_than_one_number_holds():
+    """A trigram of all of Unicode and one of 16 rows take more than 63 bits; the rows are then taken apart."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    texts = [every[k::16] for k in range(16)]
+    made = list(postings.lists(pa.array(range(16)), texts))
+    got = {(g, i) for said, ids in made for g, (i,) in zip(said, ids.to_pylist(), strict=True)}
+    assert len(made) > 1 and got == {(t[k : k + 3], i) for i, t in enumerate(texts) for k in range(len(t) - 2)}
+
+
 def test_state_keeps_the_latest_and_evicts(spark, tmp_path):
     """Two starts on one checkpoint: state is kept between them, ties keep what is there, old versions go."""
     from presswork.streaming import state
