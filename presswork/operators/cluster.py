@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presswork.functions.lexicons import LOW_INFO, STOPWORDS
 from presswork.functions.scalars import fingerprint, normalize_title, url_host
+from presswork.shared import shared_folder
 
 THRESHOLD = 0.70
 MIN_TOKENS = 2
@@ -89,31 +92,31 @@ def links(df: DataFrame, threshold: float = THRESHOLD, hours: int = MAX_HOURS) -
     and of pieces that follow each other the last of the one and the first of the other. That gives the same components as all
     pairs, with sums where windows would hold whole sets: a title repeated a million times is as many tasks as Spark likes.
     An undated story fits any time, so all are linked to the set's first undated one, and so are those of similar sets.
+    Similar sets are found once: a set's rows on the one side say which piece of the other set they meet.
     """
-    heads = headlines(df).withColumn("s", F.array_join("tokens", " "))
-    pairs = similar_sets(heads, threshold).select("a", "b")
+    length = hours * 3_600_000_000
+    heads = save(headlines(df).withColumn("s", F.array_join("tokens", " ")))
     pieces = save(spans(heads, hours))
-    loose = save(heads.where("at is null").groupBy("s").agg(F.min("id").alias("loose")))
-    edge = lambda u, v: [F.col(u).alias("u"), F.col(v).alias("v")]
-    piece = F.floor(F.unix_micros("at") / (hours * 3_600_000_000))
-    dated = heads.where("at is not null").select("s", piece.alias("piece"), F.col("id").alias("one"))
-    own = dated.join(pieces.select("s", "piece", "id"), ["s", "piece"]).where("one <> id").select(*edge("one", "id"))
-
-    both_ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    same = pieces.select(F.col("s").alias("a")).distinct().withColumn("b", F.col("a"))
-    left = pieces.select(F.col("s").alias("a"), "piece", F.col("id").alias("lo"), F.col("last").alias("before"))
-    right = pieces.select(F.col("s").alias("b"), "piece", F.col("id").alias("hi"), F.col("first").alias("after"))
-    at_once = pairs.join(left, "a").join(right, ["b", "piece"]).select(*edge("lo", "hi"))
-    next_ = both_ways.unionByName(same).join(left.withColumn("piece", F.col("piece") + 1), "a").join(right, ["b", "piece"])
-    gap = F.unix_micros("after.at") - F.unix_micros("before.at") <= hours * 3_600_000_000
-    then = next_.where(gap).select(*edge("before.id", "after.id"))
-
-    of = loose.select(F.col("s").alias("a"), "loose")
-    wide = both_ways.unionByName(loose.select(F.col("s").alias("a"), F.col("s").alias("b"))).join(of, "a")
-    any_time = pieces.select(F.col("s").alias("b"), "id").unionByName(loose.select(F.col("s").alias("b"), F.col("loose").alias("id")))
-    undated = wide.join(any_time, "b").where("loose <> id").select(*edge("loose", "id"))
-    undated_own = heads.where("at is null").join(loose, "s").where("id <> loose").select(*edge("id", "loose"))
-    return own.unionByName(at_once).unionByName(then).unionByName(undated).unionByName(undated_own).distinct()
+    loose = save(heads.where("at is null").groupBy("s").agg(F.min("id").alias("id")))
+    same = pieces.select("s").unionByName(loose.select("s")).distinct().select(F.col("s").alias("a"), F.col("s").alias("b"))
+    sets = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both_ways = similar_sets(heads, threshold).select(sets.alias("x")).select("x.a", "x.b").unionByName(same)
+
+    at_once = pieces.select(F.col("s").alias("a"), F.lit(True).alias("dated"), "piece", F.col("id").alias("u"), F.lit(None).cast("timestamp").alias("before"))
+    then = pieces.select(F.col("s").alias("a"), F.lit(True).alias("dated"), F.col("piece") + 1, F.col("last.id"), F.col("last.at"))
+    ever = loose.select(F.col("s").alias("a"), F.lit(False).alias("dated"), F.lit(0).cast("long").alias("piece"), F.col("id").alias("u"), F.lit(None).cast("timestamp").alias("before"))
+    left = at_once.union(then).union(ever)
+    found = pieces.select(F.col("s").alias("b"), F.lit(True).alias("dated"), "piece", F.col("id").alias("lo"), "first")
+    any_time = pieces.select("s", "id").unionByName(loose.select("s", "id")).select("s", F.lit(False), F.lit(0).cast("long"), "id", F.lit(None).cast(found.schema["first"].dataType))
+    met = both_ways.join(left, "a").where("not dated or before is not null or a < b").join(found.union(any_time), ["b", "dated", "piece"])
+    gap = F.unix_micros("first.at") - F.unix_micros("before") <= length
+    across = met.where(F.col("before").isNull() | gap).select("u", F.when(F.col("before").isNull(), F.col("lo")).otherwise(F.col("first.id")).alias("v"))
+
+    piece = F.coalesce(F.floor(F.unix_micros("at") / length), F.lit(0).cast("long"))
+    each = heads.select("s", F.col("at").isNotNull().alias("dated"), piece.alias("piece"), F.col("id").alias("u"))
+    least = pieces.select("s", F.lit(True).alias("dated"), "piece", F.col("id").alias("v"))
+    own = each.join(least.union(loose.select("s", F.lit(False), F.lit(0).cast("long"), "id")), ["s", "dated", "piece"]).select("u", "v")
+    return own.unionByName(across).where("u <> v").distinct()
 
 
 def save(df: DataFrame) -> DataFrame:
@@ -128,21 +131,71 @@ def save(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Steps:
+    """Tables of an operator's steps in the folder that executors share, deleted when the block ends.
+
+    A table has the size of its files. A checkpoint keeps the size that was estimated for its plan, a product for each join: over
+    rounds of joins that number itself grows, to twice the digits with each, until the driver's memory holds no more of it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.count = spark, f"{shared_folder(spark)}/presswork-{uuid4().hex}", 0
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        df.write.parquet(path := f"{self.root}/{self.count}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def marked(self, df: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+        """The table of edges, and their number and a hash of them all, taken while they are written."""
+        seen = Observation()
+        made = self(df.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")))
+        return made, (seen.get["n"], seen.get["x"])
+
+    def drop(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def keep_last(self, before: int) -> int:
+        """Delete the tables from number `before` on, all but the last; its number."""
+        for k in range(before, self.count):
+            self.drop(f"{self.root}/{k}")
+        return self.count
+
+    def __exit__(self, *_) -> None:
+        self.drop(self.root)
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, root) of every node, root being the smallest id that it reaches; labels jump along, so rounds are few."""
-    both = save(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    label = save(nodes.select("id", F.col("id").alias("root")))
-    for _ in range(MAX_ROUNDS):
-        near = both.join(label, both.v == label.id).groupBy("u").agg(F.min("root").alias("least"))
-        moved = label.join(near, label.id == near.u, "left").select("id", F.least("root", F.coalesce("least", "root")).alias("root"))
-        up = moved.select(F.col("id").alias("r"), F.col("root").alias("top"))
-        new = moved.join(up, moved.root == up.r).select("id", F.least("root", "top").alias("root"))
-        new = save(new)
-        changed = new.alias("n").join(label.alias("o"), "id").where("n.root <> o.root").limit(1).count()
-        label = new
-        if not changed:
-            return label
-    raise RuntimeError("components did not settle")
+    """(id, root) of every node, root being the smallest id that it reaches.
+
+    Each round hangs the larger neighbours of a node on its smallest one, then the smaller ones (star contraction), so rounds are
+    few however long a chain is and in whatever order its ids come.
+    """
+    with Steps(edges.sparkSession) as step:
+        apart = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        now, mark = step.marked(apart.distinct())
+        kept = step.count
+        for _ in range(MAX_ROUNDS):
+            if not mark[0]:
+                break
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = step(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            up = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+            was, (now, mark) = mark, step.marked(large.join(least, "u").select(up.alias("u"), F.col("m").alias("v")).distinct())
+            kept = step.keep_last(kept)
+            if was == mark:
+                break
+        else:
+            raise RuntimeError("components did not settle")
+        roots = now.groupBy("u").agg(F.min("v").alias("root"))
+        found = nodes.join(roots, F.col("id") == F.col("u"), "left")
+        return save(found.select("id", F.coalesce("root", "id").alias("root")))
 
 
 def cluster(df: DataFrame) -> DataFrame:

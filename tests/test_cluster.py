@@ -81,3 +81,24 @@ def test_cluster_queries_carry_no_texts(spark, monkeypatch):
     for name in ("cluster_canonical", "cluster_stats", "cluster_sources"):
         catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(seen) == 3 and not any("description" in columns for columns in seen)
+
+
+def test_long_chains_settle_in_few_rounds(spark, monkeypatch):
+    """A chain with ids in no order; the number that estimates the result's size may not grow with the rounds."""
+    monkeypatch.setattr(cluster, "MAX_ROUNDS", 12)
+    ids = [f"s{k:03}" for k in range(100)]
+    random.Random(1).shuffle(ids)
+    nodes = spark.createDataFrame([(i,) for i in [*ids, "s900"]], "id string")
+    place = spark._jvm.org.apache.hadoop.fs.Path(cluster.shared_folder(spark) + "/presswork-*")
+    tables = lambda: {str(f.getPath()) for f in place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)}
+    before = tables()
+    roots = cluster.components(nodes, spark.createDataFrame(list(zip(ids, ids[1:])), "u string, v string"))
+    assert {r.id: r.root for r in roots.collect()} == {i: "s000" for i in ids} | {"s900": "s900"}
+    assert len(roots._jdf.queryExecution().optimizedPlan().stats().simpleString()) < 100
+    assert tables() == before
+
+
+def test_links_find_similar_sets_once(spark):
+    rows = [(k, f"zork{k % 3} blorp frob{k % 2} quux", f"http://h/{k}", datetime(2026, 1, 1) if k % 2 else None, "s", 1) for k in range(8)]
+    plan = cluster.links(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("Generate explode(tokens") <= 4  # the words and their numbers, on both sides of the join
